@@ -203,7 +203,7 @@ map AS (
 """
 
 RAW_COLUMNS = (
-    'time, latitude, longitude, depth, mag, "magType", nst, gap, dmin, rms, net, id, updated, place, '
+    'time, latitude, longitude, depth, mag, "magType", CAST(nst AS DOUBLE) AS nst, gap, dmin, rms, net, id, updated, place, '
     'type, "horizontalError", "depthError", "magError", "magNst", status, "locationSource", "magSource"'
 )
 
@@ -218,6 +218,7 @@ END"""
 
 SILVER_ROUNDED = """
 SELECT * REPLACE (
+  CAST(num_stations AS DOUBLE) AS num_stations,
   round(latitude + 1e-9, 6) AS latitude, round(longitude + 1e-9, 6) AS longitude, round(depth + 1e-9, 6) AS depth,
   round(magnitude + 1e-9, 6) AS magnitude, round(azimuthal_gap + 1e-9, 6) AS azimuthal_gap,
   round(min_distance + 1e-9, 6) AS min_distance, round(rms + 1e-9, 6) AS rms,
@@ -371,9 +372,9 @@ def _bands(column: str, names: list[tuple[str, str]]) -> str:
 
 _BODIES = {
     "csv_scan": f"SELECT {RAW_COLUMNS} FROM raw",
-    "csv_stack": "SELECT substr(time, 1, 4) AS file_year, count(*) AS rows FROM raw GROUP BY 1",
+    "csv_stack": "SELECT CAST(substr(time, 1, 4) AS INT) AS load_year, count(*) AS rows FROM raw GROUP BY 1",
     "csv_preview": "SELECT id, time, mag FROM raw ORDER BY id, time, updated LIMIT 5",
-    "conform_clean_validate": "SELECT * FROM clean",
+    "conform_clean_validate": "SELECT * REPLACE (CAST(num_stations AS DOUBLE) AS num_stations) FROM clean",
     "rejects": f"SELECT event_id, time, {FAILED_RULE} AS failed_rule FROM conformed WHERE {FAILED_RULE} IS NOT NULL",
     "quality_audit": f"""
 SELECT count(*) AS rows_in, count(*) FILTER (rule IS NULL) AS rows_out,

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tremora.sources.shared import written
@@ -21,10 +21,20 @@ WEIGHT = "_rows"
 _PLACE_BITS = 33  # monotonically_increasing_id keeps the partition above, the place below
 
 
-def place(distinct_rows: DataFrame, order: Sequence[str], path: str) -> DataFrame:
-    """Rows in the order of a key that is unique and not null, written with their places."""
+def place(
+    distinct_rows: DataFrame, order: Sequence[str], path: str, *figures: Column
+) -> tuple[DataFrame, dict]:
+    """Rows in the order of a key that is unique and not null, written with their places.
+
+    Also gives figures over all rows, taken while writing.  (Below the range
+    partitioning they would count the rows that Spark samples for it once more.)
+    """
+    taken = Observation()
     ranged = distinct_rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return written(ranged.withColumn("_place", F.monotonically_increasing_id()), path)
+    placed = ranged.withColumn("_place", F.monotonically_increasing_id())
+    if not figures:
+        return written(placed, path), {}
+    return written(placed.observe(taken, *figures), path), taken.get
 
 
 def number(placed: DataFrame, id_name: str) -> DataFrame:
@@ -63,14 +73,18 @@ def number_keys(
     Counting aggregates on the map side, so a hot key is one row per task before
     anything is shuffled.  The result reads from a table in the scratch folder.
     """
-    weights = Observation()
-    counted = (
-        rows.groupBy(*keys)
-        .agg(F.count("*").alias(WEIGHT))
-        .observe(weights, F.sum(WEIGHT).alias("total"), F.max(WEIGHT).alias("heaviest"))
+    counted = rows.groupBy(*keys).agg(F.count("*").alias(WEIGHT))
+    placed, found = place(
+        counted,
+        keys,
+        f"{scratch}/{id_name}",
+        F.sum(WEIGHT).alias("total"),
+        F.max(WEIGHT).alias("heaviest"),
     )
-    numbered = number(place(counted, keys, f"{scratch}/{id_name}"), id_name)
-    found = weights.get
     return NumberedKeys(
-        numbered, tuple(keys), id_name, found["total"] or 0, found["heaviest"] or 0
+        number(placed, id_name),
+        tuple(keys),
+        id_name,
+        found["total"] or 0,
+        found["heaviest"] or 0,
     )

@@ -20,11 +20,17 @@ from tremora.operators.dedup import keep_first, merge_latest
 from tremora.plans import ledger as years
 from tremora.plans.cubes import build_cubes
 from tremora.plans.star import build_star
-from tremora.sources.catalog_csv import read_catalog, require_rows
+from tremora.sources.catalog_csv import RAW_SCHEMA, read_catalog, require_rows
 from tremora.sources.lake import Lake
 
 BY_YEAR = T.StructType([T.StructField("load_year", T.IntegerType())])
-ORIGIN = ("load_year", "source_file", "source_bytes")
+ORIGIN = T.StructType(
+    [
+        T.StructField("source_file", T.StringType()),
+        T.StructField("source_bytes", T.LongType()),
+        T.StructField("load_year", T.IntegerType()),
+    ]
+)
 
 
 @dataclass(frozen=True)
@@ -49,6 +55,13 @@ def full_load(lake: Lake, paths: str | Sequence[str], limits: Limits = Limits())
     )
 
 
+def read_bronze(lake: Lake) -> DataFrame:
+    """All loaded years as they came, with their origin; also when there are none yet."""
+    none = lake.spark.createDataFrame([], RAW_SCHEMA)
+    schema = T.StructType(to_events(none).schema.fields + ORIGIN.fields)
+    return lake.spark.read.schema(schema).parquet(lake.path(lake.names.bronze))
+
+
 def load_years(
     lake: Lake, raw_root: str, wanted: DataFrame, limits: Limits = Limits()
 ) -> list[int]:
@@ -67,7 +80,7 @@ def load_years(
     events = raw.join(F.broadcast(wanted), "load_year", "left_semi").transform(to_events, limits)
     if lake.replace_partitions(lake.names.bronze, events, "load_year") == 0:
         return []
-    bronze = lake.read(lake.names.bronze).join(F.broadcast(wanted), "load_year", "left_semi")
+    bronze = read_bronze(lake).join(F.broadcast(wanted), "load_year", "left_semi")
     details = years.year_details(bronze)
     years.record_years(lake, details)
     loaded = years.read_ledger(lake).join(wanted, "load_year", "left_semi")
@@ -78,8 +91,8 @@ def merge_bronze(lake: Lake) -> int:
     """All loaded years as one table of events, the latest row per id."""
     names = lake.names
     loaded = years.read_ledger(lake)
-    bronze = lake.read(names.bronze).join(F.broadcast(loaded), "load_year", "left_semi")
-    rows = lake.replace(names.silver, merge_latest(bronze.drop(*ORIGIN)))
+    bronze = read_bronze(lake).join(F.broadcast(loaded), "load_year", "left_semi")
+    rows = lake.replace(names.silver, merge_latest(bronze.drop(*ORIGIN.names)))
     merged = loaded.agg(
         F.coalesce(F.sum("row_count"), F.lit(0)).alias("ledger_rows"),
         F.lit(rows).cast("bigint").alias("silver_rows"),
@@ -111,7 +124,7 @@ def incremental_load(
     names = lake.names
     lost: list[int] = []
     if lake.exists(names.bronze):
-        lost = years.validate_ledger(lake, lake.read(names.bronze).select("load_year").distinct())
+        lost = years.validate_ledger(lake, read_bronze(lake).select("load_year").distinct())
     elif lake.exists(names.ledger):
         years.reset_ledger(lake)
 
@@ -122,7 +135,7 @@ def incremental_load(
         # The ledger changes during the load, so the years are fixed beforehand.
         loaded = load_years(lake, raw_root, years.requested_years(lake.spark, todo), limits)
 
-    if not lake.exists(names.bronze):
+    if years.read_ledger(lake).isEmpty():
         return LoadReport(loaded, lost)
     merging = bool(loaded) or bool(lost) or needs_merge(lake)
     rows = merge_bronze(lake) if merging else None
