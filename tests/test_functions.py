@@ -24,7 +24,7 @@ def test_E1_time_text_is_parsed_without_a_zone(spark):
 
 def test_E1_other_text_is_an_error_or_null(spark):
     texts = ["2024-01-31 23:59:59", "2024-01-31T23:59:59Z", "2024-02-30T00:00:00.000Z", "", None]
-    with pytest.raises(Exception, match="CANNOT_PARSE|2024-01-31 23:59:59"):
+    with pytest.raises(Exception, match="not a catalogue time: 2024-01-31 23:59:59"):
         mapped(spark, texts[:1], "string", moments.parse_time)
     lenient = mapped(spark, texts, "string", lambda c: moments.parse_time(c, strict=False))
     assert lenient == [None] * 5

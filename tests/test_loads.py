@@ -10,8 +10,8 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from tremora.checks.workspace import Workspace
-from tremora.operators.conform import to_events
-from tremora.operators.dedup import merge_latest
+from tremora.operators.conform import to_merged_events
+
 from tremora.plans import ledger, loads
 from tremora.plans.star import Star
 from tremora.sources.catalog_csv import RAW_SCHEMA
@@ -137,7 +137,7 @@ def test_S6_a_stray_event_does_not_touch_another_year(spark, lake, tmp_path, wor
     stray.write.partitionBy("load_year").option("header", True).csv(path)
     loads.incremental_load(lake, path, years(spark, 2021))
     loads.incremental_load(lake, path, years(spark, 2021, 2022))
-    assert rows_of(lake.read(lake.names.silver)) == rows_of(merge_latest(to_events(raw)))
+    assert rows_of(lake.read(lake.names.silver)) == rows_of(to_merged_events(raw))
 
 
 def test_L2_full_load_builds_every_table(spark, lake, files):

@@ -106,7 +106,8 @@ def duplicate_audit(w: Workspace) -> DataFrame:
 
 @query
 def enrich_calendar(w: Workspace) -> DataFrame:
-    return conform.add_calendar(conform.clean(w.raw())).select("event_id", *EVENT_COLUMNS)
+    rows = conform.clean(w.raw()).transform(conform.add_datetime).transform(conform.add_calendar)
+    return rows.select("event_id", *EVENT_COLUMNS)
 
 
 @query
@@ -128,7 +129,7 @@ def silver_dedup_first(w: Workspace) -> DataFrame:
 
 @query
 def silver_merge_latest(w: Workspace) -> DataFrame:
-    return rounded(plain_stations(dedup.merge_latest(w.events())))
+    return rounded(plain_stations(conform.to_merged_events(w.raw())))
 
 
 @query

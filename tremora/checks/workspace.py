@@ -11,8 +11,7 @@ from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremora.operators.conform import to_events
-from tremora.operators.dedup import merge_latest
+from tremora.operators.conform import to_events, to_merged_events
 from tremora.plans import ledger, loads
 from tremora.plans.cubes import build_cubes
 from tremora.plans.star import Star, build_star, event_view
@@ -71,7 +70,7 @@ class Workspace:
     def silver(self) -> DataFrame:
         lake = self.lake()
         table = lake.names.silver
-        self._once(table, lambda: lake.replace(table, merge_latest(self.events())))
+        self._once(table, lambda: lake.replace(table, to_merged_events(self.raw())))
         return lake.read(table)
 
     def view(self) -> DataFrame:

@@ -71,6 +71,7 @@ def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
         "spark.sql.shuffle.partitions": "8" if cores == "*" else str(cores),
         "spark.driver.memory": "12g",
         "spark.driver.host": "127.0.0.1",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for name, value in {**SESSION_SETTINGS, **local, **settings}.items():
         builder = builder.config(name, value)

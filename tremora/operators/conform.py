@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tremora.config import UNKNOWN, Limits
 from tremora.functions import bands, lunar, moments
+from tremora.operators.dedup import merge_latest
 from tremora.sources.catalog_csv import RENAMES
 
 CRITICAL_FIELDS = ("time", "latitude", "longitude", "magnitude")
@@ -102,10 +103,20 @@ def clean(raw: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
 
 
-def add_calendar(rows: DataFrame, strict: bool = True) -> DataFrame:
-    """E1-E3."""
+def add_datetime(rows: DataFrame, strict: bool = True) -> DataFrame:
+    """E1.
+
+    With ``strict`` off, a row whose time cannot be read is left out instead of
+    failing the job; ``unreadable_times`` lists such rows.
+    """
+    rows = rows.withColumn("datetime", moments.parse_time(F.col("time"), strict))
+    return rows if strict else rows.where(F.col("datetime").isNotNull())
+
+
+def add_calendar(rows: DataFrame) -> DataFrame:
+    """E2, E3."""
     moment = F.col("datetime")
-    return rows.withColumn("datetime", moments.parse_time(F.col("time"), strict)).withColumns(
+    return rows.withColumns(
         {
             "year": F.year(moment),
             "month": F.month(moment),
@@ -139,21 +150,28 @@ def add_moon_phase(rows: DataFrame) -> DataFrame:
     )
 
 
-def enrich(rows: DataFrame, strict: bool = True) -> DataFrame:
-    """E1-E8."""
-    return rows.transform(add_calendar, strict).transform(add_classes).transform(add_moon_phase)
+def derive(rows: DataFrame) -> DataFrame:
+    """All that follows from the source columns and the parsed time."""
+    return rows.transform(add_calendar).transform(add_classes).transform(add_moon_phase)
 
 
 def to_events(raw: DataFrame, limits: Limits = Limits(), strict: bool = True) -> DataFrame:
-    """L1: the whole way from raw rows to events, as one lazy plan.
+    """L1: the whole way from raw rows to events, as one lazy plan."""
+    return clean(raw, limits).transform(add_datetime, strict).transform(derive)
 
-    With ``strict`` off, a row whose time cannot be read is left out instead of
-    failing the job; ``unreadable_times`` lists such rows.
+
+def to_merged_events(
+    raw: DataFrame, limits: Limits = Limits(), strict: bool = True
+) -> DataFrame:
+    """L1 and D3: what ``merge_latest`` gives of ``to_events``.
+
+    Only source columns are shuffled; the others are derived from the rows that
+    are kept.
     """
-    events = clean(raw, limits).transform(enrich, strict)
-    return events if strict else events.where(F.col("datetime").isNotNull())
+    timed = clean(raw, limits).transform(add_datetime, strict)
+    return merge_latest(timed).transform(derive)
 
 
 def unreadable_times(raw: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The clean rows that ``to_events(strict=False)`` leaves out."""
+    """The clean rows that ``strict=False`` leaves out."""
     return clean(raw, limits).where(moments.parse_time(F.col("time"), strict=False).isNull())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremora.functions import bands, moments
-from tremora.operators.shapes import densify, fixed_list, with_share
+from tremora.operators.shapes import densify, with_share
 
 # --- fixed values ---
 TOTAL_LABEL = "**TOTAL**"
@@ -113,10 +113,9 @@ def groups_present(moon: DataFrame) -> DataFrame:
     """The magnitude groups there are, weakest first."""
     groups = bands.labels(bands.MAGNITUDE_GROUPS)
     return (
-        fixed_list(moon.sparkSession, "magnitude_group", groups)
-        .join(moon, "magnitude_group", "left_semi")
-        .orderBy("_place")
-        .drop("_place")
+        moon.select("magnitude_group")
+        .distinct()
+        .orderBy(bands.rank_in(F.col("magnitude_group"), groups).asc_nulls_last())
     )
 
 

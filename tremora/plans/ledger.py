@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +80,13 @@ def _rewrite(lake: Lake, kept: DataFrame) -> None:
         lake.replace(lake.names.ledger, written(kept, f"{scratch}/kept"), ["load_year"])
 
 
+def loaded_years(lake: Lake, condition: Column | None = None) -> list[int]:
+    """The years of the ledger as a list, to prune folders with: one number per year."""
+    ledger = read_ledger(lake)
+    rows = ledger if condition is None else ledger.where(condition)
+    return [row.load_year for row in rows.select("load_year").orderBy("load_year").collect()]
+
+
 def missing_years(requested: DataFrame, ledger: DataFrame) -> DataFrame:
     """Years asked for that are not loaded yet."""
     return requested.join(ledger, "load_year", "left_anti").orderBy("load_year")

@@ -15,17 +15,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremora.config import Limits
-from tremora.operators.conform import to_events
+from tremora.operators.conform import derive, to_events
 from tremora.operators.dedup import keep_first, merge_latest
 from tremora.plans import ledger as years
 from tremora.plans.cubes import build_cubes
 from tremora.plans.star import build_star
-from tremora.sources.catalog_csv import RAW_SCHEMA, read_catalog, require_rows
+from tremora.sources.catalog_csv import RAW_COLUMNS, read_catalog, require_rows
 from tremora.sources.lake import Lake
 
 BY_YEAR = T.StructType([T.StructField("load_year", T.IntegerType())])
-ORIGIN = T.StructType(
-    [
+SOURCE_COLUMNS = tuple(name for _, name, _ in RAW_COLUMNS)
+BRONZE_SCHEMA = T.StructType(
+    [T.StructField(name, kind) for _, name, kind in RAW_COLUMNS]
+    + [
+        T.StructField("datetime", T.TimestampNTZType()),
         T.StructField("source_file", T.StringType()),
         T.StructField("source_bytes", T.LongType()),
         T.StructField("load_year", T.IntegerType()),
@@ -56,45 +59,44 @@ def full_load(lake: Lake, paths: str | Sequence[str], limits: Limits = Limits())
 
 
 def read_bronze(lake: Lake) -> DataFrame:
-    """All loaded years as they came, with their origin; also when there are none yet."""
-    none = lake.spark.createDataFrame([], RAW_SCHEMA)
-    schema = T.StructType(to_events(none).schema.fields + ORIGIN.fields)
-    return lake.spark.read.schema(schema).parquet(lake.path(lake.names.bronze))
+    """Source columns, parsed time and origin of all loaded years; also when there are none yet."""
+    return lake.spark.read.schema(BRONZE_SCHEMA).parquet(lake.path(lake.names.bronze))
 
 
 def load_years(
-    lake: Lake, raw_root: str, wanted: DataFrame, limits: Limits = Limits()
+    lake: Lake, raw_root: str, wanted: Sequence[int], limits: Limits = Limits()
 ) -> list[int]:
     """L3: bring the wanted years that have files into bronze, all in one job.
 
-    Files lie in ``load_year=YYYY/`` folders; the join on that column prunes the
-    folders that are not wanted.  Bronze is partitioned by the year a file was
-    requested for, not by the year of the event, so that a stray event cannot
-    replace another year's partition.  A year without rows is not recorded.
+    Files lie in ``load_year=YYYY/`` folders, and other folders are not read.
+    Bronze is partitioned by the year a file was requested for, not by the year
+    of the event, so that a stray event cannot replace another year's partition.
+    A year without rows is not recorded.
     """
-    raw = read_catalog(lake.spark, raw_root, partitions=BY_YEAR).select(
+    these = F.col("load_year").isin(*wanted)
+    raw = read_catalog(lake.spark, raw_root, partitions=BY_YEAR).where(these).select(
         "*",
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_size").alias("source_bytes"),
     )
-    events = raw.join(F.broadcast(wanted), "load_year", "left_semi").transform(to_events, limits)
-    if lake.replace_partitions(lake.names.bronze, events, "load_year") == 0:
+    if lake.replace_partitions(lake.names.bronze, to_events(raw, limits), "load_year") == 0:
         return []
-    bronze = read_bronze(lake).join(F.broadcast(wanted), "load_year", "left_semi")
-    details = years.year_details(bronze)
-    years.record_years(lake, details)
-    loaded = years.read_ledger(lake).join(wanted, "load_year", "left_semi")
-    return sorted(row.load_year for row in loaded.select("load_year").collect())
+    years.record_years(lake, years.year_details(read_bronze(lake).where(these)))
+    return years.loaded_years(lake, these)
 
 
 def merge_bronze(lake: Lake) -> int:
-    """All loaded years as one table of events, the latest row per id."""
+    """All loaded years as one table of events, the latest row per id.
+
+    What bronze holds beyond the source columns is not read, but derived again
+    from the rows that are kept: that is less to shuffle.
+    """
     names = lake.names
-    loaded = years.read_ledger(lake)
-    bronze = read_bronze(lake).join(F.broadcast(loaded), "load_year", "left_semi")
-    rows = lake.replace(names.silver, merge_latest(bronze.drop(*ORIGIN.names)))
-    merged = loaded.agg(
-        F.coalesce(F.sum("row_count"), F.lit(0)).alias("ledger_rows"),
+    loaded = F.col("load_year").isin(*years.loaded_years(lake))
+    bronze = read_bronze(lake).where(loaded).select(*SOURCE_COLUMNS, "datetime")
+    rows = lake.replace(names.silver, merge_latest(bronze).transform(derive))
+    merged = years.ledger_summary(years.read_ledger(lake)).select(
+        F.col("total_events").alias("ledger_rows"),
         F.lit(rows).cast("bigint").alias("silver_rows"),
     )
     lake.replace(names.merges, merged)
@@ -128,12 +130,9 @@ def incremental_load(
     elif lake.exists(names.ledger):
         years.reset_ledger(lake)
 
-    wanted = years.missing_years(requested, years.read_ledger(lake))
-    todo = [row.load_year for row in wanted.collect()]
-    loaded: list[int] = []
-    if todo:
-        # The ledger changes during the load, so the years are fixed beforehand.
-        loaded = load_years(lake, raw_root, years.requested_years(lake.spark, todo), limits)
+    missing = years.missing_years(requested, years.read_ledger(lake))
+    wanted = [row.load_year for row in missing.collect()]
+    loaded = load_years(lake, raw_root, wanted, limits) if wanted else []
 
     if years.read_ledger(lake).isEmpty():
         return LoadReport(loaded, lost)

@@ -5,30 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tremora.config import Limits
-from tremora.operators.conform import to_events
+from tremora.operators.conform import derive, to_events
 from tremora.operators.dedup import merge_latest
-from tremora.sources.catalog_csv import RAW_SCHEMA
+from tremora.sources.catalog_csv import RAW_COLUMNS, RAW_SCHEMA
 from tremora.sources.lake import Lake
 
 ARRIVALS = "bronze_arrivals"
 
 
 def ingest_new_files(
-    lake: Lake, raw_path: str, checkpoint: str, limits: Limits = Limits()
+    lake: Lake,
+    raw_path: str,
+    checkpoint: str,
+    limits: Limits = Limits(),
+    files_per_batch: int = 10_000,
 ) -> int:
     """Bring every file not seen before into the lake and stop; gives the batches run.
 
     The stream's checkpoint remembers the files.  A batch writes its own folder,
     named by the batch, so one that is retried replaces what it left behind.
     """
+    stored = 0
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        nonlocal stored
+        stored += 1
         target = f"{lake.path(ARRIVALS)}/batch={batch_id}"
         to_events(batch, limits).write.mode("overwrite").parquet(target)
 
     query = (
         lake.spark.readStream.schema(RAW_SCHEMA)
         .option("header", True)
+        .option("maxFilesPerTrigger", files_per_batch)
         .csv(raw_path)
         .writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
@@ -36,9 +44,10 @@ def ingest_new_files(
         .start()
     )
     query.awaitTermination()
-    return len({progress.batchId for progress in query.recentProgress if progress.numInputRows})
+    return stored
 
 
 def arrived_events(lake: Lake) -> DataFrame:
     """D3 over all batches: a revision may arrive in any later batch."""
-    return merge_latest(lake.read(ARRIVALS).drop("batch"))
+    source = [new for _, new, _ in RAW_COLUMNS]
+    return merge_latest(lake.read(ARRIVALS).select(*source, "datetime")).transform(derive)
