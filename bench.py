@@ -14,7 +14,7 @@ import time
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tremora.config import local_session
 from tremora.operators.conform import to_merged_events
@@ -25,7 +25,7 @@ from tremora.plans.star import Star, build_star
 from tremora.sources.catalog_csv import read_catalog
 from tremora.sources.derived import derived_catalog
 from tremora.sources.lake import Lake
-from tremora.sources.shared import fresh_path
+from tremora.sources.shared import scratch_folder
 
 REPEATS = 4
 
@@ -35,12 +35,17 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cores)
     spark.sparkContext.setLogLevel("ERROR")
-    root = fresh_path(spark, "bench")
+    with scratch_folder(spark, "bench") as root:
+        print(json.dumps(measure(spark, folder, int(cores), root)))
+    spark.stop()
+
+
+def measure(spark: SparkSession, folder: str, cores: int, root: str) -> dict:
     lake = Lake(spark, f"{root}/lake")
     names = lake.names
 
     # The input of a load is catalogue files, so these are made first and not timed.
-    raw = derived_catalog(spark, folder).repartition(int(cores))
+    raw = derived_catalog(spark, folder).repartition(cores)
     yearly_files(raw, f"{root}/raw")
 
     def transform() -> int:
@@ -74,23 +79,18 @@ def main() -> None:
         cold[name], warm[name] = round(times[0], 3), round(statistics.median(times[1:]), 3)
 
     rows = lake.read(names.silver).count()
-    print(
-        json.dumps(
-            {
-                "metric": "builds and reports, warm",
-                "value": round(sum(warm.values()), 3),
-                "unit": "sec",
-                "queries": warm,
-                "sf": float(Path(folder).name.removeprefix("sf")),
-                "cold": cold,
-                "silver_rows": rows,
-                "transform_rows_per_sec": round(rows / warm["full_transform"]),
-                "cores": int(cores),
-                "spark": spark.version,
-            }
-        )
-    )
-    spark.stop()
+    return {
+        "metric": "builds and reports, warm",
+        "value": round(sum(warm.values()), 3),
+        "unit": "sec",
+        "queries": warm,
+        "sf": float(Path(folder).name.removeprefix("sf")),
+        "cold": cold,
+        "silver_rows": rows,
+        "transform_rows_per_sec": round(rows / warm["full_transform"]),
+        "cores": cores,
+        "spark": spark.version,
+    }
 
 
 if __name__ == "__main__":

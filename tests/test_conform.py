@@ -63,6 +63,10 @@ def test_P4_to_P6_limits_are_inclusive(spark, column, kept, dropped):
     assert sorted(r[name] for r in conform.clean(rows).collect()) == sorted(kept)
 
 
+def test_P3_a_depth_that_is_no_number_is_not_filled(spark):
+    assert conform.clean(raw(spark, {"depth": float("nan")}, {"depth": None})).count() == 1
+
+
 def test_P7_every_lost_row_is_counted_once(spark):
     rows = raw(
         spark, {}, {"time": None, "mag": 99.0}, {"mag": None}, {"mag": 99.0, "depth": 2000.0},

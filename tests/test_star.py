@@ -131,6 +131,15 @@ def test_hot_times_give_the_same_star(spark, lake, workspace):
     assert found[0] == found[1] and len(found[0]) == 980
 
 
+def test_T9_a_fact_in_time_order_holds_the_same_rows(spark, lake, workspace):
+    build_star(lake, workspace.silver(), by_time=True)
+    fact = lake.read("fact_earthquakes")
+    assert rows_of(fact) == rows_of(workspace.star().fact)
+    ranges = fact.groupBy(F.input_file_name()).agg(F.min("time_id"), F.max("time_id")).collect()
+    bounds = sorted((low, high) for _, low, high in ranges)
+    assert all(high <= low for (_, high), (low, _) in zip(bounds, bounds[1:]))
+
+
 def test_D4_repeated_events_are_dropped_on_request(lake, workspace):
     silver = workspace.silver()
     counts = build_star(lake, silver.unionByName(silver.limit(100)), unique_events=False)

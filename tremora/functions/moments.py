@@ -75,8 +75,8 @@ def inclusive_days(first: Column, last: Column) -> Column:
 
 
 def second_text(moment: Column) -> Column:
-    """``YYYY-MM-DD HH:MM:SS``."""
-    return F.date_format(moment, "yyyy-MM-dd HH:mm:ss")
+    """``YYYY-MM-DD HH:MM:SS``.  (``date_format`` would pass through the session zone.)"""
+    return F.substring(moment.cast("string"), 1, 19)
 
 
 def clock_angle(hour: Column) -> Column:

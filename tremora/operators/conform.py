@@ -19,16 +19,23 @@ def conform_names(rows: DataFrame) -> DataFrame:
 
 
 def drop_incomplete(rows: DataFrame) -> DataFrame:
-    """P2."""
-    present = [name for name in CRITICAL_FIELDS if name in rows.columns]
-    return rows.dropna(subset=present) if present else rows
+    """P2.  (Not ``dropna``, which takes NaN for null and is not pushed to the scan.)"""
+    for name in CRITICAL_FIELDS:
+        if name in rows.columns:
+            rows = rows.where(F.col(name).isNotNull())
+    return rows
 
 
 def fill_optional(rows: DataFrame) -> DataFrame:
     """P3."""
     defaults = {"depth": 0.0, "place": UNKNOWN}
-    present = {name: value for name, value in defaults.items() if name in rows.columns}
-    return rows.fillna(present) if present else rows
+    return rows.withColumns(
+        {
+            name: F.coalesce(F.col(name), F.lit(value))
+            for name, value in defaults.items()
+            if name in rows.columns
+        }
+    )
 
 
 def _rules(rows: DataFrame, limits: Limits) -> dict[str, Column]:

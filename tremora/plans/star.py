@@ -13,7 +13,7 @@ from tremora.operators.dedup import merge_latest
 from tremora.operators.keyed_join import MIN_HOT_ROWS, attach_id
 from tremora.operators.numbering import number_keys
 from tremora.operators.together import together
-from tremora.sources.lake import Lake
+from tremora.sources.lake import Lake, clustered
 from tremora.sources.shared import scratch_folder
 
 TIME_KEYS = ("datetime",)  # the calendar fields follow from it
@@ -48,8 +48,13 @@ TEXT_MEASURES = ("depth_category", "network", "status", "event_type", "moon_phas
 
 def complete_events(silver: DataFrame) -> DataFrame:
     """Events that can be keyed, with the defaults of their keys filled in."""
-    return silver.dropna(subset=["datetime", "latitude", "longitude", "magnitude"]).fillna(
-        UNKNOWN, subset=["place", "region", "magnitude_type"]
+    for name in ("datetime", "latitude", "longitude", "magnitude"):
+        silver = silver.where(F.col(name).isNotNull())
+    return silver.withColumns(
+        {
+            name: F.coalesce(F.col(name), F.lit(UNKNOWN))
+            for name in ("place", "region", "magnitude_type")
+        }
     )
 
 
@@ -162,12 +167,15 @@ def build_star(
     lake: Lake,
     silver: DataFrame | None = None,
     unique_events: bool = True,
+    by_time: bool = False,
     min_hot_rows: int = MIN_HOT_ROWS,
 ) -> dict[str, int]:
     """Write the three dimensions and the fact; gives the rows of each.
 
     Events merged by ``merge_latest`` hold each id once.  For other input, pass
-    ``unique_events=False`` to have one row kept per id first (D4).
+    ``unique_events=False`` to have one row kept per id first (D4).  ``by_time``
+    lays the fact out in the order of time, at the price of one more shuffle, so
+    that reports on a range of days skip the files outside it.
     """
     spark, names = lake.spark, lake.names
     silver = lake.read(names.silver) if silver is None else silver
@@ -184,6 +192,8 @@ def build_star(
         for numbered in (magnitude, location, time):
             fact = attach_id(fact, numbered, min_hot_rows=min_hot_rows)
         fact = with_measures(fact).select(*FACT_COLUMNS)
+        if by_time:
+            fact = clustered(fact, "time_id", "event_id")
 
         frames = (
             with_time_attributes(time.rows).select(*TIME_COLUMNS),
