@@ -14,7 +14,7 @@ from tremora.operators.keyed_join import attach_id
 from tremora.operators.numbering import number, number_keys, place
 from tremora.plans import cubes
 from tremora.plans.star import Star, build_star, event_view, star_view
-from tremora.sources.shared import fresh_path
+from tremora.sources.shared import fresh_path, path_exists, scratch_folder, shared_root
 
 
 def skewed(spark, rows=4000):
@@ -174,6 +174,11 @@ def test_P8_E20_unkeyed_events_are_left_out_and_keys_defaulted(workspace):
     assert [tuple(row) for row in found] == [("Unknown", "Unknown", "Unknown")]
 
 
+def test_A31_columns_of_a_table(workspace):
+    found = profile.table_columns(workspace.star_lake(), "dim_magnitude").orderBy("position").collect()
+    assert [(r.column_name, r.data_type) for r in found][:2] == [("magnitude_id", "bigint"), ("magnitude", "double")]
+
+
 def test_A31_audit_of_missing_tables(lake):
     found = profile.table_audit(lake, ["dim_time", "nothing"]).collect()
     assert [(r.table_name, r.is_there, r.row_count) for r in found] == [
@@ -202,3 +207,29 @@ def test_cubes_from_the_event_view_need_no_join(workspace):
     for make in (cubes.time_magnitude, cubes.location_magnitude, cubes.depth_analysis, cubes.temporal_trends):
         plan = make(workspace.view())._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "Python" not in plan
+
+
+class Session:
+    """As much of a session as finding the shared folder needs."""
+
+    def __init__(self, master, folder=None):
+        self.conf = {} if folder is None else {"spark.checkpoint.dir": folder}
+        self.sparkContext = self
+        self.master, self.applicationId = master, "app"
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_the_shared_folder_is_the_one_the_cluster_names():
+    assert shared_root(Session("yarn", "hdfs://shared/")) == "hdfs://shared/tremora-app"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_root(Session("yarn"))
+    assert shared_root(Session("local[2]")).endswith("/tremora-app")
+
+
+def test_scratch_folders_are_removed(spark):
+    with scratch_folder(spark, "gone") as path:
+        spark.range(3).write.parquet(f"{path}/t")
+        assert path_exists(spark, path)
+    assert not path_exists(spark, path)

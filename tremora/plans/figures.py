@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremora.functions import bands, moments
-from tremora.operators.shapes import densify, with_share
+from tremora.operators.shapes import densify, relabel, with_share
 
 # --- fixed values ---
 TOTAL_LABEL = "**TOTAL**"
@@ -17,6 +17,11 @@ SELECTION_MAGNITUDE_BANDS = (
     ("strong", 5.0, 6.0),
     ("major", 6.0, None),
 )
+SEASON_LABELS = {
+    "season": "Season",
+    "total_events": "Total Events",
+    "avg_magnitude": "Avg Magnitude",
+}
 PHASE_LABELS = {
     "moon_phase_name": "Moon Phase",
     "event_count": "Total Events",
@@ -87,6 +92,16 @@ def seasonal_with_total(seasonal: DataFrame) -> DataFrame:
     return shown.unionByName(total)
 
 
+def season_table(with_total: DataFrame) -> DataFrame:
+    """A23 as shown to readers."""
+    return relabel(with_total, SEASON_LABELS)
+
+
+def phase_table(statistics: DataFrame) -> DataFrame:
+    """A20 as shown to readers."""
+    return relabel(statistics, PHASE_LABELS)
+
+
 def magnitude_share(distribution: DataFrame) -> DataFrame:
     """Each category's percentage of all events."""
     order = bands.labels(bands.MAGNITUDE_CATEGORIES)

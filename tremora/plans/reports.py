@@ -83,6 +83,16 @@ def top_events_table(top_events: DataFrame) -> DataFrame:
     )
 
 
+def region_table(regions: DataFrame) -> DataFrame:
+    """A6 or A7 as shown to readers."""
+    return relabel(regions, REGION_LABELS)
+
+
+def category_table(distribution: DataFrame) -> DataFrame:
+    """A8 as shown to readers."""
+    return relabel(distribution, CATEGORY_LABELS)
+
+
 def events_for_map(
     star: Star,
     min_magnitude: float | None = None,
@@ -122,12 +132,16 @@ def map_points(map_events: DataFrame) -> DataFrame:
     )
 
 
-def kpis(star: Star) -> DataFrame:
-    """One row for all key figures, from one pass over the fact.
+def _ends_of_time(star: Star, totals: DataFrame) -> DataFrame:
+    """One row of totals as two, each with one of the time rows that its ``ends`` name.
 
-    The first and last time id of that pass are then looked up in the time
-    dimension, instead of joining it to every event.
+    Looking two ids up in the time dimension replaces joining it to every event.
     """
+    return totals.withColumn("time_id", F.explode("ends")).join(star.time, "time_id")
+
+
+def kpis(star: Star) -> DataFrame:
+    """One row for all key figures, from one pass over the fact."""
     totals = star_view(star, magnitude=True).agg(
         F.count("*").alias("total_events"),
         F.avg("magnitude").alias("avg_magnitude"),
@@ -135,8 +149,7 @@ def kpis(star: Star) -> DataFrame:
         F.array(F.min("time_id"), F.max("time_id")).alias("ends"),
     )
     return (
-        totals.withColumn("time_id", F.explode("ends"))
-        .join(star.time, "time_id")
+        _ends_of_time(star, totals)
         .agg(
             F.coalesce(F.max("total_events"), F.lit(0)).alias("total_events"),
             F.min("datetime").alias("min_datetime"),
@@ -152,6 +165,24 @@ def kpis(star: Star) -> DataFrame:
     )
 
 
+def days_shown(
+    star: Star, start: dt.date | None = None, end: dt.date | None = None
+) -> DataFrame:
+    """The days a map covers: those asked for, or all there are events on."""
+    start, end = ordered_range(start, end)
+    ends = star.fact.agg(F.array(F.min("time_id"), F.max("time_id")).alias("ends"))
+    first, last = (
+        F.coalesce(F.lit(asked).cast("timestamp_ntz"), F.col(there))
+        for asked, there in ((start, "first"), (end, "last"))
+    )
+    return (
+        _ends_of_time(star, ends)
+        .agg(F.min("date").alias("first"), F.max("date").alias("last"))
+        .select(first.alias("first_day"), last.alias("last_day"))
+        .withColumn("days", moments.inclusive_days(F.col("first_day"), F.col("last_day")))
+    )
+
+
 def events_by_region(cube: DataFrame, top_n: int = 10) -> DataFrame:
     """Distinct cells by count; a region shows once per distinct set of figures."""
     columns = [
