@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from conftest import rows_of
@@ -191,3 +192,26 @@ def test_expected_counts_of_the_derived_catalog(spark, workspace):
     assert conform.clean(workspace.raw()).count() == 1008
     assert workspace.silver().count() == 980
     assert workspace.silver().where(F.col("status") == "reviewed").count() == 20
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_D2_D3_against_brute_force(spark, seed):
+    dice = random.Random(seed)
+    rows = [
+        (
+            dice.choice(["a", "b", "c", "d", None]),
+            dice.randrange(4),
+            dice.choice(["u1", "u2", None]),
+            dice.choice("pqrs"),
+        )
+        for _ in range(60)
+    ]
+    kept = dedup.merge_latest(moments_of(spark, *rows).repartition(5)).collect()
+    best = {}
+    for key, second, updated, place in rows:
+        best.setdefault(key, set()).add((second, updated or "", place))
+    assert {r.event_id for r in kept} == set(best) and len(kept) == len(best)
+    for row in kept:
+        top = max((second, updated) for second, updated, _ in best[row.event_id])
+        assert (row.datetime.second, row.updated or "") == top
+        assert (*top, row.place) in best[row.event_id]

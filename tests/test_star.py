@@ -233,3 +233,41 @@ def test_scratch_folders_are_removed(spark):
         spark.range(3).write.parquet(f"{path}/t")
         assert path_exists(spark, path)
     assert not path_exists(spark, path)
+
+
+def test_J5_hot_ids_are_split_by_adaptive_execution(spark, lake, workspace):
+    """The star joined on a time that a third of all events share, with both sides shuffled."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    hot = F.when(F.crc32("event_id") % 3 == 0, F.lit(dt.datetime(2022, 1, 1)).cast("timestamp_ntz"))
+    silver = workspace.silver().withColumn("datetime", F.coalesce(hot, "datetime"))
+    # several files, so that there are several map tasks to split by
+    build_star(lake, silver)
+    lake.replace("spread", lake.read("fact_earthquakes").repartition(6))
+    star = Star(*(lake.read(t) for t in ("dim_time", "dim_location", "dim_magnitude", "spread")))
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        rows = star_view(star, time=True).select("event_id", "datetime", "season")
+        found = rows_of(rows.repartition(1))
+        joined = star_view(star, time=True).groupBy("season").agg(F.max("event_id"))
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin(skew=true)" in plan
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert found == rows_of(event_view(silver).select("event_id", "datetime", "season"))
+
+
+def test_a_star_of_no_events_is_empty(lake, workspace):
+    nothing = workspace.silver().where("false")
+    assert set(build_star(lake, nothing).values()) == {0}
+    assert set(cubes.build_cubes(lake, event_view(nothing)).values()) == {0}
+    assert star_view(Star.of(lake), time=True, location=True, magnitude=True).count() == 0
