@@ -27,7 +27,7 @@ from tremora.sources.derived import derived_catalog
 from tremora.sources.lake import Lake
 from tremora.sources.shared import scratch_folder
 
-REPEATS = 4
+REPEATS = 6
 
 
 def main() -> None:
@@ -56,15 +56,19 @@ def measure(spark: SparkSession, folder: str, cores: int, root: str) -> dict:
         return lambda: len(report().collect())
 
     star = lambda: Star.of(lake)
-    cube = lambda name: lake.read(name)
+    cube = lake.read
     steps: dict[str, Callable[[], object]] = {
         "full_transform": transform,
         "star_build": lambda: build_star(lake),
         "cube_build": lambda: build_cubes(lake),
         "top_magnitude_events": shown(lambda: reports.top_magnitude_events(star(), 100)),
-        "events_by_region": shown(lambda: reports.events_by_region(cube(names.cube_location_magnitude), 50)),
+        "events_by_region": shown(
+            lambda: reports.events_by_region(cube(names.cube_location_magnitude), 50)
+        ),
         "temporal_trends": shown(lambda: reports.temporal_trends(cube(names.cube_temporal_trends))),
-        "magnitude_distribution": shown(lambda: reports.magnitude_distribution(cube(names.cube_time_magnitude))),
+        "magnitude_distribution": shown(
+            lambda: reports.magnitude_distribution(cube(names.cube_time_magnitude))
+        ),
         "depth_analysis": shown(lambda: reports.depth_analysis(cube(names.cube_depth_analysis))),
         "events_for_map": shown(lambda: reports.events_for_map(star(), 4.0, 1000)),
     }

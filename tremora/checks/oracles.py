@@ -555,6 +555,13 @@ FROM cube_depth GROUP BY depth_category""",
     "hourly_patterns_min_mag": HOURLY.format(where="WHERE avg_magnitude >= 5.5"),
     "seasonal_patterns": SEASONAL.format(where=""),
     "seasonal_patterns_min_mag": SEASONAL.format(where="WHERE avg_magnitude >= 5.5"),
+    "seasonal_patterns_strong_events": """
+SELECT season, CAST(sum(n) AS BIGINT) AS total_events, round(avg(m) + 1e-9, 6) AS avg_magnitude,
+  round(avg(d) + 1e-9, 6) AS avg_depth
+FROM (SELECT year, month, day_name, hour, season, is_weekend, magnitude_category,
+        count(*) AS n, avg(magnitude) AS m, avg(depth) AS d
+      FROM star WHERE magnitude >= 5.5 GROUP BY ALL)
+GROUP BY season""",
     "seasonal_with_total": """
 SELECT season, total_events, avg_magnitude FROM (
   SELECT season, CAST(sum(event_count) AS BIGINT) AS total_events,

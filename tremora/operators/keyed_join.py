@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tremora.operators.numbering import WEIGHT, NumberedKeys
 
-MAX_HOT_KEYS = 1000
+MAX_HOT_KEYS = 100_000
 MIN_HOT_ROWS = 1_000_000
-SPREAD = 4096
+SPREAD = 65_536
 
 
 def attach_id(
