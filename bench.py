@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tremora.config import local_session
 from tremora.operators.conform import to_merged_events
 from tremora.plans import reports
-from tremora.plans.cubes import build_cubes
+from tremora.plans.cubes import build_cubes, read_cube
 from tremora.plans.loads import yearly_files
 from tremora.plans.star import Star, build_star
 from tremora.sources.catalog_csv import read_catalog
@@ -56,7 +56,7 @@ def measure(spark: SparkSession, folder: str, cores: int, root: str) -> dict:
         return lambda: len(report().collect())
 
     star = lambda: Star.of(lake)
-    cube = lake.read
+    cube = lambda table: read_cube(lake, table)
     steps: dict[str, Callable[[], object]] = {
         "full_transform": transform,
         "star_build": lambda: build_star(lake),

@@ -13,7 +13,7 @@ from tremora.operators import profile
 from tremora.operators.keyed_join import attach_id
 from tremora.operators.numbering import number, number_keys, place
 from tremora.plans import cubes
-from tremora.plans.star import Star, build_star, event_view, star_view
+from tremora.plans.star import STAR_SCHEMAS, Star, build_star, event_view, star_view
 from tremora.sources.shared import fresh_path, path_exists, scratch_folder, shared_root
 
 
@@ -109,6 +109,13 @@ def test_star_properties(workspace):
         assert rows.select(falls.alias("falls")).where("falls").count() == 0
 
 
+def test_tables_hold_what_their_schemas_say(workspace):
+    lake = workspace.cube_lake()
+    names = lake.names.star + lake.names.cubes
+    for table, schema in zip(names, (*STAR_SCHEMAS, *cubes.CUBE_SCHEMAS), strict=True):
+        assert lake.read(table).dtypes == lake.read(table, schema).dtypes
+
+
 def test_star_joined_back_equals_the_event_view(workspace):
     whole = star_view(workspace.star(), time=True, location=True, magnitude=True)
     columns = [c for c in whole.columns if c not in ("time_id", "location_id", "magnitude_id")]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tremora.operators.conform import to_events, to_merged_events
 from tremora.plans import ledger, loads
-from tremora.plans.cubes import build_cubes
+from tremora.plans.cubes import build_cubes, read_cube
 from tremora.plans.star import Star, build_star, event_view
 from tremora.sources.derived import derived_catalog
 from tremora.sources.lake import Lake
@@ -90,7 +90,7 @@ class Workspace:
         return lake
 
     def cube(self, name: str) -> DataFrame:
-        return self.cube_lake().read(f"cube_{name}")
+        return read_cube(self.cube_lake(), f"cube_{name}")
 
     def fully_loaded(self) -> Lake:
         """L2 over the CSV files."""

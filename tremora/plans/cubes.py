@@ -13,6 +13,29 @@ from tremora.functions import bands
 from tremora.operators.together import together
 from tremora.plans.star import event_view
 from tremora.sources.lake import Lake, clustered
+# In the order of TableNames.cubes.
+CUBE_SCHEMAS = (
+    """year INT, month INT, day_name STRING, hour INT, season STRING, is_weekend BOOLEAN,
+    magnitude_category STRING, event_count BIGINT, avg_magnitude DOUBLE, min_magnitude DOUBLE,
+    max_magnitude DOUBLE, avg_depth DOUBLE, total_energy DOUBLE""",
+    """region STRING, hemisphere_ns STRING, hemisphere_ew STRING, climate_zone STRING,
+    magnitude_category STRING, event_count BIGINT, avg_magnitude DOUBLE, max_magnitude DOUBLE,
+    avg_depth DOUBLE, center_latitude DOUBLE, center_longitude DOUBLE""",
+    """depth_category STRING, magnitude_category STRING, season STRING, event_count BIGINT,
+    avg_depth DOUBLE, avg_magnitude DOUBLE, avg_stations DOUBLE, avg_gap DOUBLE,
+    avg_horizontal_error DOUBLE, avg_depth_error DOUBLE""",
+    """date TIMESTAMP_NTZ, year INT, month INT, day_of_week INT, daily_event_count BIGINT,
+    daily_avg_magnitude DOUBLE, daily_max_magnitude DOUBLE, daily_total_energy DOUBLE,
+    affected_regions BIGINT""",
+    """moon_phase_name STRING, moon_phase DOUBLE, magnitude_group STRING, event_count BIGINT,
+    avg_magnitude DOUBLE, max_magnitude DOUBLE, avg_depth DOUBLE""",
+)
+
+
+def read_cube(lake: Lake, table: str) -> DataFrame:
+    """S8."""
+    return lake.read(table, CUBE_SCHEMAS[lake.names.cubes.index(table)])
+
 
 def _mean(name: str, alias: str | None = None) -> Column:
     return F.avg(name).alias(alias or f"avg_{name}")

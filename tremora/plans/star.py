@@ -13,31 +13,28 @@ from tremora.operators.dedup import merge_latest
 from tremora.operators.keyed_join import MIN_HOT_ROWS, attach_id
 from tremora.operators.numbering import number_keys
 from tremora.operators.together import together
-from tremora.sources.lake import Lake, clustered
+from tremora.sources.lake import Lake, clustered, column_names
 from tremora.sources.shared import scratch_folder
 
 TIME_KEYS = ("datetime",)  # the calendar fields follow from it
 LOCATION_KEYS = ("latitude", "longitude", "place", "region")
 MAGNITUDE_KEYS = ("magnitude", "magnitude_type", "magnitude_category")
 
-TIME_COLUMNS = (
-    "time_id", "datetime", "date", "year", "month", "day", "hour",
-    "day_of_week", "day_name", "season", "is_weekend",
-)
-LOCATION_COLUMNS = (
-    "location_id", "latitude", "longitude", "place", "region",
-    "hemisphere_ns", "hemisphere_ew", "climate_zone",
-)
-MAGNITUDE_COLUMNS = (
-    "magnitude_id", "magnitude", "magnitude_category", "magnitude_type",
-    "effects_description", "energy_joules",
-)
-FACT_COLUMNS = (
-    "earthquake_id", "time_id", "location_id", "magnitude_id", "event_id",
-    "depth", "depth_category", "num_stations", "azimuthal_gap", "min_distance", "rms",
-    "horizontal_error", "depth_error", "magnitude_error",
-    "network", "status", "event_type", "moon_phase", "moon_phase_name",
-)
+TIME_SCHEMA = """
+time_id BIGINT, datetime TIMESTAMP_NTZ, date TIMESTAMP_NTZ, year INT, month INT, day INT, hour INT,
+day_of_week INT, day_name STRING, season STRING, is_weekend BOOLEAN"""
+LOCATION_SCHEMA = """
+location_id BIGINT, latitude DOUBLE, longitude DOUBLE, place STRING, region STRING,
+hemisphere_ns STRING, hemisphere_ew STRING, climate_zone STRING"""
+MAGNITUDE_SCHEMA = """
+magnitude_id BIGINT, magnitude DOUBLE, magnitude_category STRING, magnitude_type STRING,
+effects_description STRING, energy_joules DOUBLE"""
+FACT_SCHEMA = """
+earthquake_id STRING, time_id BIGINT, location_id BIGINT, magnitude_id BIGINT, event_id STRING,
+depth DOUBLE, depth_category STRING, num_stations INT, azimuthal_gap DOUBLE, min_distance DOUBLE,
+rms DOUBLE, horizontal_error DOUBLE, depth_error DOUBLE, magnitude_error DOUBLE,
+network STRING, status STRING, event_type STRING, moon_phase DOUBLE, moon_phase_name STRING"""
+STAR_SCHEMAS = (TIME_SCHEMA, LOCATION_SCHEMA, MAGNITUDE_SCHEMA, FACT_SCHEMA)
 
 NUMBER_MEASURES = (
     "depth", "azimuthal_gap", "min_distance", "rms",
@@ -142,7 +139,7 @@ class Star:
     @classmethod
     def of(cls, lake: Lake) -> Star:
         """S8."""
-        return cls(*(lake.read(table) for table in lake.names.star))
+        return cls(*map(lake.read, lake.names.star, STAR_SCHEMAS))
 
 
 def star_view(
@@ -191,14 +188,14 @@ def build_star(
         fact = events
         for numbered in (magnitude, location, time):
             fact = attach_id(fact, numbered, min_hot_rows=min_hot_rows)
-        fact = with_measures(fact).select(*FACT_COLUMNS)
+        fact = with_measures(fact).select(*column_names(FACT_SCHEMA))
         if by_time:
             fact = clustered(fact, "time_id", "event_id")
 
         frames = (
-            with_time_attributes(time.rows).select(*TIME_COLUMNS),
-            with_location_attributes(location.rows).select(*LOCATION_COLUMNS),
-            with_magnitude_attributes(magnitude.rows).select(*MAGNITUDE_COLUMNS),
+            with_time_attributes(time.rows).select(*column_names(TIME_SCHEMA)),
+            with_location_attributes(location.rows).select(*column_names(LOCATION_SCHEMA)),
+            with_magnitude_attributes(magnitude.rows).select(*column_names(MAGNITUDE_SCHEMA)),
             fact,
         )
         counts = together(
