@@ -12,8 +12,8 @@ def _spans(name: str, kind: int, pattern: str, group: int, least: int) -> str:
   SELECT doc_id, {kind} AS kind, '{name}' AS rule, start, start + length(whole) AS stop
   FROM (
     SELECT doc_id, whole, part,
-      list_sum(list_transform(gaps[:i], x -> length(x)))
-        + coalesce(list_sum(list_transform(wholes[:i - 1], x -> length(x))), 0) AS start
+      list_sum(list_transform(gaps[:i], lambda x: length(x)))
+        + coalesce(list_sum(list_transform(wholes[:i - 1], lambda x: length(x))), 0) AS start
     FROM (
       SELECT doc_id, gaps, wholes, unnest(wholes) AS whole, unnest(parts) AS part,
         unnest(range(1, len(wholes) + 1)) AS i
@@ -48,12 +48,12 @@ FROM texts LEFT JOIN found USING (doc_id)
 
 VECTORS = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
   FROM embeddings
 ),
 scores AS (
   SELECT q.vec_id AS query_id, b.vec_id AS vec_id,
-    CAST(list_sum(list_transform(range(1, len(q.w) + 1), i -> q.w[i] * b.w[i])) AS BIGINT) AS score
+    CAST(list_sum(list_transform(range(1, len(q.w) + 1), lambda i: q.w[i] * b.w[i])) AS BIGINT) AS score
   FROM v q JOIN v b ON q.vec_id <> b.vec_id WHERE q.vec_id % 20 = 0
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
