@@ -36,58 +36,59 @@ CLOSING = 1  # id after each document
 GRID = 64  # tokens that lengths are rounded up to for the patterns
 MOST_PARTS = 4  # pieces of a pattern
 SALTS = 64
-KNOWN_WORDS = 400_000  # of a Python worker's table of words, which starts anew when full
+KNOWN_WORDS = 600_000  # of a Python worker's table of words, which starts anew when full
 LONGEST_KNOWN = 40
 
-PLAIN = re.compile(rb"([a-z]+)([.,]?)")
+# Small letters of Latin-1 in UTF-8, and what may follow them.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,]?)")
 BEYOND_LATIN = re.compile("[^\x00-\xff]")
 
 
-class Words:
+def _byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable ones as the character of that number,
+    all others, in order, as the characters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+class Words(dict):
     """Token ids of texts, word by word: the tokenizer drops white space and never joins over it.
 
-    Ids are kept as bytes, four per id.  Words of small letters only need neither
-    normalising nor splitting, so they go to the tokenizer's model at once.
+    Words map to their ids as bytes, four per id.  Words of small letters only need
+    neither normalising nor splitting: as byte letters they go to the tokenizer's model at once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
+        self.letters = _byte_letters()
 
-    def _ids(self, word: bytes) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
         plain = PLAIN.fullmatch(word)
         if plain is None:
             ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        elif plain[2] and len(plain[1]) <= LONGEST_KNOWN:
-            return self.of_word(plain[1]) + self.of_word(plain[2])
+            found = np.array(ids, "<u4").tobytes()
         elif plain[2]:
-            return self._ids(plain[1]) + self.of_word(plain[2])
+            found = self[plain[1]] + self[plain[2]]
         else:
-            ids = [token.id for token in self.model.tokenize(word.decode())]
-        return np.array(ids, "<u4").tobytes()
-
-    def of_word(self, word: bytes) -> bytes:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = self._ids(word)
-            if len(word) <= LONGEST_KNOWN:
-                if len(self.known) >= KNOWN_WORDS:
-                    self.known.clear()
-                self.known[word] = ids
-        return ids
+            letters = word.decode("latin-1").translate(self.letters)
+            ids = [token.id for token in self.model.tokenize(letters)]
+            found = np.array(ids, "<u4").tobytes()
+        if len(word) <= LONGEST_KNOWN:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[word] = found
+        return found
 
     def of_text(self, text: str) -> bytes:
         # Lower case here means fewer different words; special tokens are told apart before.
         if "<|" not in text and not BEYOND_LATIN.search(text):
             text = text.lower()
-        words = text.encode().split()
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            ids = [self.of_word(w) if x is None else x for w, x in zip(words, ids)]
-        return b"".join(ids)
+        return b"".join(map(self.__getitem__, text.encode().split()))
 
 
 _loaded: dict[str, Words] = {}  # of a Python worker, which serves many tasks
