@@ -154,7 +154,7 @@ def test_E7_published_moons(spark):
     rows = spark.createDataFrame([(m, p) for m, p in ANCHORS.items()], "datetime timestamp_ntz, want double")
     for row in lunar.with_moon_phase(rows).collect():
         off = abs(row.moon_phase - row.want)
-        assert min(off, 1 - off) < 0.0006
+        assert min(off, 1 - off) < 0.0003
         assert 0 <= row.moon_phase < 1
 
 

@@ -187,3 +187,60 @@ def test_ST2_drained_stream_equals_the_cube_in_any_zone(spark, lake, tmp_path, w
             assert rows_of(found.select(*cube.columns)) == rows_of(cube)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_L3_a_load_that_stops_before_the_star_is_made_good(spark, lake, files, monkeypatch):
+    loads.incremental_load(lake, files, years(spark, 2021))
+
+    def stops(_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(loads, "build_star", stops)
+        with pytest.raises(RuntimeError, match="stopped"):
+            loads.incremental_load(lake, files, years(spark, 2021, 2022))
+    loads.incremental_load(lake, files, years(spark, 2021, 2022))
+    names = lake.names
+    events = lake.read(names.silver).count()
+    assert lake.read(names.fact).count() == events
+    assert lake.read(names.cube_time_magnitude).agg(F.sum("event_count")).first()[0] == events
+
+
+def test_S9_a_cleared_year_without_files_stays_away(spark, lake, files, tmp_path):
+    raw = tmp_path / "raw"
+    shutil.copytree(files, raw)
+    loads.incremental_load(lake, str(raw), years(spark, 2021, 2022))
+    ledger.clear_years(lake, [2021])
+    shutil.rmtree(raw / "load_year=2021")
+    loads.incremental_load(lake, str(raw), years(spark, 2021, 2022))
+    assert year_list(ledger.read_ledger(lake)) == [2022]
+
+
+def test_L6_does_not_depend_on_the_overwrite_mode(spark, lake, files):
+    loads.incremental_load(lake, files, years(spark, 2021, 2022))
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        ledger.clear_years(lake, [2022])
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert year_list(ledger.read_ledger(lake)) == [2021]
+
+
+def test_S1_quotes_and_a_foreign_header(spark, tmp_path):
+    from tremora.sources.catalog_csv import RAW_COLUMNS, read_catalog
+
+    header = ",".join(name for name, _, _ in RAW_COLUMNS)
+    place = '"5 km S of ""Big"" Town, Fiji"'
+    cells = {"time": "2024-01-01T00:00:00.000Z", "latitude": "10", "id": "x1", "place": place, "type": "earthquake"}
+    line = ",".join(cells.get(name, "") for name, _, _ in RAW_COLUMNS)
+    (tmp_path / "a.csv").write_text(f"{header}\n{line}\n")
+    row = read_catalog(spark, str(tmp_path / "a.csv")).first()
+    assert row.place == '5 km S of "Big" Town, Fiji' and row.type == "earthquake"
+    swapped = header.replace("latitude,longitude", "longitude,latitude")
+    (tmp_path / "b.csv").write_text(f"{swapped}\n{line}\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_catalog(spark, str(tmp_path / "b.csv")).collect()
+
+
+def test_ST1_before_the_first_batch(lake):
+    assert arrived_events(lake).count() == 0

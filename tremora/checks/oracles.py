@@ -62,17 +62,24 @@ clean AS (
 timed AS (
   SELECT *, CAST(strptime(time, '%Y-%m-%dT%H:%M:%S.%gZ') AS TIMESTAMP) AS datetime FROM clean),
 angles AS (
-  SELECT *, (epoch_us(datetime) - 946728000000000) / 3155760000000000.0 AS t FROM timed),
+  SELECT *, (epoch_us(datetime) - 946728000000000 + 69000000) / 3155760000000000.0 AS t FROM timed),
 lunar AS (
   SELECT * EXCLUDE (t),
     297.8501921 + 445267.1114034 * t AS d,
     357.5291092 + 35999.0502909 * t AS m,
-    134.9633964 + 477198.8675055 * t AS n
+    134.9633964 + 477198.8675055 * t AS n,
+    93.2720950 + 483202.0175233 * t AS f
   FROM angles),
 phased AS (
-  SELECT * EXCLUDE (d, m, n),
-    (d + 6.289 * sin(radians(n)) - 2.100 * sin(radians(m)) + 1.274 * sin(radians(2 * d - n))
-       + 0.658 * sin(radians(2 * d)) + 0.214 * sin(radians(2 * n)) + 0.110 * sin(radians(d))) / 360 AS turns
+  SELECT * EXCLUDE (d, m, n, f),
+    (d + 6.288774 * sin(radians(n)) - (0.185116 + 1.914602) * sin(radians(m)) - 0.019993 * sin(radians(2 * m))
+       - 0.000289 * sin(radians(3 * m)) + 1.274027 * sin(radians(2 * d - n)) + 0.658314 * sin(radians(2 * d))
+       + 0.213618 * sin(radians(2 * n)) - 0.114332 * sin(radians(2 * f)) + 0.058793 * sin(radians(2 * d - 2 * n))
+       + 0.057066 * sin(radians(2 * d - m - n)) + 0.053322 * sin(radians(2 * d + n))
+       + 0.045758 * sin(radians(2 * d - m)) + 0.040923 * sin(radians(n - m)) - 0.034720 * sin(radians(d))
+       - 0.030383 * sin(radians(m + n)) + 0.015327 * sin(radians(2 * d - 2 * f))
+       - 0.012528 * sin(radians(n + 2 * f)) + 0.010980 * sin(radians(n - 2 * f))
+       + 0.010675 * sin(radians(4 * d - n)) + 0.010034 * sin(radians(3 * n))) / 360 AS turns
   FROM lunar),
 enriched AS (
   SELECT * EXCLUDE (turns),

@@ -345,7 +345,7 @@ def filter_events(w: Workspace) -> DataFrame:
         start=MAP_DAYS[0],
         end=MAP_DAYS[1],
         depth_categories=["Shallow", "Deep"],
-        regions=filters.first_regions(REGIONS),
+        regions=REGIONS,
         magnitude_categories=["Light", "Moderate", "Strong", "Major"],
     )
     return rows.select("event_id", "datetime", "region", "magnitude", "depth_category")

@@ -8,10 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# --- fixed value: how many regions are chosen at the start ---
-FIRST_REGIONS = 10
-# --- end of fixed values ---
-
 
 def at_least(rows: DataFrame, minimum: float | None, column: str = "magnitude") -> DataFrame:
     """P9 on events, P10 with ``avg_magnitude`` on the cells of a cube.  None keeps all."""
@@ -21,7 +17,7 @@ def at_least(rows: DataFrame, minimum: float | None, column: str = "magnitude")
 def ordered_range(
     start: dt.date | None, end: dt.date | None
 ) -> tuple[dt.date | None, dt.date | None]:
-    """A reversed range means the whole range."""
+    """On the map, a reversed range means the whole range."""
     if start is not None and end is not None and start > end:
         return None, None
     return start, end
@@ -30,8 +26,11 @@ def ordered_range(
 def within_days(
     rows: DataFrame, start: dt.date | None, end: dt.date | None, column: str = "date"
 ) -> DataFrame:
-    """Calendar days from start to end, both included; None leaves a side open."""
-    start, end = ordered_range(start, end)
+    """Calendar days from start to end, both included; None leaves a side open.
+
+    A reversed range holds no day.  Where it means the whole range (P12), apply
+    ``ordered_range`` first.
+    """
     if start is not None:
         rows = rows.where(F.col(column) >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
@@ -41,11 +40,6 @@ def within_days(
     return rows
 
 
-def first_regions(regions: Sequence[str]) -> list[str]:
-    """The regions chosen when the caller does not say."""
-    return list(regions[:FIRST_REGIONS])
-
-
 def filter_events(
     rows: DataFrame,
     min_magnitude: float | None = None,

@@ -71,8 +71,10 @@ def load_years(
     Files lie in ``load_year=YYYY/`` folders, and other folders are not read.
     Bronze is partitioned by the year a file was requested for, not by the year
     of the event, so that a stray event cannot replace another year's partition.
-    A year without rows is not recorded.
+    A year without rows is not recorded; what an earlier load, forgotten since,
+    left in bronze for the wanted years goes first, or it would pass for theirs.
     """
+    lake.drop_partitions(lake.names.bronze, "load_year", wanted)
     these = F.col("load_year").isin(*wanted)
     raw = read_catalog(lake.spark, raw_root, partitions=BY_YEAR).where(these).select(
         "*",
@@ -92,6 +94,10 @@ def merge_bronze(lake: Lake) -> int:
     from the rows that are kept: that is less to shuffle.
     """
     names = lake.names
+    # Star and cubes don't fit the new table.  Marked before it is written, they are built anew
+    # also when this load ends between here and there.
+    for table in names.star + names.cubes:
+        lake.mark_stale(table)
     loaded = F.col("load_year").isin(*years.loaded_years(lake))
     bronze = read_bronze(lake).where(loaded).select(*SOURCE_COLUMNS, "datetime")
     rows = lake.replace(names.silver, merge_latest(bronze).transform(derive))
@@ -150,5 +156,6 @@ def yearly_files(raw: DataFrame, path: str) -> None:
         .write.mode("overwrite")
         .partitionBy("load_year")
         .option("header", True)
+        .option("escape", '"')
         .csv(path)
     )

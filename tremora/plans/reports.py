@@ -106,7 +106,8 @@ def events_for_map(
     filter reaches the scan of the fact.
     """
     rows = at_least(star_view(star, magnitude=True), min_magnitude)
-    if any(ordered_range(start, end)):
+    start, end = ordered_range(start, end)
+    if start is not None or end is not None:
         ids = within_days(star.time, start, end).agg(
             F.min("time_id").alias("first"), F.max("time_id").alias("last")
         )

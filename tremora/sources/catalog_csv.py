@@ -42,6 +42,10 @@ RAW_COLUMNS = (
 RAW_SCHEMA = T.StructType([T.StructField(name, kind) for name, _, kind in RAW_COLUMNS])
 RENAMES = {name: new for name, new, _ in RAW_COLUMNS if name != new}
 
+# Quotes inside a quoted field are doubled.  A header that isn't the schema's is an error: without
+# the check, Spark would read the cells by position, whatever the header says.
+CSV_OPTIONS = {"escape": '"', "enforceSchema": "false"}
+
 POSITION = ("_file", "_block", "_row")
 
 
@@ -68,6 +72,7 @@ def read_catalog(
         spark.read.schema(schema)
         .option("header", True)
         .option("mode", "PERMISSIVE")
+        .options(**CSV_OPTIONS)
         .csv([paths] if isinstance(paths, str) else list(paths))
     )
     if not with_position:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tremora.config import TableNames
-from tremora.sources.shared import path_exists
+from tremora.sources.shared import path_exists, remove
 
 
 def column_names(schema: str) -> tuple[str, ...]:
@@ -45,6 +45,15 @@ class Lake:
         """Whether the last ``replace`` of a table came to its end."""
         return path_exists(self.spark, f"{self.path(table)}/_SUCCESS")
 
+    def mark_stale(self, table: str) -> None:
+        """A table that is there no longer counts as complete until it is replaced."""
+        remove(self.spark, f"{self.path(table)}/_SUCCESS")
+
+    def drop_partitions(self, table: str, column: str, values: Sequence[object]) -> None:
+        """Delete the folders of these partitions, where there are any."""
+        for value in values:
+            remove(self.spark, f"{self.path(table)}/{column}={value}")
+
     def expose(self, table: str) -> DataFrame:
         """Make a table visible to SQL under its own name."""
         rows = self.read(table)
@@ -57,6 +66,7 @@ class Lake:
         (
             rows.observe(counted, F.count("*").alias("rows"))
             .write.mode("overwrite")
+            .option("partitionOverwriteMode", "static")  # whatever the session's mode
             .partitionBy(*partition_by)
             .parquet(self.path(table))
         )

@@ -46,6 +46,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(location)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder if it is there."""
+    location, files = _located(spark, path)
+    files.delete(location, True)
+
+
 @contextmanager
 def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
     """A fresh path that is deleted again once what was built from it has been written."""
@@ -53,8 +59,7 @@ def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
     try:
         yield path
     finally:
-        folder, files = _located(spark, path)
-        files.delete(folder, True)
+        remove(spark, path)
 
 
 def written(rows: DataFrame, path: str) -> DataFrame:

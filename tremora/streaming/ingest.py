@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from tremora.config import Limits
 from tremora.operators.conform import derive, to_events
 from tremora.operators.dedup import merge_latest
-from tremora.sources.catalog_csv import RAW_COLUMNS, RAW_SCHEMA
+from tremora.sources.catalog_csv import CSV_OPTIONS, RAW_COLUMNS, RAW_SCHEMA
 from tremora.sources.lake import Lake
 
 ARRIVALS = "bronze_arrivals"
@@ -36,6 +36,7 @@ def ingest_new_files(
     query = (
         lake.spark.readStream.schema(RAW_SCHEMA)
         .option("header", True)
+        .options(**CSV_OPTIONS)
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(raw_path)
         .writeStream.foreachBatch(store)
@@ -50,4 +51,7 @@ def ingest_new_files(
 def arrived_events(lake: Lake) -> DataFrame:
     """D3 over all batches: a revision may arrive in any later batch."""
     source = [new for _, new, _ in RAW_COLUMNS]
+    if not lake.exists(ARRIVALS):  # before the first batch
+        nothing = to_events(lake.spark.createDataFrame([], RAW_SCHEMA))
+        return merge_latest(nothing.select(*source, "datetime")).transform(derive)
     return merge_latest(lake.read(ARRIVALS).select(*source, "datetime")).transform(derive)
