@@ -286,12 +286,14 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
             F.col("contents").alias("content"),
         )
     )
-    repeated = (
+    # Written before they are joined: a join of plain shuffles is one that Spark can split by skew.
+    repeated = settled(
         prepared.select(F.explode("cores").alias("core"))
         .groupBy("core")
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("core")
+        .select("core"),
+        "cores",
     )
     shared = settled(prepared.select("row", each).join(repeated, "core"), "anchors")
     contents = settled(
