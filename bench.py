@@ -21,7 +21,7 @@ from tremora.operators.conform import to_merged_events
 from tremora.plans import reports
 from tremora.plans.cubes import build_cubes, read_cube
 from tremora.plans.loads import yearly_files
-from tremora.plans.star import Star, build_star
+from tremora.plans.star import build_star, event_view
 from tremora.sources.catalog_csv import read_catalog
 from tremora.sources.derived import derived_catalog
 from tremora.sources.lake import Lake
@@ -55,13 +55,13 @@ def measure(spark: SparkSession, folder: str, cores: int, root: str) -> dict:
     def shown(report: Callable[[], DataFrame]) -> Callable[[], int]:
         return lambda: len(report().collect())
 
-    star = lambda: Star.of(lake)
+    events = lambda: event_view(lake.read(names.silver))
     cube = lambda table: read_cube(lake, table)
     steps: dict[str, Callable[[], object]] = {
         "full_transform": transform,
         "star_build": lambda: build_star(lake),
         "cube_build": lambda: build_cubes(lake),
-        "top_magnitude_events": shown(lambda: reports.top_magnitude_events(star(), 100)),
+        "top_magnitude_events": shown(lambda: reports.top_magnitude_events(events(), 100)),
         "events_by_region": shown(
             lambda: reports.events_by_region(cube(names.cube_location_magnitude), 50)
         ),
@@ -70,7 +70,7 @@ def measure(spark: SparkSession, folder: str, cores: int, root: str) -> dict:
             lambda: reports.magnitude_distribution(cube(names.cube_time_magnitude))
         ),
         "depth_analysis": shown(lambda: reports.depth_analysis(cube(names.cube_depth_analysis))),
-        "events_for_map": shown(lambda: reports.events_for_map(star(), 4.0, 1000)),
+        "events_for_map": shown(lambda: reports.events_for_map(events(), 4.0, 1000)),
     }
     cold: dict[str, float] = {}
     warm: dict[str, float] = {}

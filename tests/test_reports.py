@@ -12,7 +12,7 @@ from tremora.functions import bands, moments
 from tremora.operators import filters, grids
 from tremora.operators.shapes import densify, largest
 from tremora.plans import figures, reports
-from tremora.plans.star import Star, star_view
+from tremora.plans.star import star_view
 
 
 def plan_of(frame) -> str:
@@ -144,8 +144,7 @@ def test_P13_to_P17_each_predicate(spark, workspace):
 
 
 def test_T1_T2_order_and_ties(workspace):
-    star = workspace.star()
-    top = reports.top_magnitude_events(star, 50).collect()
+    top = reports.top_magnitude_events(workspace.view(), 50).collect()
     keys = [(-r.magnitude, -r.datetime.timestamp(), r.event_id) for r in top]
     assert keys == sorted(keys) and len(top) == 50
     want = (
@@ -155,16 +154,45 @@ def test_T1_T2_order_and_ties(workspace):
 
 
 def test_T2_a_range_without_events_gives_none(workspace):
-    star = workspace.star()
     far = (dt.date(1990, 1, 1), dt.date(1990, 2, 1))
-    assert reports.events_for_map(star, None, 10, *far).count() == 0
-
-
-def test_T1_cuts_before_it_joins_time_and_location(workspace):
-    plan = plan_of(reports.top_magnitude_events(workspace.star(), 100))
-    assert plan.count("TakeOrderedAndProject") == 2
-    assert plan.rindex("TakeOrderedAndProject") > plan.index("location_id")  # the lower one
-    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert reports.events_for_map(workspace.view(), None, 10, *far).count() == 0
+
+
+def test_reports_on_events_join_nothing_and_filter_in_the_scan(spark, workspace):
+    view, days = workspace.view(), (dt.date(2021, 3, 1), dt.date(2022, 8, 31))
+    found = {
+        "top": reports.top_magnitude_events(view, 100),
+        "map": reports.events_for_map(view, 4.0, 100, *days),
+        "kpis": reports.kpis(view),
+        "trend": reports.daily_trend(view, 5.5),
+        "filter": filters.filter_events(view, 2.5, start=days[0], end=days[1]),
+    }
+    before = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    try:
+        plans = {name: plan_of(frame) for name, frame in found.items()}
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", before)
+    assert not any("Join" in plan for plan in plans.values())
+    assert all(plan.count("FileScan") == 1 for plan in plans.values())
+    assert plans["top"].count("TakeOrderedAndProject") == 1
+    for name, bound in (("map", 4.0), ("trend", 5.5), ("filter", 2.5)):
+        assert f"GreaterThanOrEqual(magnitude,{bound})" in plans[name]
+    for name in ("map", "filter"):
+        assert "GreaterThanOrEqual(datetime,2021-03-01" in plans[name]
+        assert "LessThan(datetime,2022-09-01" in plans[name]
+
+
+def test_reports_are_the_same_on_the_joined_star(workspace):
+    star = star_view(workspace.star(), time=True, location=True, magnitude=True)
+    view, days = workspace.view(), (dt.date(2021, 3, 1), dt.date(2022, 8, 31))
+    for report in (
+        lambda events: reports.top_magnitude_events(events, 100),
+        lambda events: reports.events_for_map(events, 4.0, 100, *days),
+        lambda events: reports.days_shown(events, days[0]),
+        lambda events: reports.kpis(events).drop("avg_magnitude"),
+    ):
+        assert rows_of(report(star)) == rows_of(report(view))
 
 
 def test_filters_and_columns_reach_the_scans(workspace):
@@ -175,9 +203,7 @@ def test_filters_and_columns_reach_the_scans(workspace):
 
 
 def test_kpis_of_no_events(spark, workspace):
-    star = workspace.star()
-    empty = Star(star.time, star.location, star.magnitude, star.fact.where("false"))
-    found = reports.kpis(empty).first()
+    found = reports.kpis(workspace.view().where("false")).first()
     assert found.total_events == 0 and found.min_datetime is None
 
 

@@ -54,19 +54,18 @@ def test_W1_numbering_has_no_window_over_all_rows(spark):
 def test_keys_carry_their_weights(spark):
     keyed = number_keys(skewed(spark), ("latitude", "place"), "n", fresh_path(spark, "test"))
     assert keyed.total == 4000
-    assert keyed.heaviest == 1334
     assert keyed.rows.agg(F.sum("_rows")).first()[0] == 4000
 
 
-@pytest.mark.parametrize("min_hot_rows", [1, 100, 10**9])
+@pytest.mark.parametrize("max_hot_keys", [1, 40, 10_000])
 @pytest.mark.parametrize("broadcast", ["-1", "10485760"])
-def test_J2_hot_keys_get_the_same_ids_as_others(spark, min_hot_rows, broadcast):
+def test_J2_hot_keys_get_the_same_ids_as_others(spark, max_hot_keys, broadcast):
     rows = skewed(spark)
     keyed = number_keys(rows, ("latitude", "place"), "n", fresh_path(spark, "test"))
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
-        found = attach_id(rows, keyed, min_hot_rows=min_hot_rows)
+        found = attach_id(rows, keyed, max_hot_keys=max_hot_keys)
         want = rows.join(keyed.rows.select("latitude", "place", "n"), ["latitude", "place"], "left")
         assert rows_of(found) == rows_of(want)
         assert found.where("n IS NULL").count() == 0
@@ -81,7 +80,7 @@ def test_J2_hot_rows_are_spread_over_the_shuffle(spark):
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
-        joined = attach_id(rows, keyed, min_hot_rows=500)
+        joined = attach_id(rows, keyed, max_hot_keys=8)
         plan = joined._jdf.queryExecution().executedPlan().toString()
         shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
         assert sum("_share" in line and "latitude" in line for line in shuffles) == 2
@@ -131,8 +130,8 @@ def test_hot_times_give_the_same_star(spark, lake, workspace):
     )
     columns = ["event_id", "datetime", "time_id", "location_id", "magnitude_id", "place", "magnitude"]
     found = []
-    for min_hot_rows in (5, 10**9):
-        build_star(lake, hot, min_hot_rows=min_hot_rows)
+    for max_hot_keys in (1, 200):
+        build_star(lake, hot, max_hot_keys=max_hot_keys)
         whole = star_view(Star.of(lake), time=True, location=True, magnitude=True)
         found.append(rows_of(whole.select(*columns)))
     assert found[0] == found[1] and len(found[0]) == 980

@@ -207,7 +207,7 @@ moon AS (
 map AS (
   SELECT event_id, datetime, latitude, longitude, place, region, magnitude, magnitude_category,
     depth, depth_category
-  FROM star WHERE magnitude >= 4 ORDER BY magnitude DESC, datetime DESC, event_id LIMIT 1000)
+  FROM star WHERE magnitude >= 4 ORDER BY magnitude DESC, datetime DESC, event_id LIMIT 100)
 """
 
 RAW_COLUMNS = (
@@ -380,7 +380,8 @@ def _bands(column: str, names: list[tuple[str, str]]) -> str:
 
 _BODIES = {
     "csv_scan": f"SELECT {RAW_COLUMNS} FROM raw",
-    "csv_stack": "SELECT CAST(substr(time, 1, 4) AS INT) AS load_year, count(*) AS rows FROM raw GROUP BY 1",
+    "csv_stack": """
+SELECT CAST(substr(time, 1, 4) AS INT) AS load_year, id, time, updated, mag, place, status FROM raw""",
     "csv_preview": "SELECT id, time, mag FROM raw ORDER BY id, time, updated LIMIT 5",
     "conform_clean_validate": "SELECT * REPLACE (CAST(num_stations AS DOUBLE) AS num_stations) FROM clean",
     "rejects": f"SELECT event_id, time, {FAILED_RULE} AS failed_rule FROM conformed WHERE {FAILED_RULE} IS NOT NULL",
@@ -453,7 +454,8 @@ SELECT strftime(datetime, '%Y-%m-%d %H:%M:%S') AS "Date & Time", place AS "Locat
   magnitude AS "Magnitude", depth AS "Depth (km)"
 FROM star ORDER BY star.magnitude DESC, datetime DESC, event_id LIMIT 10""",
     "days_shown": """
-SELECT TIMESTAMP '2021-03-01' AS first_day, TIMESTAMP '2022-08-31' AS last_day, CAST(549 AS INT) AS days""",
+SELECT TIMESTAMP '2021-03-01' AS first_day, max(date) AS last_day,
+  CAST(date_diff('day', TIMESTAMP '2021-03-01', max(date)) + 1 AS INT) AS days FROM star""",
     "days_shown_reversed": """
 SELECT min(date) AS first_day, max(date) AS last_day,
   CAST(date_diff('day', min(date), max(date)) + 1 AS INT) AS days FROM star""",
@@ -462,7 +464,7 @@ SELECT min(date) AS first_day, max(date) AS last_day,
 SELECT event_id, datetime, latitude, longitude, place, region, magnitude, magnitude_category,
   depth, depth_category
 FROM star WHERE magnitude >= 4 AND date >= '2021-03-01' AND date <= '2022-08-31'
-ORDER BY magnitude DESC, datetime DESC, event_id LIMIT 1000""",
+ORDER BY magnitude DESC, datetime DESC, event_id LIMIT 100""",
     "events_for_map_reversed_days": "SELECT * FROM map",
     "map_points": """
 SELECT event_id, latitude, longitude,

@@ -26,7 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 MIN_MAGNITUDE = 5.5
 MAP_MAGNITUDE = 4.0
-MAP_EVENTS = 1000
+MAP_EVENTS = 100  # fewer than there are from MAP_MAGNITUDE on, so that the cut decides
 MAP_DAYS = (dt.date(2021, 3, 1), dt.date(2022, 8, 31))
 REGIONS = ["NATION_3", "NATION_8", "NATION_11", "NATION_20", "NATION_1 region", "NATION_16 region"]
 CELL_DEGREES = 5.0
@@ -71,7 +71,7 @@ def csv_stack(w: Workspace) -> DataFrame:
     """The files of early and of late years, put on top of each other."""
     rows = read_catalog(w.spark, w.raw_files(), partitions=BY_YEAR)
     stacked = stack(rows.where("load_year >= 2022"), rows.where("load_year < 2022"))
-    return stacked.groupBy("load_year").agg(F.count("*").alias("rows"))
+    return stacked.select("load_year", "id", "time", "updated", "mag", "place", "status")
 
 
 @query
@@ -244,31 +244,32 @@ def cube_audit(w: Workspace) -> DataFrame:
 
 @query
 def kpis(w: Workspace) -> DataFrame:
-    return rounded(reports.kpis(w.star()))
+    return rounded(reports.kpis(w.view()))
 
 
 @query
 def top_magnitude_events(w: Workspace) -> DataFrame:
-    return reports.top_magnitude_events(w.star(), 100)
+    return reports.top_magnitude_events(w.view(), 100)
 
 
 @query
 def top_events_table(w: Workspace) -> DataFrame:
-    return reports.top_events_table(reports.top_magnitude_events(w.star()))
+    return reports.top_events_table(reports.top_magnitude_events(w.view()))
 
 
 @query
 def days_shown(w: Workspace) -> DataFrame:
-    return reports.days_shown(w.star(), *MAP_DAYS)
+    """From a given day to the last there are events on."""
+    return reports.days_shown(w.view(), MAP_DAYS[0])
 
 
 @query
 def days_shown_reversed(w: Workspace) -> DataFrame:
-    return reports.days_shown(w.star(), *reversed(MAP_DAYS))
+    return reports.days_shown(w.view(), *reversed(MAP_DAYS))
 
 
 def _map(w: Workspace) -> DataFrame:
-    return reports.events_for_map(w.star(), MAP_MAGNITUDE, MAP_EVENTS)
+    return reports.events_for_map(w.view(), MAP_MAGNITUDE, MAP_EVENTS)
 
 
 @query
@@ -278,12 +279,12 @@ def events_for_map(w: Workspace) -> DataFrame:
 
 @query
 def events_for_map_days(w: Workspace) -> DataFrame:
-    return reports.events_for_map(w.star(), MAP_MAGNITUDE, MAP_EVENTS, *MAP_DAYS)
+    return reports.events_for_map(w.view(), MAP_MAGNITUDE, MAP_EVENTS, *MAP_DAYS)
 
 
 @query
 def events_for_map_reversed_days(w: Workspace) -> DataFrame:
-    return reports.events_for_map(w.star(), MAP_MAGNITUDE, MAP_EVENTS, *reversed(MAP_DAYS))
+    return reports.events_for_map(w.view(), MAP_MAGNITUDE, MAP_EVENTS, *reversed(MAP_DAYS))
 
 
 @query
@@ -307,8 +308,7 @@ def map_magnitude_bands(w: Workspace) -> DataFrame:
 
 
 def _trend(w: Workspace) -> DataFrame:
-    rows = star_view(w.star(), time=True, location=True, magnitude=True)
-    return reports.daily_trend(rows, MIN_MAGNITUDE)
+    return reports.daily_trend(w.view(), MIN_MAGNITUDE)
 
 
 @query
@@ -339,7 +339,7 @@ def magnitude_depth_sample(w: Workspace) -> DataFrame:
 @query
 def filter_events(w: Workspace) -> DataFrame:
     rows = filters.filter_events(
-        star_view(w.star(), time=True, location=True, magnitude=True),
+        w.view(),
         min_magnitude=2.5,
         max_magnitude=7.5,
         start=MAP_DAYS[0],

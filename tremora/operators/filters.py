@@ -50,8 +50,11 @@ def filter_events(
     regions: Sequence[str] | DataFrame | None = None,
     magnitude_categories: Sequence[str] | None = None,
 ) -> DataFrame:
-    """P13-P17 together.  ``regions`` may be a frame with a ``region`` column, for long lists."""
-    rows = within_days(at_least(rows, min_magnitude), start, end)
+    """P13-P17 together.  ``regions`` may be a frame with a ``region`` column, for long lists.
+
+    Days are taken as a range of ``datetime``, which is a column of the scan.
+    """
+    rows = within_days(at_least(rows, min_magnitude), start, end, "datetime")
     if max_magnitude is not None:
         rows = rows.where(F.col("magnitude") <= F.lit(max_magnitude))
     if depth_categories is not None:

@@ -62,7 +62,6 @@ class NumberedKeys:
     keys: tuple[str, ...]
     id_name: str
     total: int  # rows over all keys
-    heaviest: int  # rows of the most frequent key
 
 
 def number_keys(
@@ -79,12 +78,10 @@ def number_keys(
         keys,
         f"{scratch}/{id_name}",
         F.sum(WEIGHT).alias("total"),
-        F.max(WEIGHT).alias("heaviest"),
     )
     return NumberedKeys(
         number(placed, id_name),
         tuple(keys),
         id_name,
         found["total"] or 0,
-        found["heaviest"] or 0,
     )

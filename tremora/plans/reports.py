@@ -1,4 +1,7 @@
-"""Reports on the star and on the cubes.
+"""Reports on events and on the cubes.
+
+Reports on events take them with their attributes: ``event_view`` of the merged
+events, which needs no join, or ``star_view`` with the dimensions used.
 
 Averages over cube cells are plain means of the cells' averages, as these
 reports have always been defined; ``weighted=True`` gives the mean over events.
@@ -17,7 +20,6 @@ from tremora.functions import bands, moments
 from tremora.operators.filters import at_least, ordered_range, within_days
 from tremora.operators.shapes import largest, relabel
 from tremora.plans import cubes
-from tremora.plans.star import Star, star_view
 
 TOP_EVENT_COLUMNS = (
     "event_id", "datetime", "place", "region", "magnitude", "magnitude_category",
@@ -58,21 +60,15 @@ def _cell_mean(name: str, weighted: bool, count: str = "event_count") -> Column:
     return mean.alias(name)
 
 
-def _strongest(star: Star, rows: DataFrame, limit: int) -> DataFrame:
-    """The largest events of a fact-with-magnitude frame, completed from the other dimensions.
-
-    ``time_id`` grows with the time, so ties are broken by it and the cut is made
-    before time and location are joined: those joins see ``limit`` rows.
-    """
-    order = [F.desc("magnitude"), F.desc("time_id"), F.asc("event_id")]
-    cut = rows.orderBy(*order).limit(limit)
-    whole = cut.join(star.time, "time_id").join(star.location, "location_id")
-    return whole.orderBy(*order).limit(limit)
+def _strongest(events: DataFrame, limit: int, columns: tuple[str, ...]) -> DataFrame:
+    """The largest events, of equal ones the latest, then by id: one scan of these columns."""
+    order = [F.desc("magnitude"), F.desc("datetime"), F.asc("event_id")]
+    return events.select(*columns).orderBy(*order).limit(limit)
 
 
-def top_magnitude_events(star: Star, limit: int = 10) -> DataFrame:
+def top_magnitude_events(events: DataFrame, limit: int = 10) -> DataFrame:
     """By magnitude, then the latest, then by id."""
-    return _strongest(star, star_view(star, magnitude=True), limit).select(*TOP_EVENT_COLUMNS)
+    return _strongest(events, limit, TOP_EVENT_COLUMNS)
 
 
 def top_events_table(top_events: DataFrame) -> DataFrame:
@@ -94,27 +90,16 @@ def category_table(distribution: DataFrame) -> DataFrame:
 
 
 def events_for_map(
-    star: Star,
+    events: DataFrame,
     min_magnitude: float | None = None,
     limit: int = 1000,
     start: dt.date | None = None,
     end: dt.date | None = None,
 ) -> DataFrame:
-    """T2 with P9, P11 and P12.
-
-    Days become a range of time ids, looked up once in the time dimension, so the
-    filter reaches the scan of the fact.
-    """
-    rows = at_least(star_view(star, magnitude=True), min_magnitude)
-    start, end = ordered_range(start, end)
-    if start is not None or end is not None:
-        ids = within_days(star.time, start, end).agg(
-            F.min("time_id").alias("first"), F.max("time_id").alias("last")
-        )
-        rows = rows.where(
-            F.col("time_id").between(ids.select("first").scalar(), ids.select("last").scalar())
-        )
-    return _strongest(star, rows, limit).select(*MAP_COLUMNS)
+    """T2 with P9, P11 and P12.  Days are a range of times, so all filters reach the scan."""
+    rows = at_least(events, min_magnitude)
+    rows = within_days(rows, *ordered_range(start, end), column="datetime")
+    return _strongest(rows, limit, MAP_COLUMNS)
 
 
 def map_points(map_events: DataFrame) -> DataFrame:
@@ -133,54 +118,32 @@ def map_points(map_events: DataFrame) -> DataFrame:
     )
 
 
-def _ends_of_time(star: Star, totals: DataFrame) -> DataFrame:
-    """One row of totals as two, each with one of the time rows that its ``ends`` name.
-
-    Looking two ids up in the time dimension replaces joining it to every event.
-    """
-    return totals.withColumn("time_id", F.explode("ends")).join(star.time, "time_id")
-
-
-def kpis(star: Star) -> DataFrame:
-    """One row for all key figures, from one pass over the fact."""
-    totals = star_view(star, magnitude=True).agg(
+def kpis(events: DataFrame) -> DataFrame:
+    """One row for all key figures, from one pass over two columns."""
+    first, last = F.min("datetime"), F.max("datetime")
+    return events.agg(
         F.count("*").alias("total_events"),
+        first.alias("min_datetime"),
+        last.alias("max_datetime"),
+        moments.start_of_day(first).alias("min_date"),
+        moments.start_of_day(last).alias("max_date"),
         F.avg("magnitude").alias("avg_magnitude"),
         F.max("magnitude").alias("max_magnitude"),
-        F.array(F.min("time_id"), F.max("time_id")).alias("ends"),
-    )
-    return (
-        _ends_of_time(star, totals)
-        .agg(
-            F.coalesce(F.max("total_events"), F.lit(0)).alias("total_events"),
-            F.min("datetime").alias("min_datetime"),
-            F.max("datetime").alias("max_datetime"),
-            F.min("date").alias("min_date"),
-            F.max("date").alias("max_date"),
-            F.max("avg_magnitude").alias("avg_magnitude"),
-            F.max("max_magnitude").alias("max_magnitude"),
-        )
-        .withColumn(
-            "range_days", moments.whole_days_between(F.col("min_datetime"), F.col("max_datetime"))
-        )
+        moments.whole_days_between(first, last).alias("range_days"),
     )
 
 
 def days_shown(
-    star: Star, start: dt.date | None = None, end: dt.date | None = None
+    events: DataFrame, start: dt.date | None = None, end: dt.date | None = None
 ) -> DataFrame:
     """The days a map covers: those asked for, or all there are events on."""
     start, end = ordered_range(start, end)
-    ends = star.fact.agg(F.array(F.min("time_id"), F.max("time_id")).alias("ends"))
     first, last = (
-        F.coalesce(F.lit(asked).cast("timestamp_ntz"), F.col(there))
-        for asked, there in ((start, "first"), (end, "last"))
+        F.coalesce(F.lit(asked).cast("timestamp_ntz"), moments.start_of_day(there))
+        for asked, there in ((start, F.min("datetime")), (end, F.max("datetime")))
     )
-    return (
-        _ends_of_time(star, ends)
-        .agg(F.min("date").alias("first"), F.max("date").alias("last"))
-        .select(first.alias("first_day"), last.alias("last_day"))
-        .withColumn("days", moments.inclusive_days(F.col("first_day"), F.col("last_day")))
+    return events.agg(first.alias("first_day"), last.alias("last_day")).withColumn(
+        "days", moments.inclusive_days(F.col("first_day"), F.col("last_day"))
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tremora.config import UNKNOWN
 from tremora.functions import bands, moments
 from tremora.operators.dedup import merge_latest
-from tremora.operators.keyed_join import MIN_HOT_ROWS, attach_id
+from tremora.operators.keyed_join import MAX_HOT_KEYS, attach_id
 from tremora.operators.numbering import number_keys
 from tremora.operators.together import together
 from tremora.sources.lake import Lake, clustered, column_names
@@ -165,7 +165,7 @@ def build_star(
     silver: DataFrame | None = None,
     unique_events: bool = True,
     by_time: bool = False,
-    min_hot_rows: int = MIN_HOT_ROWS,
+    max_hot_keys: int = MAX_HOT_KEYS,
 ) -> dict[str, int]:
     """Write the three dimensions and the fact; gives the rows of each.
 
@@ -187,7 +187,7 @@ def build_star(
         )
         fact = events
         for numbered in (magnitude, location, time):
-            fact = attach_id(fact, numbered, min_hot_rows=min_hot_rows)
+            fact = attach_id(fact, numbered, max_hot_keys=max_hot_keys)
         fact = with_measures(fact).select(*column_names(FACT_SCHEMA))
         if by_time:
             fact = clustered(fact, "time_id", "event_id")
