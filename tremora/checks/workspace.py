@@ -10,6 +10,7 @@ from collections.abc import Callable
 from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tremora.operators.conform import to_events, to_merged_events
 from tremora.plans import ledger, loads
@@ -118,12 +119,17 @@ class Workspace:
         return lake
 
     def streamed_activity(self) -> DataFrame:
-        """ST2 over the merged events."""
-        self.silver()
-        lake = self.lake()
-        checkpoint = f"{self.root}/checkpoints/activity"
-        self._once(
-            "activity",
-            lambda: activity.run_daily_activity(lake, lake.names.silver, checkpoint),
-        )
-        return lake.read(activity.ACTIVITY)
+        """ST2 over arrivals in two drains: the second holds later years and all revisions."""
+        lake = self.lake("activity")
+        raw_path, checkpoint = f"{self.root}/activity_files", f"{self.root}/checkpoints/activity"
+
+        def drain() -> None:
+            raw = self.raw()
+            late = (F.substring("time", 1, 4) >= "2023") | (F.col("status") == "reviewed")
+            for part, rows in (("first", raw.where(~late)), ("second", raw.where(late))):
+                loads.yearly_files(rows, f"{raw_path}/{part}")
+                ingest.ingest_new_files(lake, f"{raw_path}/*/*", f"{checkpoint}/files")
+                activity.run_daily_activity(lake, ingest.ARRIVALS, f"{checkpoint}/days")
+
+        self._once("activity", drain)
+        return lake.read(activity.ACTIVITY).drop("year")

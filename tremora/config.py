@@ -29,6 +29,7 @@ class TableNames:
     silver: str = "raw_earthquakes"
     ledger: str = "ledger"
     merges: str = "merges"
+    refused: str = "refused_rows"
     dim_time: str = "dim_time"
     dim_location: str = "dim_location"
     dim_magnitude: str = "dim_magnitude"

@@ -182,3 +182,11 @@ def to_merged_events(
 def unreadable_times(raw: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The clean rows that ``strict=False`` leaves out."""
     return clean(raw, limits).where(moments.parse_time(F.col("time"), strict=False).isNull())
+
+
+def refused(raw: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """All rows that a load with ``strict=False`` leaves out, each with the rule it broke."""
+    rows = conform_names(raw)
+    unreadable = moments.parse_time(F.col("time"), strict=False).isNull()
+    rule = F.coalesce(failed_rule(rows, limits), F.when(unreadable, F.lit("time_readable")))
+    return rows.withColumn("failed_rule", rule).where(F.col("failed_rule").isNotNull())

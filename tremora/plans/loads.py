@@ -15,13 +15,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremora.config import Limits
-from tremora.operators.conform import derive, to_events
+from tremora.operators.conform import derive, refused, to_events
 from tremora.operators.dedup import keep_first, merge_latest
 from tremora.plans import ledger as years
 from tremora.plans.cubes import build_cubes
 from tremora.plans.star import build_star
-from tremora.sources.catalog_csv import RAW_COLUMNS, read_catalog, require_rows
+from tremora.sources.catalog_csv import (
+    POSITION,
+    RAW_COLUMNS,
+    read_by_header,
+    read_catalog,
+    require_rows,
+)
 from tremora.sources.lake import Lake
+from tremora.sources.shared import path_exists
 
 BY_YEAR = T.StructType([T.StructField("load_year", T.IntegerType())])
 SOURCE_COLUMNS = tuple(name for _, name, _ in RAW_COLUMNS)
@@ -47,10 +54,25 @@ class LoadReport:
     cubes: dict[str, int] = field(default_factory=dict)
 
 
-def full_load(lake: Lake, paths: str | Sequence[str], limits: Limits = Limits()) -> LoadReport:
-    """L2: from files to all tables, replacing what was there."""
-    raw = require_rows(read_catalog(lake.spark, paths, with_position=True))
-    events = keep_first(raw).transform(to_events, limits)
+def full_load(
+    lake: Lake,
+    paths: str | Sequence[str],
+    limits: Limits = Limits(),
+    strict: bool = True,
+    by_header: bool = True,
+) -> LoadReport:
+    """L2: from files to all tables, replacing what was there.
+
+    ``strict=False`` leaves rows with unreadable times out instead of failing, and
+    writes all rows that were left out, with the rule they broke, to the table of
+    refused rows.  ``by_header=False`` saves the pass over the files' headers
+    where all have the schema's; one that has not is then an error.
+    """
+    read = read_by_header if by_header else read_catalog
+    raw = require_rows(read(lake.spark, paths, with_position=True))
+    if not strict:
+        lake.replace(lake.names.refused, refused(raw.drop(*POSITION), limits))
+    events = keep_first(raw).transform(to_events, limits, strict)
     rows = lake.replace(lake.names.silver, events)
     lake.export(lake.names.silver)
     return LoadReport(
@@ -64,7 +86,12 @@ def read_bronze(lake: Lake) -> DataFrame:
 
 
 def load_years(
-    lake: Lake, raw_root: str, wanted: Sequence[int], limits: Limits = Limits()
+    lake: Lake,
+    raw_root: str,
+    wanted: Sequence[int],
+    limits: Limits = Limits(),
+    strict: bool = True,
+    by_header: bool = True,
 ) -> list[int]:
     """L3: bring the wanted years that have files into bronze, all in one job.
 
@@ -73,15 +100,23 @@ def load_years(
     of the event, so that a stray event cannot replace another year's partition.
     A year without rows is not recorded; what an earlier load, forgotten since,
     left in bronze for the wanted years goes first, or it would pass for theirs.
+    ``strict`` and ``by_header`` are those of ``full_load``.
     """
     lake.drop_partitions(lake.names.bronze, "load_year", wanted)
     these = F.col("load_year").isin(*wanted)
-    raw = read_catalog(lake.spark, raw_root, partitions=BY_YEAR).where(these).select(
-        "*",
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_size").alias("source_bytes"),
-    )
-    if lake.replace_partitions(lake.names.bronze, to_events(raw, limits), "load_year") == 0:
+    if by_header:  # headers of the wanted years' folders only
+        folders = [f"{raw_root.rstrip('/')}/load_year={year}" for year in wanted]
+        there = [folder for folder in folders if path_exists(lake.spark, folder)]
+        if not there:
+            return []
+        raw = read_by_header(lake.spark, there, partitions=BY_YEAR, add="origin", root=raw_root)
+    else:
+        raw = read_catalog(lake.spark, raw_root, partitions=BY_YEAR, add="origin").where(these)
+    if not strict:
+        lake.drop_partitions(lake.names.refused, "load_year", wanted)
+        lake.replace_partitions(lake.names.refused, refused(raw, limits), "load_year")
+    events = to_events(raw, limits, strict)
+    if lake.replace_partitions(lake.names.bronze, events, "load_year") == 0:
         return []
     years.record_years(lake, years.year_details(read_bronze(lake).where(these)))
     return years.loaded_years(lake, these)
@@ -126,7 +161,12 @@ def needs_merge(lake: Lake) -> bool:
 
 
 def incremental_load(
-    lake: Lake, raw_root: str, requested: DataFrame, limits: Limits = Limits()
+    lake: Lake,
+    raw_root: str,
+    requested: DataFrame,
+    limits: Limits = Limits(),
+    strict: bool = True,
+    by_header: bool = True,
 ) -> LoadReport:
     """Load the requested years that are missing and rebuild what depends on them."""
     names = lake.names
@@ -138,7 +178,7 @@ def incremental_load(
 
     missing = years.missing_years(requested, years.read_ledger(lake))
     wanted = [row.load_year for row in missing.collect()]
-    loaded = load_years(lake, raw_root, wanted, limits) if wanted else []
+    loaded = load_years(lake, raw_root, wanted, limits, strict, by_header) if wanted else []
 
     if years.read_ledger(lake).isEmpty():
         return LoadReport(loaded, lost)

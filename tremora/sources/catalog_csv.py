@@ -39,7 +39,12 @@ RAW_COLUMNS = (
 )
 # --- end of fixed values ---
 
+# Counts may be written as 12.0, which is no integer to a CSV reader.
+COUNTS = ("nst", "magNst")
 RAW_SCHEMA = T.StructType([T.StructField(name, kind) for name, _, kind in RAW_COLUMNS])
+SCAN_SCHEMA = T.StructType(
+    [T.StructField(f.name, T.DoubleType() if f.name in COUNTS else f.dataType) for f in RAW_SCHEMA]
+)
 RENAMES = {name: new for name, new, _ in RAW_COLUMNS if name != new}
 
 # Quotes inside a quoted field are doubled.  A header that isn't the schema's is an error: without
@@ -53,21 +58,53 @@ class EmptyCatalog(ValueError):
     """None of the files to read holds a row."""
 
 
+def whole_counts(rows: DataFrame) -> DataFrame:
+    """Rows of ``SCAN_SCHEMA`` with the counts as integers, half to even."""
+    return rows.withColumns({name: F.rint(name).try_cast("int") for name in COUNTS})
+
+
+def _with_place(rows: DataFrame) -> DataFrame:
+    # The id only ever grows within a block, since one task reads a block in order.
+    return rows.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+
+
+def _with_origin(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "*",
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_size").alias("source_bytes"),
+    )
+
+
+def _as_read(rows: DataFrame) -> DataFrame:
+    return rows
+
+
+ADDED = {None: _as_read, "place": _with_place, "origin": _with_origin}
+
+
 def read_catalog(
     spark: SparkSession,
     paths: str | Sequence[str],
     with_position: bool = False,
     partitions: T.StructType | None = None,
+    add: str | None = None,
 ) -> DataFrame:
-    """All rows of the files, in one scan.
+    """All rows of the files, in one scan; a header other than the schema's is an error.
 
     A cell that does not fit its type becomes null; a file with nothing but a
     header gives no rows; a missing path raises.  ``partitions`` names columns
     that are spelt in directory names (``load_year=2024/``).  ``with_position``
     adds the place of each row (file, block, row number), which gives "first
     row" a meaning when files are read in parallel.  Files then rank by path.
+    ``add="origin"`` adds the path and size of each row's file.
     """
-    schema = T.StructType(RAW_SCHEMA.fields + (partitions.fields if partitions else []))
+    schema = T.StructType(SCAN_SCHEMA.fields + (partitions.fields if partitions else []))
     rows = (
         spark.read.schema(schema)
         .option("header", True)
@@ -75,15 +112,68 @@ def read_catalog(
         .options(**CSV_OPTIONS)
         .csv([paths] if isinstance(paths, str) else list(paths))
     )
-    if not with_position:
-        return rows
-    # The id only ever grows within a block, since one task reads a block in order.
-    return rows.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
+    return whole_counts(ADDED["place" if with_position else add](rows))
+
+
+def headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """One row per distinct header line, with the paths of the files that begin with it.
+
+    Takes a pass over the files as text, of which only first lines are kept: each
+    task sends one line per file it reads.
+    """
+    lines = spark.read.text([paths] if isinstance(paths, str) else list(paths))
+    first = (
+        lines.where("_metadata.file_block_start = 0")
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            F.monotonically_increasing_id().alias("at"),
+            "value",
+        )
+        .groupBy("file")
+        .agg(F.min_by("value", "at").alias("header"))
     )
+    # Paths are shown as URLs and taken as they are.
+    plain = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    return first.groupBy("header").agg(F.sort_array(F.collect_list(plain)).alias("files"))
+
+
+def read_by_header(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    with_position: bool = False,
+    partitions: T.StructType | None = None,
+    add: str | None = None,
+    root: str | None = None,
+) -> DataFrame:
+    """As ``read_catalog``, but columns go by each file's own header.
+
+    Known columns may stand in any order; those a file lacks are null.  Further
+    columns follow as text, null in files without them.  One scan per distinct
+    header; what reaches the driver is these headers and the list of files, which
+    the driver of any scan holds.  Partition folders are those below ``root``, or
+    the one path.
+    """
+    kept = [f.name for f in partitions.fields] if partitions else []
+    parts = []
+    for found in headers(spark, paths).orderBy("header").collect():
+        reader = spark.read.option("header", True).option("mode", "PERMISSIVE").options(escape='"')
+        if partitions:
+            reader = reader.option("basePath", root or (paths if isinstance(paths, str) else paths[0]))
+        rows = ADDED["place" if with_position else add](reader.csv(found.files))
+        there = set(rows.columns)
+        known = [
+            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in there else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in SCAN_SCHEMA
+        ]
+        others = [f"`{c}`" for c in rows.columns if c not in SCAN_SCHEMA.names and c not in kept]
+        by_folder = [F.col(f.name).cast(f.dataType).alias(f.name) for f in partitions] if partitions else []
+        parts.append(whole_counts(rows.select(*known, *others, *by_folder)))
+    if not parts:  # files without a line
+        return read_catalog(spark, paths, with_position, partitions, add)
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    return stacked
 
 
 def require_rows(rows: DataFrame) -> DataFrame:

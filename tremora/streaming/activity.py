@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tremora.functions import bands, moments
 from tremora.sources.lake import Lake
+from tremora.sources.shared import remove
+from tremora.streaming.upsert import BY, replace_years, upsert
 
 ACTIVITY = "daily_activity"
+COUNTED = "counted_events"
 
 
 def daily_activity(events: DataFrame, lateness: str = "2 days") -> DataFrame:
@@ -44,24 +47,27 @@ def daily_activity(events: DataFrame, lateness: str = "2 days") -> DataFrame:
 def run_daily_activity(lake: Lake, table: str, checkpoint: str) -> DataFrame:
     """Drain a table of events as a stream; gives the activity of all its days so far.
 
-    ``complete`` mode, since ``append`` would hold back the days the watermark
-    has not passed yet.
+    A revision of an event takes the place of what was counted before, also when
+    it falls on another day: the latest row per event is kept, and the days of
+    the years that a batch touches are counted again from it.  So a table that
+    has been written anew, or a batch that is retried, counts nothing twice.
     """
+    staging = f"{checkpoint.rstrip('/')}/staged"
 
-    def store(batch: DataFrame, _: int) -> None:
-        lake.replace(ACTIVITY, batch)
+    def store(batch: DataFrame, batch_id: int) -> None:
+        touched = upsert(lake, COUNTED, batch, f"{staging}/{batch_id}")
+        if touched.years:
+            days = daily_activity(touched.events).withColumn(BY, F.year("date"))
+            replace_years(lake, ACTIVITY, days, touched.years)
+        remove(lake.spark, f"{staging}/{batch_id - 1}")  # only the last batch is ever retried
 
-    source = (
+    (
         lake.spark.readStream.schema(lake.read(table).schema)
         .parquet(lake.path(table))
-    )
-    (
-        daily_activity(source)
-        .writeStream.outputMode("complete")
-        .foreachBatch(store)
+        .writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
         .awaitTermination()
     )
-    return lake.read(ACTIVITY)
+    return lake.read(ACTIVITY).drop(BY)

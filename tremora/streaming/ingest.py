@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tremora.config import Limits
-from tremora.operators.conform import derive, to_events
-from tremora.operators.dedup import merge_latest
-from tremora.sources.catalog_csv import CSV_OPTIONS, RAW_COLUMNS, RAW_SCHEMA
+from tremora.operators.conform import refused, to_events
+from tremora.sources.catalog_csv import CSV_OPTIONS, RAW_SCHEMA, SCAN_SCHEMA, whole_counts
 from tremora.sources.lake import Lake
+from tremora.sources.shared import remove
+from tremora.streaming.upsert import upsert
 
 ARRIVALS = "bronze_arrivals"
+ARRIVED = "arrived_events"
 
 
 def ingest_new_files(
@@ -19,22 +21,33 @@ def ingest_new_files(
     checkpoint: str,
     limits: Limits = Limits(),
     files_per_batch: int = 10_000,
+    strict: bool = True,
 ) -> int:
     """Bring every file not seen before into the lake and stop; gives the batches run.
 
-    The stream's checkpoint remembers the files.  A batch writes its own folder,
-    named by the batch, so one that is retried replaces what it left behind.
+    The stream's checkpoint remembers the files.  A batch writes its own folder of
+    arrivals, named by the batch, so one that is retried replaces what it left
+    behind; then it is merged into the table of the latest row per event, of
+    which it touches the years it has to.  ``strict=False`` leaves rows with
+    unreadable times out; what was left out goes to the refused rows of the batch.
     """
     stored = 0
+    staging = f"{checkpoint.rstrip('/')}/staged"
 
     def store(batch: DataFrame, batch_id: int) -> None:
         nonlocal stored
         stored += 1
+        raw = whole_counts(batch)
         target = f"{lake.path(ARRIVALS)}/batch={batch_id}"
-        to_events(batch, limits).write.mode("overwrite").parquet(target)
+        to_events(raw, limits, strict).write.mode("overwrite").parquet(target)
+        if not strict:
+            left_out = f"{lake.path(lake.names.refused)}/batch={batch_id}"
+            refused(raw, limits).write.mode("overwrite").parquet(left_out)
+        upsert(lake, ARRIVED, lake.spark.read.parquet(target), f"{staging}/{batch_id}")
+        remove(lake.spark, f"{staging}/{batch_id - 1}")  # only the last batch is ever retried
 
     query = (
-        lake.spark.readStream.schema(RAW_SCHEMA)
+        lake.spark.readStream.schema(SCAN_SCHEMA)
         .option("header", True)
         .options(**CSV_OPTIONS)
         .option("maxFilesPerTrigger", files_per_batch)
@@ -50,8 +63,6 @@ def ingest_new_files(
 
 def arrived_events(lake: Lake) -> DataFrame:
     """D3 over all batches: a revision may arrive in any later batch."""
-    source = [new for _, new, _ in RAW_COLUMNS]
-    if not lake.exists(ARRIVALS):  # before the first batch
-        nothing = to_events(lake.spark.createDataFrame([], RAW_SCHEMA))
-        return merge_latest(nothing.select(*source, "datetime")).transform(derive)
-    return merge_latest(lake.read(ARRIVALS).select(*source, "datetime")).transform(derive)
+    if not lake.exists(ARRIVED):  # before the first batch
+        return to_events(lake.spark.createDataFrame([], RAW_SCHEMA))
+    return lake.read(ARRIVED)
