@@ -14,8 +14,9 @@ from tremora.operators.conform import to_merged_events
 
 from tremora.plans import ledger, loads
 from tremora.plans.star import Star
-from tremora.sources.catalog_csv import RAW_SCHEMA
+from tremora.sources.catalog_csv import RAW_SCHEMA, read_by_header
 from tremora.sources.lake import Lake
+from tremora.streaming import upsert
 from tremora.streaming.activity import run_daily_activity
 from tremora.streaming.ingest import arrived_events, ingest_new_files
 
@@ -244,3 +245,75 @@ def test_S1_quotes_and_a_foreign_header(spark, tmp_path):
 
 def test_ST1_before_the_first_batch(lake):
     assert arrived_events(lake).count() == 0
+
+
+def catalogue(path, header: str, *lines: str) -> str:
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text("\n".join([header, *lines]) + "\n")
+    return str(path)
+
+
+def test_S1_P1_columns_go_by_the_header_of_each_file(spark, tmp_path):
+    catalogue(tmp_path / "a b+c.csv", "id,time,longitude,latitude,mag,nst", "x1,2024-01-01T00:00:00.000Z,20,10,5,12.0")
+    catalogue(tmp_path / "b.csv", "mag,id,place,felt,latitude", 'bad,x2,"a ""b"", c",7,1.5')
+    catalogue(tmp_path / "c.csv", "mag,id,place,felt,latitude", "4,x3,,8,2")
+    (tmp_path / "none.csv").write_text("")
+    found = {r.id: r for r in read_by_header(spark, str(tmp_path)).collect()}
+    assert set(found) == {"x1", "x2", "x3"}
+    assert (found["x1"].latitude, found["x1"].longitude, found["x1"].nst, found["x1"].felt) == (10.0, 20.0, 12, None)
+    assert (found["x2"].mag, found["x2"].place, found["x2"].felt) == (None, 'a "b", c', "7")
+    assert (found["x3"].mag, found["x3"].latitude, found["x3"].time) == (4.0, 2.0, None)
+    assert read_by_header(spark, str(tmp_path / "none.csv")).count() == 0
+
+
+def test_E1_P7_a_lenient_load_keeps_what_it_refused(spark, lake, tmp_path):
+    header = "id,time,latitude,longitude,mag"
+    for year in (2021, 2022):
+        catalogue(
+            tmp_path / f"raw/load_year={year}/a.csv", header,
+            f"a{year},{year}-01-01T00:00:00.000Z,1,2,3", f"b{year},soon,1,2,3", f"c{year},{year}-01-02T00:00:00.000Z,99,2,3",
+        )
+    report = loads.incremental_load(lake, str(tmp_path / "raw"), years(spark, 2021, 2022), strict=False)
+    assert report.years == [2021, 2022] and report.silver_rows == 2
+    refused = lake.read(lake.names.refused).select("event_id", "failed_rule", "load_year")
+    assert rows_of(refused) == sorted(
+        (name + str(year), rule, year)
+        for year in (2021, 2022)
+        for name, rule in (("b", "time_readable"), ("c", "coordinates_on_globe"))
+    )
+    full = loads.full_load(lake, str(tmp_path / "raw/*"), strict=False)
+    assert full.silver_rows == 2 and lake.read(lake.names.refused).count() == 4
+
+
+def quake(event: str, time: str, magnitude: float) -> str:
+    return f"{time}Z,1,2,10,{magnitude},,,,,,,{event},{time}Z,here,earthquake,,,,,,,"
+
+
+def test_ST1_ST2_a_revision_leaves_its_old_day_and_year(spark, lake, tmp_path, monkeypatch):
+    header, raw = ",".join(RAW_SCHEMA.names), tmp_path / "in"
+    checkpoint = str(tmp_path / "checkpoint")
+
+    def drain():
+        ingest_new_files(lake, str(raw), f"{checkpoint}/files")
+        days = run_daily_activity(lake, "bronze_arrivals", f"{checkpoint}/days")
+        return {(str(r.date)[:10], r.daily_event_count, r.daily_max_magnitude) for r in days.collect()}
+
+    catalogue(
+        raw / "a.csv", header, quake("e1", "2021-12-31T23:59:59.000", 4), quake("e2", "2021-05-01T00:00:00.000", 5),
+        quake("e3", "2019-05-01T00:00:00.000", 5),
+    )
+    assert drain() == {("2021-12-31", 1, 4.0), ("2021-05-01", 1, 5.0), ("2019-05-01", 1, 5.0)}
+    kept = sorted(str(p) for p in (tmp_path / "lake/arrived_events/year=2019").iterdir())
+    catalogue(raw / "b.csv", header, quake("e1", "2022-01-01T00:00:01.000", 4.5), quake("e2", "2021-05-01T00:00:09.000", 6))
+
+    def stops(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as patched:  # between the merged rows and the table
+        patched.setattr(upsert, "replace_years", stops)
+        with pytest.raises(Exception, match="stopped"):
+            drain()
+    want = {("2022-01-01", 1, 4.5), ("2021-05-01", 1, 6.0), ("2019-05-01", 1, 5.0)}
+    assert drain() == want == drain()
+    assert sorted(str(p) for p in (tmp_path / "lake/arrived_events/year=2019").iterdir()) == kept
+    assert arrived_events(lake).count() == 3

@@ -380,11 +380,16 @@ def _bands(column: str, names: list[tuple[str, str]]) -> str:
 
 _BODIES = {
     "csv_scan": f"SELECT {RAW_COLUMNS} FROM raw",
+    "csv_by_header": f"SELECT {RAW_COLUMNS} FROM raw",
     "csv_stack": """
 SELECT CAST(substr(time, 1, 4) AS INT) AS load_year, id, time, updated, mag, place, status FROM raw""",
     "csv_preview": "SELECT id, time, mag FROM raw ORDER BY id, time, updated LIMIT 5",
     "conform_clean_validate": "SELECT * REPLACE (CAST(num_stations AS DOUBLE) AS num_stations) FROM clean",
     "rejects": f"SELECT event_id, time, {FAILED_RULE} AS failed_rule FROM conformed WHERE {FAILED_RULE} IS NOT NULL",
+    "refused_rows": f"""
+SELECT event_id, CASE WHEN status = 'reviewed' THEN 'soon' ELSE time END AS time,
+  coalesce({FAILED_RULE}, 'time_readable') AS failed_rule
+FROM conformed WHERE {FAILED_RULE} IS NOT NULL OR status = 'reviewed'""",
     "quality_audit": f"""
 SELECT count(*) AS rows_in, count(*) FILTER (rule IS NULL) AS rows_out,
   count(*) FILTER (rule IS NOT NULL) AS rows_removed,
@@ -623,6 +628,10 @@ SELECT magnitude_group, CAST(coalesce(sum(event_count), 0) AS BIGINT) AS event_c
 FROM (VALUES ('1-3'), ('4'), ('5'), ('6-7'), ('8-9')) groups(magnitude_group)
 LEFT JOIN moon USING (magnitude_group) GROUP BY magnitude_group""",
     "full_load": "SELECT event_id, magnitude, depth, place, region, magnitude_category FROM silver",
+    "exported_events": "SELECT event_id, magnitude, depth, place, region, magnitude_category FROM silver",
+    "exposed_events": "SELECT year, region, count(*) AS events FROM silver GROUP BY year, region",
+    "star_of_repeated_events": FACT_ROUNDED,
+    "resumed_load": FACT_ROUNDED,
     "incremental_load": SILVER_ROUNDED,
     "loaded_fact": FACT_ROUNDED,
     "ledger_years": """

@@ -19,7 +19,7 @@ from tremora.operators import conform, dedup, filters, grids, profile
 from tremora.plans import cubes, figures, ledger, reports
 from tremora.plans.loads import BY_YEAR
 from tremora.plans.star import star_view
-from tremora.sources.catalog_csv import preview, read_catalog, stack
+from tremora.sources.catalog_csv import preview, read_by_header, read_catalog, stack
 from tremora.streaming.ingest import arrived_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,14 @@ def csv_stack(w: Workspace) -> DataFrame:
     return stacked.select("load_year", "id", "time", "updated", "mag", "place", "status")
 
 
+@query
+def csv_by_header(w: Workspace) -> DataFrame:
+    """Files with three different headers; the further column stays."""
+    rows = read_by_header(w.spark, f"{w.mixed_files()}/*")
+    seen = F.col("remark").isNull() | (F.col("remark") == 'said "so", twice')
+    return plain_stations(rows.where(seen).drop("remark"), "nst")
+
+
 @query
 def csv_preview(w: Workspace) -> DataFrame:
     return preview(w.raw().orderBy("id", "time", "updated").select("id", "time", "mag"), 5)
@@ -89,6 +97,13 @@ def rejects(w: Workspace) -> DataFrame:
     return conform.rejects(w.raw()).select("event_id", "time", "failed_rule")
 
 
+@query
+def refused_rows(w: Workspace) -> DataFrame:
+    """What a lenient load leaves out, where some times can't be read."""
+    raw = w.raw().withColumn("time", F.when(F.col("status") == "reviewed", "soon").otherwise(F.col("time")))
+    return conform.refused(raw).select("event_id", "time", "failed_rule")
+
+
 @query
 def quality_audit(w: Workspace) -> DataFrame:
     return conform.removed_rows(w.raw())
@@ -543,6 +558,38 @@ def full_load(w: Workspace) -> DataFrame:
     )
 
 
+@query
+def exported_events(w: Workspace) -> DataFrame:
+    """The copy that a full load makes."""
+    lake = w.fully_loaded()
+    rows = w.spark.read.parquet(lake.path(f"processed/{lake.names.silver}.parquet"))
+    return rows.select("event_id", "magnitude", "depth", "place", "region", "magnitude_category")
+
+
+@query
+def exposed_events(w: Workspace) -> DataFrame:
+    """A table by its name in SQL."""
+    w.silver()
+    lake = w.lake()
+    lake.expose(lake.names.silver)
+    return w.spark.sql(
+        f"SELECT year, region, count(*) AS events FROM {lake.names.silver} GROUP BY year, region"
+    )
+
+
+@query
+def star_of_repeated_events(w: Workspace) -> DataFrame:
+    """Rows that repeat an event give one fact."""
+    return rounded(w.star_of_repeated().fact)
+
+
+@query
+def resumed_load(w: Workspace) -> DataFrame:
+    """The fact after a load that stopped before the star and was run again."""
+    lake = w.resumed()
+    return rounded(lake.read(lake.names.fact))
+
+
 @query
 def incremental_load(w: Workspace) -> DataFrame:
     """The merged table after two runs."""

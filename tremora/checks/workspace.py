@@ -16,6 +16,7 @@ from tremora.operators.conform import to_events, to_merged_events
 from tremora.plans import ledger, loads
 from tremora.plans.cubes import build_cubes, read_cube
 from tremora.plans.star import Star, build_star, event_view
+from tremora.sources.catalog_csv import COUNTS
 from tremora.sources.derived import derived_catalog
 from tremora.sources.lake import Lake
 from tremora.sources.shared import fresh_path
@@ -99,6 +100,46 @@ class Workspace:
         self._once("full", lambda: loads.full_load(lake, f"{self.raw_files()}/*"))
         return lake
 
+    def mixed_files(self) -> str:
+        """The raw catalogue as files with three headers: the schema's, its reverse with a column
+        more, and one with counts as 12.0 and the quality columns last."""
+        path = f"{self.root}/mixed_files"
+
+        def write() -> None:
+            raw, names = self.raw(), self.raw().columns
+            part = F.pmod(F.xxhash64("id"), F.lit(3))
+            late = ("gap", "dmin", "rms")
+            floats = [F.col(n).cast("double").alias(n) if n in COUNTS else F.col(n) for n in names if n not in late]
+            for at, columns in enumerate(
+                (names, [*reversed(names), F.lit('said "so", twice').alias("remark")], [*floats, *late])
+            ):
+                rows = raw.where(part == at).select(*columns)
+                rows.write.option("header", True).option("escape", '"').csv(f"{path}/{at}")
+
+        self._once("mixed_files", write)
+        return path
+
+    def resumed(self) -> Lake:
+        """A load that stopped after the merge, before the star, and was run again."""
+        lake = self.lake("resumed")
+
+        def load() -> None:
+            first = ledger.requested_years(self.spark, start=2020, end=2022)
+            loads.incremental_load(lake, self.raw_files(), first)
+            loads.load_years(lake, self.raw_files(), [2018, 2019, 2023, 2024, 2025, 2026])
+            loads.merge_bronze(lake)  # and here it stopped
+            wanted = ledger.requested_years(self.spark, start=2018, end=2026)
+            loads.incremental_load(lake, self.raw_files(), wanted)
+
+        self._once("resumed", load)
+        return lake
+
+    def star_of_repeated(self) -> Star:
+        """The star built from events of which some are there twice."""
+        lake = self.lake("repeated")
+        self._once("repeated", lambda: build_star(lake, self.events(), unique_events=False))
+        return Star.of(lake)
+
     def incrementally_loaded(self) -> Lake:
         """L3 over the CSV files, in two runs: first three years, then all that are missing."""
         lake = self.lake("incremental")

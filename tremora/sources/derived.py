@@ -7,6 +7,9 @@ does: revisions and repeated rows, nulls, and values that validation must drop.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+COPY_STEP = 1_000_000_007  # beyond all ids of the test tables
 
 CATALOG = """
 WITH located AS (
@@ -57,8 +60,16 @@ FROM timed
 """
 
 
-def derived_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """All events of a test-data folder as raw catalogue rows, in one scan."""
+def derived_catalog(spark: SparkSession, folder: str, copies: int = 1) -> DataFrame:
+    """All events of a test-data folder as raw catalogue rows, in one scan.
+
+    ``copies`` repeats them under further ids, and so at other times and depths.
+    """
     events = spark.read.parquet(f"{folder}/events.parquet")
+    if copies > 1:
+        copy = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
+        events = events.withColumn("_copy", copy).withColumn(
+            "event_id", F.col("event_id").cast("long") + F.col("_copy").cast("long") * COPY_STEP
+        )
     nation = spark.read.parquet(f"{folder}/nation.parquet")
     return spark.sql(CATALOG, events=events, nation=nation)
