@@ -1,9 +1,10 @@
 """Exact top-k search by inner product with vector-approximation files.
 
 Vectors are rows of whole numbers.  A block holds a few thousand of them in two
-parts: the approximation, every component rounded down to a cell of ``2 **
-CELL_BITS`` values, and the exact components.  For a block of queries, one pass
-over the approximations bounds every score from below and above.  The k-th
+parts: the approximation, one byte per component, the cell of ``2 ** shift``
+values that it lies in, and the exact components.  The shift is the smallest with
+which a block's cells fit in a byte, ``CELL_BITS`` at least.  For a block of
+queries, one pass over the approximations bounds every score from below and above.  The k-th
 largest lower bound rules out what can't be among the k best; the rest is read
 exactly, in the order of the upper bounds, until the k-th best score is above
 the next upper bound, so no vector that was not read can belong to the result.
@@ -16,7 +17,7 @@ Defined results: vectors that are null, empty, or hold a null or a component
 that isn't finite, and rows without an id, take no part; vectors of different
 lengths are never compared; rows that repeat an id are rows of their own, and a
 query's own row alone is left out; fewer than k candidates are all returned.
-Components beyond 2**62 in size after scaling are out of range.
+Scores are exact as long as sums of products fit in 63 bits; beyond, they are out of range.
 """
 
 from __future__ import annotations
@@ -33,13 +34,13 @@ from tremora.llm.common import settled
 SCALE = 64
 K = 20
 EVERY = 20  # ids divisible by this are queries
-CELL_BITS = 1
+CELL_BITS = 1  # at least; a cell holds 2 ** CELL_BITS values
 BLOCK = 4096  # vectors of a block
 QUERY_BLOCK = 512
 SLICES = 64  # of either side of the grid, at most
 READ = 64  # exact vectors read at a time
 
-_BLOCK_SCHEMA = "dim int, n int, rows binary, ids binary, cells binary, exact binary"
+_BLOCK_SCHEMA = "dim int, n int, rows binary, ids binary, shift int, cells binary, exact binary"
 
 
 def whole_vectors(rows: DataFrame) -> DataFrame:
@@ -59,13 +60,14 @@ def _blocks(vectors: DataFrame, size: int, name: str) -> DataFrame:
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def block(rows: list) -> pd.DataFrame:
             exact = np.stack([v for _, _, v in rows]).astype(np.int64)
-            small = np.abs(exact).max() < 1 << 15
-            exact = exact.astype(np.int16 if small else np.int64)
+            widest = max(int(exact.max()), -int(exact.min()) - 1)
+            shift = max(CELL_BITS, widest.bit_length() - 7)
+            cells = (exact >> shift).astype(np.int8).tobytes()
+            exact = exact.astype(np.int16 if widest < 1 << 15 else np.int64)
             ids = [np.array([r[i] for r in rows], np.int64).tobytes() for i in (0, 1)]
-            cells = (exact >> CELL_BITS).tobytes()
             return pd.DataFrame(
-                [(exact.shape[1], len(rows), *ids, cells, exact.tobytes())],
-                columns=["dim", "n", "rows", "ids", "cells", "exact"],
+                [(exact.shape[1], len(rows), *ids, shift, cells, exact.tobytes())],
+                columns=["dim", "n", "rows", "ids", "shift", "cells", "exact"],
             )
 
         waiting: dict[int, list] = {}
@@ -90,14 +92,17 @@ def _matrix(part: bytes, n: int, dim: int) -> np.ndarray:
 def search_block(q: dict, b: dict, k: int) -> Iterator[tuple]:
     """(query row, query id, vector id, score) of the k best of a block, for each query."""
     queries = _matrix(q["exact"], q["n"], q["dim"]).astype(np.float64)
-    cells = _matrix(b["cells"], b["n"], b["dim"]).astype(np.float64)
+    cells = np.frombuffer(b["cells"], np.int8).reshape(b["n"], b["dim"]).astype(np.float64)
     exact = _matrix(b["exact"], b["n"], b["dim"]).astype(np.int64)
     q_rows, q_ids = np.frombuffer(q["rows"], np.int64), np.frombuffer(q["ids"], np.int64)
     rows, ids = np.frombuffer(b["rows"], np.int64), np.frombuffer(b["ids"], np.int64)
-    width = (1 << CELL_BITS) - 1
-    base = queries @ (cells * (1 << CELL_BITS)).T
-    above = width * np.maximum(queries, 0).sum(1)
-    below = width * np.minimum(queries, 0).sum(1)
+    width = float((1 << b["shift"]) - 1)
+    base = queries @ np.ldexp(cells, b["shift"]).T
+    # Sums of floating point numbers are exact for small components; for others, the bounds give way.
+    total = np.abs(queries).sum(1) * np.ldexp(129.0, b["shift"])
+    blur = np.where(total < 1 << 52, 0, total * b["dim"] * 2.0**-51)
+    above = width * np.maximum(queries, 0).sum(1) + blur
+    below = width * np.minimum(queries, 0).sum(1) - blur
     where = {row: i for i, row in enumerate(rows.tolist())}
     for i in range(len(queries)):
         upper, lower = base[i] + above[i], base[i] + below[i]
@@ -131,10 +136,10 @@ def top_k(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     asked = _blocks(vectors.where(F.pmod("vec_id", F.lit(every)) == 0), QUERY_BLOCK, "queries")
 
     def searched(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = ("n", "dim", "rows", "ids", "cells", "exact")
+        parts = ("n", "dim", "rows", "ids", "shift", "cells", "exact")
         for batch in pairs:
             for pair in batch.to_dict("records"):
-                found = search_block({p: pair[f"q_{p}"] for p in parts if p != "cells"}, {p: pair[p] for p in parts}, k)
+                found = search_block({p: pair[f"q_{p}"] for p in parts if p not in ("shift", "cells")}, {p: pair[p] for p in parts}, k)
                 yield pd.DataFrame(found, columns=["q_row", "query_id", "vec_id", "score"], dtype="int64")
 
     n_blocks, n_asked = (min(SLICES, max(1, x.count())) for x in (blocks, asked))
