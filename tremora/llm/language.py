@@ -67,10 +67,12 @@ def language_code(declared: Column) -> Column:
     return F.when(code != "", code)
 
 
-def with_clues(rows: DataFrame, text: Column, declared: Column, address: Column) -> DataFrame:
+def with_clues(rows: DataFrame, row_id: Column, text: Column, declared: Column, address: Column) -> DataFrame:
     host, domain, suffix = address_parts(address)
     return (
         rows.withColumn("__text", F.coalesce(text, F.lit("")))
+        # By id and text: of the copies of a text, as large a share is sampled as of all rows.
+        .withColumn("__draw", F.pmod(F.xxhash64(row_id, "__text"), F.lit(1 << 30)))
         .withColumn("__declared", language_code(declared))
         .withColumn("__host", host)
         .withColumn("__domain", domain)
@@ -94,7 +96,7 @@ def fit_text_model(rows: DataFrame) -> TextModel:
     languages = sorted(r["__declared"] for r in top)
     total = sum(r["count"] for r in top)
     share = min(1.0, SAMPLE / max(total, 1))
-    chosen = F.pmod(F.xxhash64("__text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    chosen = F.col("__draw") < F.lit(int(share * (1 << 30)))
     sample = declared.where(F.col("__declared").isin(languages) & (chosen | F.lit(share == 1.0)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,7 +247,8 @@ def _identified(rows: DataFrame, kept: list[str]) -> DataFrame:
 
 def document_languages(docs: DataFrame) -> DataFrame:
     """doc_id, language, probability, accepted, declared; a document's source is its host."""
-    rows = with_clues(docs.select("doc_id", "text", "lang", "source"), F.col("text"), F.col("lang"), F.col("source"))
+    rows = docs.select("doc_id", "text", "lang", "source")
+    rows = with_clues(rows, F.col("doc_id"), F.col("text"), F.col("lang"), F.col("source"))
     return _identified(rows, ["doc_id"])
 
 
@@ -255,13 +258,13 @@ def page_languages(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
     declared = F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z-]+)""", 1)
-    rows = with_clues(pages.select("page_id", "url", "html"), text, declared, F.col("url"))
+    rows = with_clues(pages.select("page_id", "url", "html"), F.col("page_id"), text, declared, F.col("url"))
     return _identified(rows.drop("html"), ["page_id"])
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
     """The documents whose language was identified, with all their columns."""
-    rows = with_clues(docs, F.col("text"), F.col("lang"), F.col("source"))
+    rows = with_clues(docs, F.col("doc_id"), F.col("text"), F.col("lang"), F.col("source"))
     model = fit_text_model(rows)
     scored = with_likelihoods(rows, model)
     clues = scored.select("__host", "__domain", "__suffix", "__declared", "__likelihoods")
