@@ -12,7 +12,7 @@ undecided document, then buckets of those, and so on; each level is one grouped
 aggregation of buckets of about ``FANOUT`` documents, whatever the source's size.
 
 Defined results: a null text or one without words has size 0 and is never taken;
-a null source is a source, the last one; rows that agree in source, id and size
+a null source is a source, the last one; rows that agree in source, id and text
 are decided together, as many of them as are due get the further copy; an empty
 table gives an empty result.  The draws depend on ids, sizes and ``SEED`` alone.
 """
@@ -21,16 +21,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremora.llm.common import n_words, numbered, settled, uniform
+from tremora.llm.common import n_words, numbered, ranked, settled, uniform
 
 WEIGHTS = (1, 2, 3)  # of the sources in code point order, repeating
 MOST = 3  # times a source's size that its target is at most
 FANOUT = 64  # documents of a bucket, on average
 SEED = 4
-UNIT = ("source", "doc_id", "size")
+UNIT = ("source", "doc_id", "size", "text_hash")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -65,8 +65,12 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
+def _of_text() -> tuple[Column, Column]:
+    return n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")
+
+
 def _units(docs: DataFrame) -> DataFrame:
-    sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    sizes = docs.select("doc_id", "source", *_of_text())
     units = settled(sizes.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("rows")), "units")
     targets = settled(
         source_targets(units.select("source", (F.col("size") * F.col("rows")).alias("size"))),
@@ -133,7 +137,7 @@ def _level(units: DataFrame, columns: list[str], level: int) -> DataFrame:
 
 
 def decided_units(docs: DataFrame) -> DataFrame:
-    """One row per distinct (source, doc_id, size): ``rows`` such documents, each taken ``base``
+    """One row per distinct ``UNIT``: ``rows`` such documents, each taken ``base``
     times, and ``more`` of them once more; with ``source_size`` and ``target``."""
     units = settled(_units(docs), "units")
     columns = ["size", *[c for c in units.columns if c != "size"]]
@@ -145,7 +149,7 @@ def decided_units(docs: DataFrame) -> DataFrame:
     open_units = open_units.join(sources, F.col("source").eqNullSafe(F.col("__source")))
     buckets = F.ceil(F.col("__n") / FANOUT)
     open_units = open_units.drop("__source").withColumn(
-        "__bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(SEED)), buckets)
+        "__bucket", F.pmod(F.xxhash64(*UNIT[1:], F.lit(SEED)), buckets)
     )
     for level in range(max(1, math.ceil(math.log(max(most, 2), FANOUT)) + 1)):
         played = _level(open_units, [*columns, "__bucket"], level)
@@ -181,20 +185,35 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with all their columns."""
-    key = [F.xxhash64(*UNIT, F.lit(seed)).alias(f"__key{seed}") for seed in (1, 2)]
     names = ["__key1", "__key2"]
-    units = settled(decided_units(docs).select(*key, "base", "more"), "decisions")
-    units = units.withColumnsRenamed({"base": "__base", "more": "__more"})
-    size = n_words(F.col("text"))
-    keyed = [
-        F.xxhash64("source", "doc_id", size, F.lit(seed)).alias(f"__key{seed}") for seed in (1, 2)
-    ]
-    rows = docs.select("*", *keyed).join(units, names)
-    place = F.row_number().over(Window.partitionBy(*names).orderBy("text"))
-    copies = (F.col("__base") + (place <= F.col("__more")).cast("long")).cast("int")
+
+    def keyed(*unit: str | Column) -> list[Column]:
+        """128 bits: two hashes that differ from their first byte on."""
+        return [F.xxhash64(F.lit(i), *unit).alias(name) for i, name in enumerate(names)]
+
+    units = settled(
+        decided_units(docs)
+        .where("base > 0 or more > 0")
+        .select(
+            *keyed(*UNIT),
+            F.col("base").alias("__base"),
+            F.col("more").alias("__more"),
+            F.col("rows").alias("__rows"),
+        ),
+        "decisions",
+    )
+    rows = docs.select("*", *keyed("source", "doc_id", *_of_text()))
+    # Nearly always all rows of a unit are taken equally often; where not, they get a place.
+    some = (F.col("__more") > 0) & (F.col("__more") < F.col("__rows"))
+    whole = rows.join(units.where(~some), names)
+    taken = whole.withColumn("__copies", F.col("__base") + (F.col("__more") > 0).cast("long"))
+    if not units.where(some).isEmpty():
+        placed = ranked(rows.join(units.where(some), names), names, "__place")
+        copies = F.col("__base") + (F.col("__place") < F.col("__more")).cast("long")
+        taken = taken.unionByName(placed.withColumn("__copies", copies).drop("__place"))
     return (
-        rows.withColumn("__copies", copies)
-        .where(F.col("__copies") > 0)
+        taken.where(F.col("__copies") > 0)
+        .withColumn("__copies", F.col("__copies").cast("int"))
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies")))
         .select(*docs.columns)
     )

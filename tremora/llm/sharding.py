@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremora.llm.common import settled
+from tremora.llm.common import ranked, settled
 
 LIMIT = 8 << 20  # bytes of a shard
 SPARE_BITS = 4  # bits of a round beyond those that even buckets would need
@@ -109,11 +109,12 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def _overflow(rows: DataFrame, limit: int) -> DataFrame:
     """Pages of rows that have one hash, hence one size."""
-    same = Window.partitionBy("__hash", "n_bytes")
     per_page = F.greatest(F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1))), F.lit(1))
-    place = F.row_number().over(same.orderBy("doc_id")) - 1
-    paged = rows.withColumn("__page", F.floor(place / per_page))
-    sums = paged.groupBy("__hash", "__page").agg(F.sum("n_bytes").alias("__shard_bytes"))
+    placed = ranked(rows, ["__hash", "n_bytes"], "__place")
+    paged = settled(placed.withColumn("__page", F.floor(F.col("__place") / per_page)).drop("__place"), "pages")
+    sums = settled(
+        paged.groupBy("__hash", "__page").agg(F.sum("n_bytes").alias("__shard_bytes")), "page-sums"
+    )
     return (
         paged.join(sums, ["__hash", "__page"])
         .withColumn("__depth", F.lit(HASH_BITS))
