@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 import corpus_pipeline
 from tremora.llm import (
-    components, language, merge, mixing, packing, quality, quotes, repeats, secrets, sharding, simhash, vafile,
+    common, components, language, merge, mixing, packing, quality, quotes, repeats, secrets, sharding, simhash, vafile,
 )
 from tremora.sources.shared import fresh_path
 
@@ -130,9 +130,22 @@ def test_op2_exact(spark):
             scores = sorted((-int(v @ w), i) for m, (i, w) in enumerate(vectors) if m != n and len(w) == len(v))
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:20])]
     same(vafile.top_k(frame), want)
+    assert vafile.top_k(frame.withColumn("embedding", F.transform("embedding", lambda x: x * 0))).count() == len(want)
     assert vafile.top_k(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 3, 600, 40_000, 2**21])
+def test_op2_cells_of_any_width(spark, size):
+    rows = [(i, [random.uniform(-size, size) for _ in range(6)]) for i in range(150)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = np.floor(64 * np.array([v for _, v in rows])).astype(np.int64)
+    want = []
+    for q in range(0, 150, 20):
+        scores = sorted((-int(vectors[q] @ w), i) for i, w in enumerate(vectors) if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:20])]
+    same(vafile.top_k(frame), want)
+
+
 def test_op3_held_out(documents):
     found = language.document_languages(documents).toPandas()
     assert (found.language == found.declared).mean() > 0.99 and found.accepted.mean() > 0.97
@@ -174,6 +187,30 @@ def test_op4_contract(docs):
     assert mixed.columns == docs.columns and mixed.count() == found.copies.sum()
 
 
+def test_op4_units_of_many_rows(spark):
+    # Rows without ids, rows that repeat, and ids with several texts: each row is taken whole times, copies near the target.
+    rows = [(None, "a b c", "s1")] * 101 + [(7, "d e", "s1")] * 50 + [(7, "f g", "s1")] * 49
+    rows += [(None, f"{i} x", "s2") for i in range(200)] + [(i, "w", "s3") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs)
+    mixed = mixing.mixed_documents(docs)
+    words = lambda frame, size: {r.source: r.n for r in frame.groupBy("source").agg(F.sum(size).alias("n")).collect()}
+    assert words(found, "taken") == words(mixed, F.size(F.split("text", " ")))
+    assert mixed.count() == found.agg(F.sum("copies")).first()[0]
+    again = mixing.mixed_documents(docs.repartition(5))
+    same(again, [tuple(r) for r in mixed.collect()])
+    most = mixed.groupBy("source", "doc_id", "text").count().join(docs.groupBy("text").agg(F.count("*").alias("n")), "text")
+    assert most.where("count > 3 * n").isEmpty()
+
+
+def test_ranked(spark):
+    rows = spark.range(70_000).select((F.col("id") % 3).alias("k"), "id")
+    found = common.ranked(rows, ["k"], "place").groupBy("k").agg(
+        F.count("*").alias("n"), F.count_distinct("place").alias("d"), F.min("place").alias("a"), F.max("place").alias("z")
+    )
+    assert found.count() == 3 and found.where("n <> d or a <> 0 or z <> n - 1").isEmpty()
+
+
 def test_op5_shards_fit(spark, docs):
     limit = 20_000
     found = sharding.shards(docs, limit).toPandas()
@@ -215,6 +252,16 @@ def test_op6_links(spark):
     assert quotes.linked_conversations(frame.limit(0)).count() == 0
 
 
+def test_op6_stretches_of_a_long_conversation(spark):
+    # One line that everybody quotes, written again now and then; stretches are far shorter than the conversation.
+    own = {0, 7, 8, 64, 65, 199}
+    rows = [(1, i, "u", "> Hello\nhello" if i in own and i else "hello" if i in own else "> hello") for i in range(0, 300, 1)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = [(i, max(j for j in own if j < i)) for i in range(1, 300)]
+    for stretch in (1, 8, 1024):
+        same(quotes.reply_links(frame, stretch).select("turn", "reply_to"), want)
+
+
 def test_op6_long_chain(spark):
     rows = [(1, i, "u", f"> line {i - 1}\nline {i}") for i in range(50)]
     found = quotes.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))

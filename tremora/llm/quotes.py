@@ -3,8 +3,10 @@
 A line's quote level is the number of ``>`` before it.  Quoted lines are
 normalised (case, white space) and hashed; in the same conversation, the latest
 earlier message that has the line as its own is what was quoted.  The lookup is
-one running window over (conversation, hash), not a join of all pairs, so a line
-that everybody writes costs one row per message.  A message answers the message
+a running window over (conversation, hash), not a join of all pairs, so a line
+that everybody writes costs one row per message.  It runs inside stretches of
+``STRETCH`` turns first and then over the stretches, so that no task sees all
+messages of a long conversation.  A message answers the message
 that most of its first-level quotes come from (the later one on a tie; of deeper
 levels if no first-level line was found).
 
@@ -23,6 +25,7 @@ from tremora.llm.common import settled
 QUOTED = r"^(?:[ \t]*>)+[ \t]?"
 ATTRIBUTION = r"^[ \t]*On\b.*\bwrote:[ \t\r]*$"
 KEY = ("conv_id", "turn")
+STRETCH = 1024  # turns of a conversation that one window runs over
 
 
 def _lines(text: Column) -> Column:
@@ -54,7 +57,33 @@ def _body(lines: Column) -> Column:
     return F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", "")
 
 
-def reply_links(messages: DataFrame) -> DataFrame:
+def _with_origin(seen: DataFrame, stretch: int) -> DataFrame:
+    """Adds ``origin``, the latest earlier turn that has the line as its own."""
+    parted = seen.withColumn("__stretch", F.floor(F.col("turn") / stretch))
+    own = F.max(F.when(F.col("own"), F.col("turn")))
+    inside = (
+        Window.partitionBy("conv_id", "hash", "__stretch")
+        .orderBy("turn")
+        .rangeBetween(Window.unboundedPreceding, -1)
+    )
+    over = Window.partitionBy("conv_id", "hash").orderBy("__stretch")
+    carried = settled(
+        parted.groupBy("conv_id", "hash", "__stretch")
+        .agg(own.alias("__last"))
+        .withColumn("__before", F.max("__last").over(over.rowsBetween(Window.unboundedPreceding, -1)))
+        .where(F.col("__before").isNotNull())
+        .drop("__last"),
+        "stretches",
+    )
+    return (
+        parted.withColumn("__inside", own.over(inside))
+        .join(carried, ["conv_id", "hash", "__stretch"], "left")
+        .withColumn("origin", F.coalesce("__inside", "__before"))
+        .drop("__stretch", "__inside", "__before")
+    )
+
+
+def reply_links(messages: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """(conv_id, turn, reply_to, n_linked) of the messages whose quotations were found."""
     lines = (
         messages.select(*KEY, F.explode(_lines(F.col("text"))).alias("line"))
@@ -65,14 +94,10 @@ def reply_links(messages: DataFrame) -> DataFrame:
     seen = lines.groupBy(*KEY, "hash").agg(
         F.max(F.col("level") == 0).alias("own"), F.min(F.when(F.col("level") > 0, F.col("level"))).alias("level")
     )
-    earlier = (
-        Window.partitionBy("conv_id", "hash")
-        .orderBy("turn")
-        .rangeBetween(Window.unboundedPreceding, -1)
+    found = (
+        _with_origin(seen, stretch)
+        .where(F.col("level").isNotNull() & F.col("origin").isNotNull())
     )
-    found = seen.withColumn(
-        "origin", F.max(F.when(F.col("own"), F.col("turn"))).over(earlier)
-    ).where(F.col("level").isNotNull() & F.col("origin").isNotNull())
     votes = found.groupBy(*KEY, "origin").agg(
         F.count_if(F.col("level") == 1).alias("first"), F.count(F.lit(1)).alias("all")
     )
