@@ -9,8 +9,11 @@ from tremora.llm.common import settled
 
 
 def _lowest(links: DataFrame) -> DataFrame:
-    """(u, lowest): the smallest of u and all it is linked to, for links (u, v)."""
-    return links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("lowest"))
+    """(u, lowest): the smallest of u and all it is linked to, for links (u, v).
+
+    Written before it is joined: the links of one node are split by skew then.
+    """
+    return settled(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("lowest")), "lowest")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -22,8 +25,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
     low = links.where("u > v")
-    lowest = low.groupBy("u").agg(F.min("v").alias("lowest"))
-    moved = low.join(lowest, "u")
+    moved = low.join(_lowest(low), "u")
     return moved.where("v > lowest").select(F.col("v").alias("u"), F.col("lowest").alias("v")).unionByName(
         moved.select("u", F.col("lowest").alias("v"))
     )

@@ -164,7 +164,8 @@ def fingerprint_components(rows: DataFrame) -> DataFrame:
     rooted = settled(
         lowest.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted"
     )
-    ids = rooted.groupBy("root").agg(F.min("__low").alias("component_id"))
+    # Written before it is joined: the members of a large component are split then.
+    ids = settled(rooted.groupBy("root").agg(F.min("__low").alias("component_id")), "ids")
     return rooted.join(ids, "root").select("fp", "root", "component_id")
 
 
