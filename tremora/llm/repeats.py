@@ -302,7 +302,9 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         ),
         "contents",
     )
-    variants = contents.groupBy("core").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
+    variants = settled(
+        contents.groupBy("core").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1"), "variants"
+    )
     wanted = settled(
         contents.join(variants, "core")
         .select((F.col("variants") > hot).alias("hot"), "at.row", "core", "content", "at.low", "at.high", "at.place")
@@ -321,13 +323,18 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         found = found.unionByName(_counted(cut.where("hot").drop("hot")))
     found = settled(found, "found")
     # Of a content that occurs again, every start is repeated.
-    known = contents.join(found, ["core", "content"], "left").where("n > 1 or starts is not null")
+    known = settled(
+        contents.join(found, ["core", "content"], "left")
+        .where("n > 1 or starts is not null")
+        .select("core", "content", "n", "starts"),
+        "known",
+    )
     starts = F.when(
         F.col("n") > 1,
         F.array(F.struct(F.lit(0).alias("first"), (F.col("high") - F.col("low")).alias("last"))),
     ).otherwise(F.col("starts"))
     spans = (
-        shared.join(known.select("core", "content", "n", "starts"), ["core", "content"])
+        shared.join(known, ["core", "content"])
         .select("row", "low", F.inline(starts))
         .groupBy("row")
         .agg(
