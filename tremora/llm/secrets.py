@@ -138,7 +138,9 @@ def findings(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
     by_blob = table.groupBy("blob").agg(
         *[F.first(F.when(w, F.col("spans")), ignorenulls=True).alias(f"{r.name}_spans") for r, w in zip(rules, wanted)]
     )
-    found = by_blob.where(sum((F.size(f"{r.name}_spans") for r in rules), F.lit(0)) > 0)
+    some = by_blob.where(sum((F.size(f"{r.name}_spans") for r in rules), F.lit(0)) > 0)
+    # Written before it is joined: Spark splits the copies of one blob where both sides are plain shuffles.
+    found = settled(some, "findings")
     paths = docs.select("doc_id", address(F.col("text")).alias("blob"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     joined = paths.join(found, "blob", "left")
