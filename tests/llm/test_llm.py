@@ -167,6 +167,28 @@ def test_op3_awkward(awkward, empty, spark):
     assert pages.where("language = declared").count() > 0.95 * pages.count()
 
 
+SCRIPTS = {"el": 0x3B1, "ru": 0x430, "he": 0x5D0, "ar": 0x628, "ka": 0x10D0, "hy": 0x561}
+
+
+def in_script(first, draw):
+    letters = [chr(first + i) for i in range(22)]
+    return " ".join("".join(draw.choices(letters, k=5)) for _ in range(80))
+
+
+def test_op3_rare_languages_in_a_table_above_the_sample(spark, documents, monkeypatch):
+    # Two rows each: a share of all rows would leave some of these languages without any row to be fitted on.
+    monkeypatch.setattr(language, "SAMPLE", 30)
+    draw = random.Random(3)
+    rare = [(f"{code}{i}", in_script(first, draw), code, "src0") for code, first in SCRIPTS.items() for i in range(2)]
+    rows = documents.select(F.col("doc_id").cast("string"), "text", "lang", "source")
+    rows = rows.unionByName(spark.createDataFrame(rare, rows.schema))
+    assert rows.count() > 3 * language.SAMPLE
+    found = language.document_languages(rows).where(F.col("declared").isin(list(SCRIPTS)))
+    assert found.where("accepted and language = declared").count() == len(rare)
+    assert language.rows_per_language([5, 7, 100, 1000], 312) == 200
+    assert language.rows_per_language([3, 4], 9) >= 4 and language.rows_per_language([4] * 9, 2) == 1
+
+
 def test_op4_contract(docs):
     found = mixing.mix(docs).toPandas()
     sizes = collections.Counter((i, len(WORD.findall(t or ""))) for i, t in pairs(docs))

@@ -2,8 +2,9 @@
 
 The posterior of a language is the product of
 * the text's likelihood under byte-bigram models, fitted on a bounded sample of
-  rows that declare a language, with the exponent ``TEMPER`` since neighbouring
-  bigrams aren't independent;
+  the rows that declare a language, drawn per language so that a rare one is
+  fitted on all its rows, with the exponent ``TEMPER`` since neighbouring bigrams
+  aren't independent;
 * how often texts of the language come with this declared language and this
   address suffix; and
 * the prior of the host, smoothed by its domain's, which is smoothed by that of
@@ -80,6 +81,17 @@ def with_clues(rows: DataFrame, row_id: Column, text: Column, declared: Column,
     )
 
 
+def rows_per_language(counts: list[int], bound: int) -> int:
+    """The largest number of rows such that as many of each language, or all it has, are within the bound."""
+    left, each = bound, bound
+    for i, n in enumerate(sorted(counts)):
+        each = left // (len(counts) - i)
+        if n > each:
+            return max(each, 1)
+        left -= n
+    return max([each, *counts])
+
+
 @dataclass
 class TextModel:
     """Log probabilities of bigrams: one column per language, and the last one of byte frequencies."""
@@ -91,13 +103,19 @@ class TextModel:
 def fit_text_model(rows: DataFrame) -> TextModel:
     """From rows with clues; only counts per language and bigram reach the driver."""
     declared = rows.where(F.col("__declared").isNotNull())
-    sizes = declared.groupBy("__declared").count()
-    top = sizes.orderBy(F.desc("count"), "__declared").limit(LANGUAGES).collect()
-    languages = sorted(r["__declared"] for r in top)
-    total = sum(r["count"] for r in top)
-    share = min(1.0, SAMPLE / max(total, 1))
-    chosen = F.col("__draw") < F.lit(int(share * (1 << 30)))
-    sample = declared.where(F.col("__declared").isin(languages) & (chosen | F.lit(share == 1.0)))
+    # At most 26^2 + 26^3 languages, as there are codes.
+    sizes = settled(
+        declared.groupBy("__declared").agg(F.count(F.lit(1)).alias("__n"), F.min("__draw").alias("__lowest")),
+        "languages",
+    )
+    top = sizes.orderBy(F.desc("__n"), "__declared").limit(LANGUAGES).collect()
+    rows_of = {r["__declared"]: r["__n"] for r in top}
+    languages = sorted(rows_of)
+    each = rows_per_language(list(rows_of.values()), SAMPLE)
+    # The row drawn first is always in, so that no language is left without one.
+    share = F.greatest(F.floor(F.lit(each * float(1 << 30)) / F.col("__n")), F.col("__lowest"))
+    chosen = (F.col("__n") <= each) | (F.col("__draw") <= share)
+    sample = declared.where(F.col("__declared").isin(languages)).join(sizes, "__declared").where(chosen)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -120,7 +138,9 @@ def fit_text_model(rows: DataFrame) -> TextModel:
     place = {language: i for i, language in enumerate(languages)}
     counts[counted["bin"].to_numpy(int), counted["language"].map(place).to_numpy(int)] = counted["n"]
     squares = counts.reshape(256, 256, len(languages))
-    single = squares.sum((0, 2)) + 0.5
+    # Languages count for the byte frequencies as much as they have rows, however many were drawn.
+    weight = np.array([max(1.0, n / each) for n in (rows_of[language] for language in languages)])
+    single = squares.sum(0) @ weight + 0.5
     single /= single.sum()
     # Conditional on the first byte, smoothed by the second byte's frequency.
     given = (squares + 8 * single[None, :, None]) / (squares.sum(1, keepdims=True) + 8)
