@@ -189,6 +189,34 @@ def test_op3_rare_languages_in_a_table_above_the_sample(spark, documents, monkey
     assert language.rows_per_language([3, 4], 9) >= 4 and language.rows_per_language([4] * 9, 2) == 1
 
 
+def test_op3_every_declared_language_has_a_model(spark):
+    # 90 languages with letters of their own: the rarest ones, past the 64th, get their own label, too.
+    draw = random.Random(5)
+    rows = [
+        (f"{k}-{i}", in_script(0x4E00 + 100 * k, draw), chr(97 + k // 26) + chr(97 + k % 26), f"www.s{k % 7}.org")
+        for k in range(90) for i in range(4 if k < 64 else 2)
+    ]
+    found = language.document_languages(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string"))
+    assert found.where("accepted and language = declared").count() == len(rows)
+
+
+def test_op3_sparse_model_is_the_dense_one(spark, documents):
+    rows = language.with_clues(documents, *map(F.col, ("doc_id", "text", "lang", "source")))
+    model = language.fit_text_model(rows)
+    texts = [(r.lang, (r.text or "").encode()) for r in documents.collect()]
+    dense = np.zeros((len(model.languages), 256, 256))
+    for lang, text in texts:
+        np.add.at(dense.reshape(len(dense), -1)[model.languages.index(lang)], language._bigrams(text), 1)
+    single = dense.sum((0, 1)) + 0.5
+    single /= single.sum()
+    logs = np.log((dense + 8 * single) / (dense.sum(2, keepdims=True) + 8)).reshape(len(dense), -1)
+    for _, text in texts[:20]:
+        sums, alone, n = model.likelihoods(text)
+        pairs = language._bigrams(text)
+        assert n == len(pairs) and np.allclose(sums, logs[:, pairs].sum(1), rtol=1e-5)
+        assert np.isclose(alone, np.log(single)[pairs & 255].sum())
+
+
 def test_op4_contract(docs):
     found = mixing.mix(docs).toPandas()
     sizes = collections.Counter((i, len(WORD.findall(t or ""))) for i, t in pairs(docs))

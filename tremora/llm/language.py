@@ -35,12 +35,11 @@ from pyspark.sql import functions as F
 from tremora.llm.common import settled
 
 SAMPLE = 20_000  # rows that the text models are fitted on, about
-LANGUAGES = 64  # declared languages with a model, at most: the most frequent ones
 TEMPER = 0.3
 SMOOTHING = 20.0  # rows that a domain's or the general prior counts as
 LEAST = 0.5
 NONE = "und"
-PIECE = 1 << 20
+PIECE = 1 << 20  # bigrams that are gathered at a time
 
 # Bytes other than letters become spaces; bytes beyond ASCII are parts of letters.
 _LETTERS = bytes(b if chr(b).isalpha() and b < 128 or b >= 128 else 32 for b in range(256))
@@ -94,10 +93,39 @@ def rows_per_language(counts: list[int], bound: int) -> int:
 
 @dataclass
 class TextModel:
-    """Log probabilities of bigrams: one column per language, and the last one of byte frequencies."""
+    """Log likelihoods of byte bigrams, stored by the bigrams that a language has in its sample.
+
+    Of the others, a language needs one number per first byte, so a model of thousands
+    of languages is as large as the sample, not 65,536 numbers for each.
+    """
 
     languages: list[str]
-    table: np.ndarray
+    first: np.ndarray  # per first byte and language: log of what its conditional frequencies are divided by
+    smooth: np.ndarray  # per bigram: log of the smoothing that every language has
+    general: np.ndarray  # per bigram: log of the second byte's frequency
+    ends: np.ndarray  # where the entries of each bigram end
+    entries: np.ndarray  # languages that have the bigram
+    gains: np.ndarray  # their log frequencies over the smoothing alone
+
+    def likelihoods(self, text: bytes) -> tuple[np.ndarray, float, int]:
+        """Per language; of byte frequencies; and the number of bigrams."""
+        pairs = _bigrams(text)
+        times = np.bincount(pairs, minlength=1 << 16)
+        bins = np.flatnonzero(times)
+        times = times[bins].astype(np.float64)
+        n = len(self.languages)
+        sums = times @ self.smooth[bins] - np.bincount(bins >> 8, times, 256) @ self.first
+        stop = self.ends[bins]
+        sizes = stop - np.where(bins > 0, self.ends[bins - 1], 0)
+        total = np.cumsum(sizes)
+        at = 0
+        while at < len(bins):  # a bigram has one entry per language at most
+            to = max(at + 1, int(np.searchsorted(total, total[at] - sizes[at] + PIECE, "right")))
+            size = sizes[at:to]
+            places = np.repeat(stop[at:to] - np.cumsum(size), size) + np.arange(size.sum())
+            sums += np.bincount(self.entries[places], self.gains[places] * np.repeat(times[at:to], size), n)
+            at = to
+        return sums, float(times @ self.general[bins]), len(pairs)
 
 
 def fit_text_model(rows: DataFrame) -> TextModel:
@@ -108,160 +136,175 @@ def fit_text_model(rows: DataFrame) -> TextModel:
         declared.groupBy("__declared").agg(F.count(F.lit(1)).alias("__n"), F.min("__draw").alias("__lowest")),
         "languages",
     )
-    top = sizes.orderBy(F.desc("__n"), "__declared").limit(LANGUAGES).collect()
-    rows_of = {r["__declared"]: r["__n"] for r in top}
+    rows_of = {r["__declared"]: r["__n"] for r in sizes.select("__declared", "__n").collect()}
     languages = sorted(rows_of)
     each = rows_per_language(list(rows_of.values()), SAMPLE)
     # The row drawn first is always in, so that no language is left without one.
     share = F.greatest(F.floor(F.lit(each * float(1 << 30)) / F.col("__n")), F.col("__lowest"))
     chosen = (F.col("__n") <= each) | (F.col("__draw") <= share)
-    sample = declared.where(F.col("__declared").isin(languages)).join(sizes, "__declared").where(chosen)
+    sample = declared.join(sizes, "__declared").where(chosen)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for language, text in zip(batch["__declared"], batch["__text"]):
-                one = sums.setdefault(language, np.zeros(1 << 16, np.int64))
-                one += np.bincount(_bigrams(text), minlength=1 << 16)
-        for language, one in sums.items():
-            bins = np.flatnonzero(one)
-            yield pd.DataFrame({"language": language, "bin": bins, "n": one[bins]})
+            for language, texts in batch.groupby("__declared")["__text"]:
+                one = np.zeros(1 << 16, np.int64)
+                for text in texts:
+                    one += np.bincount(_bigrams(text), minlength=1 << 16)
+                bins = np.flatnonzero(one)
+                yield pd.DataFrame({"language": language, "bin": bins, "n": one[bins]})
 
     counted = (
         sample.select("__declared", F.col("__text").cast("binary").alias("__text"))
         .mapInPandas(count, "language string, bin int, n long")
         .groupBy("language", "bin")
         .agg(F.sum("n").alias("n"))
-        .toPandas()  # LANGUAGES * 65536 rows at most
+        .toPandas()  # the distinct bigrams of SAMPLE rows at most
     )
-    counts = np.zeros((1 << 16, len(languages)))
+    n = len(languages)
     place = {language: i for i, language in enumerate(languages)}
-    counts[counted["bin"].to_numpy(int), counted["language"].map(place).to_numpy(int)] = counted["n"]
-    squares = counts.reshape(256, 256, len(languages))
+    which = counted["language"].map(place).to_numpy(np.int64)
+    bins = counted["bin"].to_numpy(np.int64)
+    times = counted["n"].to_numpy(np.float64)
+    order = np.lexsort((which, bins))
+    which, bins, times = which[order], bins[order], times[order]
     # Languages count for the byte frequencies as much as they have rows, however many were drawn.
-    weight = np.array([max(1.0, n / each) for n in (rows_of[language] for language in languages)])
-    single = squares.sum(0) @ weight + 0.5
+    weight = np.array([max(1.0, rows_of[language] / each) for language in languages] or [0.0])
+    single = np.bincount(bins & 255, times * weight[which], 256) + 0.5
     single /= single.sum()
     # Conditional on the first byte, smoothed by the second byte's frequency.
-    given = (squares + 8 * single[None, :, None]) / (squares.sum(1, keepdims=True) + 8)
-    general = np.broadcast_to(single[None, :, None], (256, 256, 1))
-    table = np.log(np.concatenate([given, general], axis=2)).reshape(1 << 16, -1)
-    return TextModel(languages, table.astype(np.float32))
+    firsts = np.bincount((bins >> 8) * n + which, times, 256 * n).reshape(256, n)
+    return TextModel(
+        languages,
+        np.log(firsts + 8),
+        np.tile(np.log(8 * single), 256),
+        np.tile(np.log(single), 256),
+        np.cumsum(np.bincount(bins, minlength=1 << 16)),
+        which.astype(np.int32),
+        np.log1p(times / (8 * single[bins & 255])).astype(np.float32),
+    )
+
 
+def with_best(rows: DataFrame, model: TextModel) -> DataFrame:
+    """Adds ``__best``, the place of the language that the text alone suggests, null without bigrams."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
-def with_likelihoods(rows: DataFrame, model: TextModel) -> DataFrame:
-    """Adds ``__likelihoods``: log likelihoods per language and of byte frequencies, and the number
-    of bigrams; the text is read whole."""
-    table = rows.sparkSession.sparkContext.broadcast(model.table)
+    @F.pandas_udf("int")
+    def best(texts: pd.Series) -> pd.Series:
+        def one(text: bytes) -> int | None:
+            sums, _, n = shared.value.likelihoods(text)
+            return int(sums.argmax()) if n else None
 
-    @F.pandas_udf("array<double>")
-    def score(texts: pd.Series) -> pd.Series:
-        logs = table.value
+        return texts.map(one).astype("Int32")
 
-        def one(text: bytes) -> np.ndarray:
-            pairs = _bigrams(text)
-            sums = np.zeros(logs.shape[1])
-            for at in range(0, len(pairs), PIECE):
-                sums += logs[pairs[at : at + PIECE]].sum(0, dtype=np.float64)
-            return np.append(sums, len(pairs))
+    return rows.withColumn("__best", best(F.col("__text").cast("binary")))
 
-        return texts.map(one)
 
-    return rows.withColumn("__likelihoods", score(F.col("__text").cast("binary")))
+def _seen(counts: DataFrame, key: str) -> DataFrame:
+    """key -> its languages and how many rows it has of each; languages it has none of are left out."""
+    each = counts.where(F.col(key).isNotNull()).groupBy(key, "__best").agg(F.sum("n").cast("double").alias("n"))
+    pairs = F.array_sort(F.collect_list(F.struct("__best", "n")))  # one per language at most
+    return each.groupBy(key).agg(pairs.alias("__pairs"), F.sum("n").alias("__total"))
 
 
-def _log_table(counts: DataFrame, key: str, n: int, prior: list[Column], within_key: bool) -> DataFrame:
-    """key -> log probabilities, one per language, from rows (key, __best, n).
+def _host_table(counts: DataFrame) -> DataFrame:
+    """Host -> the languages of its domain and, for each, by how many times the general prior's share it is seen.
 
-    ``within_key``: of the languages given the key; else of the key given each language.
+    The host's prior, smoothed by its domain's, is proportional to the general one plus these numbers.
     """
-    wide = counts.where(F.col(key).isNotNull()).groupBy(key).agg(
-        *[F.sum(F.when(F.col("__best") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(n)]
+    domains = settled(
+        _seen(counts, "__domain").select("__domain", F.col("__pairs").alias("__wide"), F.col("__total").alias("__all")),
+        "domains",
+    )
+    own = counts.groupBy("__host").agg(F.min("__domain").alias("__domain"))  # a host has one domain
+    hosts = _seen(counts, "__host").join(own, "__host").join(domains, "__domain")
+    n_own = F.map_from_entries("__pairs")
+
+    def times(pair: Column) -> Column:
+        in_host = F.coalesce(F.element_at(n_own, pair["__best"]), F.lit(0.0))
+        return (in_host * (F.col("__all") + SMOOTHING) + SMOOTHING * pair["n"]) / SMOOTHING**2
+
+    return hosts.select(
+        "__host",
+        F.transform("__wide", lambda pair: pair["__best"]).alias("__host_which"),
+        F.transform("__wide", times).alias("__host_times"),
     )
-    total = sum((F.col(f"n{i}") for i in range(n)), F.lit(0))
-    if within_key:
-        logs = [F.log((F.col(f"n{i}") + SMOOTHING * prior[i]) / (total + SMOOTHING)) for i in range(n)]
-    else:
-        logs = [F.log((F.col(f"n{i}") + 0.5) / prior[i]) for i in range(n)]
-    return wide.select(key, F.array(*logs).alias(f"{key}_logs"))
 
 
-def fused(scored: DataFrame, clues: DataFrame, model: TextModel) -> DataFrame:
+def fused(rows: DataFrame, clues: DataFrame, model: TextModel) -> DataFrame:
     """Adds ``language``, ``probability`` and ``accepted``.
 
-    ``scored``: rows with clues and likelihoods that the result is about;
-    ``clues``: the same rows, or their clue columns, for the aggregations.
+    ``rows``: rows with clues that the result is about;
+    ``clues``: the clue columns and ``__best`` of the same rows, for the aggregations.
     """
     n = len(model.languages)
     if not n:
-        return scored.withColumns(
+        return rows.withColumns(
             {"language": F.lit(NONE), "probability": F.lit(0.0), "accepted": F.lit(False)}
         )
-    texts = F.slice("__likelihoods", 1, n)
-    best = F.array_position(texts, F.array_max(texts)) - 1
     keys = ["__host", "__domain", "__suffix", "__declared"]
     counts = settled(
-        clues.where(F.element_at("__likelihoods", n + 2) > 0)
-        .withColumn("__best", best)
-        .groupBy(*keys, "__best")
-        .agg(F.count(F.lit(1)).alias("n")),
-        "clues",
-    )
-    per_language = {r["__best"]: r["n"] for r in counts.groupBy("__best").agg(F.sum("n").alias("n")).collect()}
-    sizes = [per_language.get(i, 0) for i in range(n)]
-    general = [F.lit((s + 1.0) / (sum(sizes) + n)) for s in sizes]
-    of_each = [F.lit(s + 1.0) for s in sizes]
-    domains = settled(_log_table(counts, "__domain", n, general, True), "domains")
-    hosts = counts.join(domains, "__domain")
-    by_domain = [F.exp(F.element_at(F.first("__domain_logs"), i + 1)) for i in range(n)]
-    in_host = [F.sum(F.when(F.col("__best") == i, F.col("n")).otherwise(0)) for i in range(n)]
-    all_in_host = F.sum("n")
-    priors = hosts.groupBy("__host").agg(
-        F.array(
-            *[F.log((in_host[i] + SMOOTHING * by_domain[i]) / (all_in_host + SMOOTHING)) for i in range(n)]
-        ).alias("__host_logs")
+        clues.where("__best is not null").groupBy(*keys, "__best").agg(F.count(F.lit(1)).alias("n")), "clues"
     )
+    sizes = np.ones(n)
+    for r in counts.groupBy("__best").agg(F.sum("n").alias("n")).collect():
+        sizes[r["__best"]] += r["n"]
     # Small unless there are many hosts; written, so that Spark knows their size.
-    tables = {
-        "__host": settled(priors, "hosts"),
-        "__suffix": settled(_log_table(counts, "__suffix", n, of_each, False), "suffixes"),
-        "__declared": settled(_log_table(counts, "__declared", n, of_each, False), "declared"),
-    }
-    rows = scored
+    tables = {"__host": settled(_host_table(counts), "hosts")}
+    for key, name in (("__suffix", "suffixes"), ("__declared", "declared")):
+        table = _seen(counts, key).select(
+            key,
+            F.transform("__pairs", lambda pair: pair["__best"]).alias(f"{key}_which"),
+            F.transform("__pairs", lambda pair: pair["n"]).alias(f"{key}_times"),
+        )
+        tables[key] = settled(table, name)
+    shared = rows.sparkSession.sparkContext.broadcast((model, sizes))
+
+    @F.pandas_udf("language string, probability double, fits boolean")
+    def judge(
+        texts: pd.Series,
+        host: pd.Series, host_times: pd.Series,
+        suffix: pd.Series, suffix_times: pd.Series,
+        declared: pd.Series, declared_times: pd.Series,
+    ) -> pd.DataFrame:
+        model, sizes = shared.value
+        general = sizes / sizes.sum()
+        found = []
+        for text, which, times, *others in zip(
+            texts, host, host_times, suffix, suffix_times, declared, declared_times
+        ):
+            sums, bytes_alone, pairs = model.likelihoods(text)
+            if not pairs:
+                found.append((NONE, 0.0, False))
+                continue
+            prior = general.copy()
+            if which is not None:
+                prior[which] += times
+            logs = TEMPER * sums + np.log(prior)
+            for seen, n_seen in (others[:2], others[2:]):
+                if seen is not None:  # (n + 1/2) of the language's rows, for each language
+                    logs -= np.log(sizes)
+                    logs[seen] += np.log1p(2 * n_seen)
+            winner = int(logs.argmax())
+            probability = 1 / np.exp(logs - logs[winner]).sum()
+            found.append((model.languages[winner], probability, bool(sums[winner] > bytes_alone)))
+        return pd.DataFrame(found, columns=["language", "probability", "fits"])
+
     for key, table in tables.items():
         rows = rows.join(table, key, "left")
-    zero = F.array(*[F.lit(0.0)] * n)
-    parts = [
-        F.transform(texts, lambda x: x * TEMPER),
-        F.coalesce("__host_logs", F.array(*[F.log(p) for p in general])),
-        F.coalesce("__suffix_logs", zero),
-        F.coalesce("__declared_logs", zero),
-    ]
-    logs = parts[0]
-    for part in parts[1:]:
-        logs = F.zip_with(logs, part, lambda x, y: x + y)
-    rows = rows.withColumn("__logs", logs)
-    most = F.array_max("__logs")
-    weights = F.transform("__logs", lambda x: F.exp(x - most))
-    probability = F.lit(1.0) / F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
-    winner = F.array_position("__logs", most)
-    some = F.element_at("__likelihoods", n + 2) > 0
-    fits = F.element_at(texts, winner.cast("int")) > F.element_at("__likelihoods", n + 1)
-    names = F.array(*[F.lit(x) for x in model.languages])
+    parts = [F.col(f"{key}_{part}") for key in tables for part in ("which", "times")]
+    rows = rows.withColumn("__found", judge(F.col("__text").cast("binary"), *parts))
     return (
-        rows.withColumn("language", F.when(some, F.element_at(names, winner.cast("int"))).otherwise(NONE))
-        .withColumn("probability", F.when(some, F.round(probability, 6)).otherwise(0.0))
-        .withColumn("accepted", some & fits & (F.col("probability") >= LEAST))
-        .drop("__logs", *[f"{key}_logs" for key in tables])
+        rows.withColumn("language", F.col("__found.language"))
+        .withColumn("probability", F.round("__found.probability", 6))
+        .withColumn("accepted", F.col("__found.fits") & (F.col("probability") >= LEAST))
+        .drop("__found", *[f"{key}_{part}" for key in tables for part in ("which", "times")])
     )
 
 
 def _identified(rows: DataFrame, kept: list[str]) -> DataFrame:
-    """Narrow result: the text is read twice, for the sample and for the likelihoods."""
+    """Narrow result: the text is read for the sample, for what it suggests, and for the judgement."""
     model = fit_text_model(rows)
-    clues = ["__host", "__domain", "__suffix", "__declared", "__likelihoods"]
-    scored = settled(with_likelihoods(rows, model).select(*kept, *clues), "likelihoods")
-    found = fused(scored, scored, model)
+    found = fused(rows, with_best(rows, model), model)
     return found.select(*kept, "language", "probability", "accepted", F.col("__declared").alias("declared"))
 
 
@@ -286,9 +329,8 @@ def accepted_documents(docs: DataFrame) -> DataFrame:
     """The documents whose language was identified, with all their columns."""
     rows = with_clues(docs, F.col("doc_id"), F.col("text"), F.col("lang"), F.col("source"))
     model = fit_text_model(rows)
-    scored = with_likelihoods(rows, model)
-    clues = scored.select("__host", "__domain", "__suffix", "__declared", "__likelihoods")
+    clues = with_best(rows, model).select("__host", "__domain", "__suffix", "__declared", "__best")
     # Named apart from columns of the documents that may be called the same.
-    outer = scored.withColumnsRenamed({c: f"__doc_{c}" for c in docs.columns})
+    outer = rows.withColumnsRenamed({c: f"__doc_{c}" for c in docs.columns})
     found = fused(outer, clues, model).where("accepted")
     return found.select(*[F.col(f"__doc_{c}").alias(c) for c in docs.columns])
