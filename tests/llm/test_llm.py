@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 import corpus_pipeline
 from tremora.llm import (
-    common, components, language, merge, mixing, packing, quality, quotes, repeats, secrets, sharding, simhash, vafile,
+    common, components, language, merge, mixing, packing, quality, queries, quotes, repeats, secrets, sharding, simhash, vafile,
 )
 from tremora.sources.shared import fresh_path
 
@@ -217,6 +217,15 @@ def test_op3_sparse_model_is_the_dense_one(spark, documents):
         assert np.isclose(alone, np.log(single)[pairs & 255].sum())
 
 
+def test_op3_query_covers_pages(spark, documents):
+    found = queries.op3_language_id(spark, SMALL)
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    for table, rows, key in (("documents", documents, "doc_id"), ("pages", pages, "page_id")):
+        mine = found.where(F.col("table") == table)
+        same(mine.select(key), [tuple(r) for r in rows.select(key).collect()])
+    assert found.where("`table` = 'pages' and declared is not null").count() > 0.9 * pages.count()
+
+
 def test_op4_contract(docs):
     found = mixing.mix(docs).toPandas()
     sizes = collections.Counter((i, len(WORD.findall(t or ""))) for i, t in pairs(docs))

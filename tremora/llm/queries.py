@@ -29,7 +29,12 @@ def op2_vector_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
-    return language.document_languages(_table(spark, folder, "documents"))
+    """Documents, and pages, which have markup and addresses; the ids of either in their own column."""
+    documents = language.document_languages(_table(spark, folder, "documents"))
+    pages = language.page_languages(_table(spark, folder, "pages"))
+    return documents.withColumn("table", F.lit("documents")).unionByName(
+        pages.withColumn("table", F.lit("pages")), allowMissingColumns=True
+    )
 
 
 def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
