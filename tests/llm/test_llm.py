@@ -26,43 +26,6 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 random.seed(7)
 
-AWKWARD = [
-    (1, None, None, None, None),
-    (2, "", "en", "src0", 0),
-    (3, " \t\n ", "en", "src0", 4),
-    (None, "a text without an id, of some words", "en", "src1", 1),
-    (4, "the same words twice " * 3, "en", None, 1),
-    (4, "the same words twice " * 3, "en", None, 1),
-    (4, "the same id with other words in it", "de", "src1", 1),
-    (5, "é" * 300 + " ß token = 'abcdef' AKIA" + "B" * 16 + " " + "0" * 24, "fr", "src1", 1),
-    (6, "word " * 20_000, "en", "src2", 1),
-    (7, "### *** 123 ... !!!", None, "src2", 1),
-    (8, "password:token:abcdefgh Api-Key secret=token=abcdef apikey : \"x.y_z-1\"", "en", "src2", 1),
-]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-
-
-@pytest.fixture(scope="module")
-def awkward(spark):
-    # A column that other tables or the operators themselves might use, too.
-    rows = spark.createDataFrame(AWKWARD, SCHEMA)
-    return rows.withColumn("size", F.lit("extra")).withColumn("fp", F.lit(0.5)).withColumn("row", F.lit(None).cast("int"))
-
-
-@pytest.fixture(scope="module")
-def documents(spark):
-    return spark.read.parquet(f"{SMALL}/documents.parquet")
-
-
-@pytest.fixture(scope="module")
-def empty(spark):
-    return spark.createDataFrame([], SCHEMA)
-
-
-@pytest.fixture(params=["documents", "awkward", "empty"])
-def docs(request):
-    return request.getfixturevalue(request.param)
-
 
 def pairs(docs):
     return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
@@ -159,7 +122,7 @@ def test_op3_awkward(awkward, empty, spark):
     found = {(r.doc_id, r.language, r.accepted) for r in language.document_languages(awkward).collect()}
     for i in (1, 2, 3, 7):
         assert (i, "und", False) in found
-    assert language.document_languages(awkward).count() == len(AWKWARD)
+    assert language.document_languages(awkward).count() == awkward.count()
     assert language.document_languages(empty).count() == 0
     kept = language.accepted_documents(awkward)
     assert kept.columns == awkward.columns and kept.count() == sum(a for *_, a in found) + ((4, "en", True) in found)

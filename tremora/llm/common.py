@@ -7,6 +7,11 @@ neither disturb them nor get lost where rows are passed on.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +86,14 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
         .withColumn(name, place)
         .drop("__part", "__at", "__first")
     )
+
+
+def byte_slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose strings or binaries take at most that many bytes, or one row."""
+    stops = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = stops[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(stops, before + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop

@@ -8,12 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremora.llm import language, mixing, packing, quality, quotes, repeats, secrets, sharding, simhash, vafile
+from tremora.llm import (
+    alignment,
+    language,
+    mixing,
+    packing,
+    quality,
+    quotes,
+    repeats,
+    secrets,
+    sentencepieces,
+    sharding,
+    simhash,
+    spelling,
+    vafile,
+)
+from tremora.llm.common import settled
 from tremora.sources.shared import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_LEVEL = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,6 +86,21 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.withColumn("score", F.col("score").cast("long"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES)
+    found = settled(alignment.digest(alignment.aligned(_table(spark, folder, "documents"), a, b)), "aligned")
+    return alignment.counted(found, alignment.width(b))
+
+
+def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return sentencepieces.digest(sentencepieces.encoded(docs, public_tokenizers.path(PIECES)))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
 registered: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -82,5 +114,8 @@ registered: dict[str, Query] = {
         op8_simhash_dedup,
         op9_best_fit_packing,
         op10_quality_rules,
+        op11_tokenizer_alignment,
+        op12_sentencepiece,
+        op13_spelling_variants,
     )
 }
