@@ -107,16 +107,15 @@ def test_op11_contract(any_docs, models):
     same(aligned(any_docs), list(aligned_by_hand(rows_of(any_docs), models)))
 
 
-def test_op11_blocks_and_long_groups(documents, strange, models, monkeypatch):
-    # Limits this small reach the workers with the module's functions only where they are called.
-    table = alignment.Stretches(BYTES, PIECES)
-    for text in [*STRANGE, *RANDOM[:300]]:
-        a, b, cuts = next(table.align([text]))
-        groups = groups_of(text, models)
-        want = collections.Counter(x * 32000 + y for left, right in groups for x in left for y in right)
-        for limit in (1, 7, 1 << 20):
-            monkeypatch.setattr(alignment, "LINKS", limit)
-            pairs, times = alignment.linked_pairs(a, b, cuts, 32000)
+def test_op11_long_groups_and_many_blocks(strange, models, monkeypatch):
+    for limit in (0, 7, 1 << 12):
+        monkeypatch.setattr(alignment, "LINKS", limit)
+        table = alignment.Stretches(BYTES, PIECES)
+        texts = [*STRANGE, *RANDOM[:300]]
+        for text, places in zip(texts, table.align(texts)):
+            groups = groups_of(text, models)
+            want = collections.Counter(x * 32000 + y for left, right in groups for x in left for y in right)
+            _, _, pairs, times = table.document(places)
             assert dict(zip(pairs.tolist(), times.tolist())) == want
     rows = strange.sparkSession.createDataFrame(rows_of(strange) * 3, "doc_id long, text string").repartition(7)
     same(aligned(rows), list(aligned_by_hand(rows_of(rows), models)))
@@ -135,15 +134,17 @@ def test_op11_stretches_make_up_the_text():
         assert "".join(alignment.STRETCH.findall(" " + text)) == " " + text
 
 
-def test_op11_tables_that_start_anew(models, monkeypatch):
-    monkeypatch.setattr(alignment, "KNOWN", 50)
+@pytest.mark.parametrize("change", [("KNOWN", 50), ("CHARACTERS", 300), ("PART", 7)])
+def test_op11_tables_that_start_anew(models, monkeypatch, change):
+    monkeypatch.setattr(alignment, *change)
     table = alignment.Stretches(BYTES, PIECES)
     for at in range(0, 600, 20):
         texts = RANDOM[at : at + 20]
-        for text, (a, b, cuts) in zip(texts, table.align(texts)):
+        for text, places in zip(texts, table.align(texts)):
             groups = groups_of(text, models)
-            assert (a.tolist(), b.tolist()) == tuple(sum((g[k] for g in groups), []) for k in (0, 1))
-            assert len(cuts) == len(groups)
+            counts, shown, _, _ = table.document(places)
+            assert counts[:3] == [sum(len(g[0]) for g in groups), sum(len(g[1]) for g in groups), len(groups)]
+            assert shown == ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
 
 
 # SentencePiece
@@ -164,7 +165,7 @@ def test_op12_real_outputs(strange):
         assert (row.ids, row.decoded) == (model.encode(text), model.decode(model.encode(text)))
 
 
-@pytest.mark.parametrize("change", [("KNOWN", 30), ("LONGEST_KNOWN", 3)])
+@pytest.mark.parametrize("change", [("KNOWN", 30), ("CHARACTERS", 300)])
 def test_op12_tables_that_start_anew(change, monkeypatch):
     monkeypatch.setattr(sentencepieces, *change)
     table = sentencepieces.ChunkTable(PIECES)

@@ -1,6 +1,6 @@
 """Alignment of two tokenizers by the byte offsets at which tokens of both end.
 
-Per document, both tokenizers' end offsets are two sorted lists.  The shorter one
+Both tokenizers' end offsets in a text are two sorted lists.  The shorter one
 drives a galloping search into the longer: steps that double until they pass the
 offset, then a binary search in the last step.  Offsets in both lists cut the
 tokens into groups; the difference of the ranks of two neighbouring cuts says
@@ -13,9 +13,11 @@ their number of documents, once, and each document its own as places in that
 list.  So what is counted over the corpus, and joined back, is a row for each
 block and pair, and not one for each link.
 
-Tokens of a stretch of text that both tokenizers always cut off (a word with the
-space before it) don't depend on what stands around it.  A task keeps the tokens of
-such stretches in a table, at most ``KNOWN``, which starts anew when it is full.
+Where a stretch of text (a word with the space before it) is always cut off by both
+tokenizers, its ends are common ends of any document, and its tokens and groups don't
+depend on what stands around it.  So a task aligns each distinct stretch once and a
+document is the list of its stretches; a table of them that has ``KNOWN``, or
+``CHARACTERS`` in all, starts anew with the next block.
 
 Defined results: a document whose text is null or empty, or whose tokens don't
 spell the text behind a space (a text with U+2581, which the second tokenizer turns
@@ -43,10 +45,11 @@ from tremora.llm.sentencepieces import MARK, Numbers
 # A word with one space before it, and white space that isn't a single space or line end
 # with what follows it; a single line end between words stands alone.
 STRETCH = re.compile(r"(?:\A\s+\S*| ?\S+)(?:(?:\s{2,}|[^\S \n]|\s\Z)\S*)*|\n")
-KNOWN = 300_000  # stretches of a table
-LONGEST_KNOWN = 200  # code points; a table with a longer stretch serves one block
+KNOWN = 250_000  # stretches of a table
+CHARACTERS = 8_000_000  # of the stretches of a table
+PART = 1 << 14  # stretches that are aligned at a time
 BLOCK = 1 << 22  # bytes of text of a block
-LINKS = 1 << 20  # links that are spread out at a time
+LINKS = 1 << 12  # links of a group that are spread out one by one
 LISTED = 1 << 13  # pairs in one row of a block's list
 
 
@@ -103,36 +106,98 @@ def width(b_path: str) -> int:
     return SentencePieceProcessor(model_file=b_path).get_piece_size()
 
 
-class Side:
-    """One tokenizer's ids, and their lengths in bytes, of all stretches of a table."""
-
-    def __init__(self, bytes_of: list[bytes]):
-        self.bytes_of = bytes_of
-        self.length_of = np.array(list(map(len, bytes_of)), np.int64)
-        self.decimal = list(map(str, range(len(bytes_of))))
-        self.clear()
+class Rows:
+    """Rows of numbers of different lengths, one behind the other."""
 
-    def clear(self) -> None:
+    def __init__(self):
         self.flat = np.empty(0, np.int64)
         self.stops = np.zeros(1, np.int64)
 
-    def add(self, ids: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        more = np.fromiter((i for x in ids for i in x), np.int64, int(lengths.sum()))
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, flat])
         self.stops = np.concatenate([self.stops, self.stops[-1] + np.cumsum(lengths)])
-        self.flat = np.concatenate([self.flat, more])
 
-    def spells(self, ids: list[int], text: bytes) -> bool:
-        return b"".join(map(self.bytes_of.__getitem__, ids)) == text
+    def lengths(self, rows: np.ndarray) -> np.ndarray:
+        return self.stops[rows + 1] - self.stops[rows]
 
-    def ids(self, places: np.ndarray) -> np.ndarray:
-        starts, lengths = self.stops[places], self.stops[places + 1] - self.stops[places]
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        lengths = self.lengths(rows)
         before = np.cumsum(lengths) - lengths
-        return self.flat[np.repeat(starts - before, lengths) + np.arange(lengths.sum())]
+        return self.flat[np.repeat(self.stops[rows] - before, lengths) + np.arange(lengths.sum())]
+
+
+class Side:
+    """One tokenizer's ids of a list of stretches, one behind the other."""
+
+    def __init__(self, ids: list[list[int]], bytes_of: list[bytes], length_of: np.ndarray):
+        self.lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.fromiter((i for x in ids for i in x), np.int64, int(self.lengths.sum()))
+        self.bytes_of = bytes_of
+        # Bytes before each token, and before each stretch.
+        self.before = np.concatenate([np.zeros(1, np.int64), np.cumsum(length_of[self.flat])])
+
+    def ends(self) -> list[list[int]]:
+        """Per stretch, the bytes up to the end of each of its tokens."""
+        ends = (self.before[1:] - np.repeat(self.before[self.starts], self.lengths)).tolist()
+        return [ends[s : s + n] for s, n in zip(self.starts.tolist(), self.lengths.tolist())]
+
+    def spells(self, stretches: list[bytes]) -> np.ndarray:
+        """For each stretch, whether its tokens' bytes are the stretch."""
+        wanted = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        right = self.before[self.starts + self.lengths] - self.before[self.starts] == wanted
+        whole = b"".join(map(self.bytes_of.__getitem__, self.flat.tolist()))
+        if right.all() and whole == b"".join(stretches):
+            return right
+        at = zip(self.before[self.starts].tolist(), self.before[self.starts + self.lengths].tolist())
+        return np.fromiter((whole[low:high] == s for (low, high), s in zip(at, stretches)), bool, len(stretches))
+
+
+def groups_text(a: list[str], b: list[str], cuts: list[tuple[int, int]]) -> str:
+    """Groups as `a1,a2|b1;a3|b2,b3`, of ids in decimal: the ranks from one cut to the next."""
+    parts, i0, j0 = [], 0, 0
+    for i, j in cuts:
+        if i == i0 and j == j0:
+            parts.append(f"{a[i]}|{b[j]}")
+        else:
+            parts.append(f"{','.join(a[i0 : i + 1])}|{','.join(b[j0 : j + 1])}")
+        i0, j0 = i + 1, j + 1
+    return ";".join(parts)
+
+
+def _summed(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    codes, at = np.unique(codes, return_inverse=True)
+    return codes, np.bincount(at, times, len(codes)).astype(np.int64)
+
+
+def linked_pairs(
+    a: np.ndarray, b: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All links of groups: (group, a * width + b, how often), in the order of the groups.
+
+    ``starts`` and ``sizes`` have a row per group, where its ids begin in a and in b and how many there are.
+    """
+    links = sizes.prod(1)
+    found = []
+    for g in np.flatnonzero(links > LINKS).tolist():  # ids that repeat within one long group are put together first
+        (x, nx), (y, ny) = (
+            np.unique(ids[s : s + n], return_counts=True) for ids, s, n in zip((a, b), starts[g], sizes[g])
+        )
+        for one, n in zip(x, nx):
+            found.append((np.full(len(y), g), one * width + y, n * ny))
+    few = np.flatnonzero(links <= LINKS)
+    n = links[few]
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    wide = np.repeat(sizes[few, 1], n)
+    codes = a[np.repeat(starts[few, 0], n) + inside // wide] * width + b[np.repeat(starts[few, 1], n) + inside % wide]
+    found.append((np.repeat(few, n), codes, np.ones(len(codes), np.int64)))
+    group, codes, times = map(np.concatenate, zip(*found))
+    order = np.argsort(group, kind="stable")
+    return group[order], codes[order], times[order]
 
 
 class Stretches:
-    """The tokens of both tokenizers of every distinct stretch."""
+    """The alignment of every distinct stretch: its tokens, groups and links."""
 
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
@@ -141,17 +206,20 @@ class Stretches:
         self.a_model = Tokenizer.from_file(a_path)
         self.a_model.encode_special_tokens = True  # their strings are ordinary text
         self.b_model = SentencePieceProcessor(model_file=b_path)
-        self.a = Side(byte_level_bytes(self.a_model))
-        self.b = Side(piece_bytes(self.b_model))
+        self.bytes_of = byte_level_bytes(self.a_model), piece_bytes(self.b_model)
+        self.length_of = [np.array(list(map(len, of)), np.int64) for of in self.bytes_of]
+        self.width = len(self.bytes_of[1])
+        self.decimal = list(map(str, range(max(map(len, self.bytes_of)))))
         self.line_end = len(self.b_model.encode("\n"))
         self.clear()
 
     def clear(self) -> None:
         self.numbers = Numbers()
+        self.characters = 0
         self.right = np.empty(0, bool)
-        self.has_long = False
-        self.a.clear()
-        self.b.clear()
+        self.counts = np.empty((0, 3), np.int64)  # tokens of A and B, groups
+        self.groups: list[str] = []
+        self.pairs, self.times = Rows(), Rows()
 
     def _b_ids(self, stretches: list[str]) -> list[list[int]]:
         """The model puts a marker in front of what it encodes: in place of the stretch's
@@ -167,75 +235,52 @@ class Stretches:
         ]
 
     def learn(self) -> None:
+        """Align the stretches that have got a number since the last time, in parts."""
         fresh = list(islice(self.numbers, len(self.right), None))
-        self.has_long |= any(len(s) > LONGEST_KNOWN for s in fresh)
-        a = [x.ids for x in self.a_model.encode_batch(fresh, add_special_tokens=False)]
-        b = self._b_ids(fresh)
-        spelt = [s.encode() for s in fresh]
-        right = [self.a.spells(x, s) and self.b.spells(y, s) for x, y, s in zip(a, b, spelt)]
-        self.right = np.concatenate([self.right, np.array(right, bool)])
-        self.a.add(a)
-        self.b.add(b)
-
-    def align(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per text the ids of A and of B, and the ranks (rows) at which both have an end."""
-        if len(self.numbers) > KNOWN or self.has_long:
+        self.characters += sum(map(len, fresh))
+        for at in range(0, len(fresh), PART):
+            self._align(fresh[at : at + PART])
+
+    def _align(self, stretches: list[str]) -> None:
+        encoded = [x.ids for x in self.a_model.encode_batch(stretches, add_special_tokens=False)]
+        encoded = encoded, self._b_ids(stretches)
+        a, b = (Side(*of) for of in zip(encoded, self.bytes_of, self.length_of))
+        spelt = [s.encode() for s in stretches]
+        right = a.spells(spelt) & b.spells(spelt)
+
+        cuts = [common_ends(*ends) if good else [] for *ends, good in zip(a.ends(), b.ends(), right.tolist())]
+        decimals = [[list(map(self.decimal.__getitem__, ids)) for ids in side] for side in encoded]
+        self.groups += [groups_text(*ids, cut) for *ids, cut in zip(*decimals, cuts)]
+
+        # Ranks of the last tokens of each group; those of its first follow the cut before.
+        n_groups = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        stretch = np.repeat(np.arange(len(cuts)), n_groups)
+        last = np.array([cut for found in cuts for cut in found], np.int64).reshape(-1, 2)
+        first = np.concatenate([np.zeros((1, 2), np.int64), last + 1])[:-1]
+        first[(np.cumsum(n_groups) - n_groups)[n_groups > 0]] = 0
+        offset = np.stack([a.starts, b.starts], 1)[stretch]
+        group, codes, times = linked_pairs(a.flat, b.flat, first + offset, last + 1 - first, self.width)
+        lengths = np.bincount(stretch[group], minlength=len(stretches))
+        self.pairs.add(codes, lengths)
+        self.times.add(times, lengths)
+        self.right = np.concatenate([self.right, right])
+        self.counts = np.concatenate([self.counts, np.stack([a.lengths, b.lengths, n_groups], 1)])
+
+    def align(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Per text, the numbers of its stretches; none if it has no tokens."""
+        if len(self.numbers) > KNOWN or self.characters > CHARACTERS:
             self.clear()
-        cut = [
-            np.array(list(map(self.numbers.__getitem__, STRETCH.findall(" " + text) if text else [])), np.int64)
-            for text in texts
-        ]
+        cut = [list(map(self.numbers.__getitem__, STRETCH.findall(" " + text))) if text else [] for text in texts]
         self.learn()
         for places in cut:
-            if not self.right[places].all():
-                places = places[:0]
-            a, b = self.a.ids(places), self.b.ids(places)
-            ends = [np.cumsum(side.length_of[ids]).tolist() for side, ids in ((self.a, a), (self.b, b))]
-            yield a, b, np.array(common_ends(*ends), np.int64).reshape(-1, 2)
-
+            found = np.array(places, np.int64)
+            yield found if self.right[found].all() else found[:0]
 
-def groups_text(a: list[str], b: list[str], cuts: list[list[int]]) -> str:
-    """Groups as `a1,a2|b1;a3|b2,b3`, of ids in decimal."""
-    parts, i0, j0 = [], 0, 0
-    for i, j in cuts:
-        if i == i0 and j == j0:
-            parts.append(f"{a[i]}|{b[j]}")
-        else:
-            parts.append(f"{','.join(a[i0 : i + 1])}|{','.join(b[j0 : j + 1])}")
-        i0, j0 = i + 1, j + 1
-    return ";".join(parts)
-
-
-def _summed(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    codes, at = np.unique(codes, return_inverse=True)
-    return codes, np.bincount(at, times, len(codes)).astype(np.int64)
-
-
-def linked_pairs(a: np.ndarray, b: np.ndarray, cuts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different pairs of one document as a * width + b, sorted, and how often each is linked."""
-    starts = np.concatenate([np.zeros((1, 2), np.int64), cuts + 1])[:-1]
-    n_a, n_b = (cuts + 1 - starts).T
-    links = n_a * n_b
-    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    for g in np.flatnonzero(links > LINKS):  # ids that repeat within one long group are put together first
-        (x, nx), (y, ny) = (
-            np.unique(ids[s : s + n], return_counts=True)
-            for ids, s, n in ((a, starts[g, 0], n_a[g]), (b, starts[g, 1], n_b[g]))
-        )
-        found += [(one * width + y, n * ny) for one, n in zip(x, nx)]
-    few = np.flatnonzero(links <= LINKS)
-    total = np.cumsum(links[few])
-    at = 0
-    while at < len(few):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + LINKS, side="right")))
-        g = few[at:stop]
-        n = links[g]
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        wide = np.repeat(n_b[g], n)
-        codes = a[np.repeat(starts[g, 0], n) + inside // wide] * width + b[np.repeat(starts[g, 1], n) + inside % wide]
-        found.append(_summed(codes, np.ones(len(codes))))
-        at = stop
-    return _summed(np.concatenate([c for c, _ in found]), np.concatenate([n for _, n in found]))
+    def document(self, places: np.ndarray) -> tuple[list[int], str, np.ndarray, np.ndarray]:
+        """n_a, n_b, n_groups, n_links; the groups; the different pairs and how often each is linked."""
+        codes, times = _summed(self.pairs.of(places), self.times.of(places))
+        groups = ";".join(map(self.groups.__getitem__, places.tolist()))
+        return [*self.counts[places].sum(0).tolist(), int(times.sum())], groups, codes, times
 
 
 DOCUMENT = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string"
@@ -255,22 +300,15 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     )
 
     def rows_of_block(table: Stretches, block: int, rows: pa.RecordBatch) -> Iterator[dict]:
-        width = len(table.b.bytes_of)
-        documents, held = [], []
-        for a, b, cuts in table.align(rows.column("text").to_pylist()):
-            pairs, times = linked_pairs(a, b, cuts, width)
-            decimals = [list(map(side.decimal.__getitem__, ids.tolist())) for side, ids in ((table.a, a), (table.b, b))]
-            counts = (len(a), len(b), len(cuts), int(times.sum()))
-            documents.append((*counts, groups_text(*decimals, cuts.tolist()), times.astype("<u4").tobytes()))
-            held.append(pairs)
-        listed, n_docs = np.unique(np.concatenate(held), return_counts=True)
-        for doc_id, pairs, (n_a, n_b, n_groups, n_links, groups, times) in zip(
-            rows.column("doc_id").to_pylist(), held, documents
+        found = [table.document(places) for places in table.align(rows.column("text").to_pylist())]
+        listed, n_docs = np.unique(np.concatenate([pairs for _, _, pairs, _ in found]), return_counts=True)
+        for doc_id, ((n_a, n_b, n_groups, n_links), groups, pairs, times) in zip(
+            rows.column("doc_id").to_pylist(), found
         ):
             places = np.searchsorted(listed, pairs).astype("<u4").tobytes()
             yield {
-                "block": block, "doc_id": doc_id, "n_a": n_a, "n_b": n_b, "n_groups": n_groups,
-                "n_links": n_links, "groups": groups, "places": places, "times": times,
+                "block": block, "doc_id": doc_id, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links,
+                "groups": groups, "places": places, "times": times.astype("<u4").tobytes(),
             }
         for at in range(0, len(listed), LISTED):
             part = slice(at, at + LISTED)

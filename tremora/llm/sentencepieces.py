@@ -6,8 +6,8 @@ into chunks (a run of markers and what follows it, up to the next run or line
 end) whose segmentations don't depend on each other.  A task keeps one table of
 distinct chunks: each is segmented and decoded by the library once, and a text is
 the list of its chunks' numbers, in whose places the ids and the decoded strings
-are put back.  The table holds at most ``KNOWN`` chunks and starts anew when it
-is full; texts are taken in blocks of ``BLOCK`` bytes, whole texts always.
+are put back.  A table that has ``KNOWN`` chunks, or ``CHARACTERS`` in all, starts
+anew with the next block; texts are taken in blocks of ``BLOCK`` bytes, whole texts always.
 
 The table is one for each task, not for the corpus: it never leaves memory, so
 nothing is shuffled.  A model that doesn't allow for chunks (a piece with a marker
@@ -34,7 +34,7 @@ from tremora.llm.common import byte_slices
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 KNOWN = 400_000  # chunks of a table
-LONGEST_KNOWN = 200  # code points; a table with a longer chunk serves one block
+CHARACTERS = 12_000_000  # of the chunks of a table
 BLOCK = 1 << 22  # bytes of text at a time
 
 # Has what normalisers change: double and outer spaces, wide letters, ligatures, marks, other spaces.
@@ -70,7 +70,7 @@ class ChunkTable:
         self.numbers = Numbers()
         self.ids: list[list[int]] = []
         self.shown: list[str] = []  # behind another chunk
-        self.has_long = False
+        self.characters = 0
 
     def cut(self, text: str) -> list[str]:
         if not self.in_chunks:
@@ -92,7 +92,7 @@ class ChunkTable:
     def learn(self) -> None:
         """Segment and decode the chunks that have got a number since the last time."""
         fresh = list(islice(self.numbers, len(self.ids), None))
-        self.has_long |= any(len(chunk) > LONGEST_KNOWN for chunk in fresh)
+        self.characters += sum(map(len, fresh))
         ids = self.segment(fresh)
         self.ids += ids
         if self.in_chunks:
@@ -108,7 +108,7 @@ class ChunkTable:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
         """Ids and decoded text of each text."""
-        if len(self.numbers) > KNOWN or self.has_long:
+        if len(self.numbers) > KNOWN or self.characters > CHARACTERS:
             self.clear()
         cut = [list(map(self.numbers.__getitem__, self.cut(text))) for text in texts]
         self.learn()
