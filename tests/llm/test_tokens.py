@@ -25,7 +25,7 @@ STRANGE = [
     "1234 5,678.90", " " * 700 + "x", "=" * 900, "a" * 5000, "'s", " 's it 's",
 ]
 random.seed(11)
-LETTERS = [*"  \n\nabth eing.,'é\t\r 　ﬁ😀‍\x00\x1c<s>1", "the", "'s", "'ll", " '", "<s>", "<|endoftext|>", "中文", "   ", "\r\n", " \n"]
+LETTERS = [*"  \n\nabth eing.,.,()'é\t\r 　ﬁ😀‍\x00\x1c<s>1", "the", "'s", "'ll", " '", "<s>", "<|endoftext|>", "中文", "   ", "\r\n", " \n"]
 RANDOM = ["".join(random.choices([*LETTERS, *"▁" * (k % 9 == 0)], k=random.randrange(30))) for k in range(3000)]
 
 
@@ -131,7 +131,8 @@ def test_op11_common_ends():
 
 def test_op11_stretches_make_up_the_text():
     for text in STRANGE + RANDOM:
-        assert "".join(alignment.STRETCH.findall(" " + text)) == " " + text
+        for pattern in (alignment.STRETCH, alignment.SHORT_STRETCH):
+            assert "".join(pattern.findall(" " + text)) == " " + text
 
 
 @pytest.mark.parametrize("change", [("KNOWN", 50), ("CHARACTERS", 300), ("PART", 7)])
@@ -184,6 +185,10 @@ def test_op12_each_chunk_is_segmented_once(monkeypatch):
     for _ in range(3):
         list(table.encode(["the cat and the dog\nthe cat", "the dog"]))
     assert sorted(given) == sorted(["▁the", "▁cat", "▁and", "▁dog", "\n", "the"])
+    table.chunk = sentencepieces.CHUNK
+    assert table.cut("the cat, (so)") == ["▁the", "▁cat,", "▁(so)"]
+    table.chunk = sentencepieces.SHORT_CHUNK
+    assert table.cut("the cat, (so) 3.5") == ["▁the", "▁cat", ",", "▁(", "so", ")", "▁3.5"]
 
 
 def test_op12_whole_texts_where_chunks_are_not_allowed():

@@ -40,12 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremora.llm.common import byte_slices, settled
-from tremora.llm.sentencepieces import MARK, Numbers
+from tremora.llm.sentencepieces import JOINED, LETTERS, MARK, STOPS, Numbers
 
 # A word with one space before it, and white space that isn't a single space or line end
 # with what follows it; a single line end between words stands alone.
 STRETCH = re.compile(r"(?:\A\s+\S*| ?\S+)(?:(?:\s{2,}|[^\S \n]|\s\Z)\S*)*|\n")
-KNOWN = 250_000  # stretches of a table
+# Letters between cuts, and stops between cuts: the first tokenizer always cuts between the two.
+SHORT_STRETCH = re.compile(
+    rf" ?[{LETTERS}]+(?= \S|\n\S|[{STOPS}]|\Z)| ?[{STOPS}]+(?= \S|\n\S|[{LETTERS}]|\Z)|{STRETCH.pattern}"
+)
+KNOWN = 300_000  # stretches of a table
 CHARACTERS = 8_000_000  # of the stretches of a table
 PART = 1 << 14  # stretches that are aligned at a time
 BLOCK = 1 << 22  # bytes of text of a block
@@ -61,7 +65,8 @@ def common_ends(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     for i, end in enumerate(a):
         if j == n:
             break
-        if b[j] < end:
+        at = b[j]
+        if at < end:
             step, low = 1, j
             while low + step < n and b[low + step] < end:
                 low += step
@@ -69,7 +74,8 @@ def common_ends(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             j = bisect_left(b, end, low + 1, min(low + step, n))
             if j == n:
                 break
-        if b[j] == end:
+            at = b[j]
+        if at == end:
             found.append((i, j))
             j += 1
     return found
@@ -211,6 +217,8 @@ class Stretches:
         self.width = len(self.bytes_of[1])
         self.decimal = list(map(str, range(max(map(len, self.bytes_of)))))
         self.line_end = len(self.b_model.encode("\n"))
+        pieces = map(self.b_model.id_to_piece, range(self.width))
+        self.stretch = STRETCH if any(map(JOINED.search, pieces)) else SHORT_STRETCH
         self.clear()
 
     def clear(self) -> None:
@@ -270,7 +278,7 @@ class Stretches:
         """Per text, the numbers of its stretches; none if it has no tokens."""
         if len(self.numbers) > KNOWN or self.characters > CHARACTERS:
             self.clear()
-        cut = [list(map(self.numbers.__getitem__, STRETCH.findall(" " + text))) if text else [] for text in texts]
+        cut = [list(map(self.numbers.__getitem__, self.stretch.findall(" " + text))) if text else [] for text in texts]
         self.learn()
         for places in cut:
             found = np.array(places, np.int64)

@@ -3,7 +3,8 @@
 No piece of the model goes on over a white space marker: markers stand at the
 front of a piece or make up the whole of it.  So a text, its spaces marked, falls
 into chunks (a run of markers and what follows it, up to the next run or line
-end) whose segmentations don't depend on each other.  A task keeps one table of
+end, and up to a stop where no piece joins letters and stops) whose segmentations
+don't depend on each other.  A task keeps one table of
 distinct chunks: each is segmented and decoded by the library once, and a text is
 the list of its chunks' numbers, in whose places the ids and the decoded strings
 are put back.  A table that has ``KNOWN`` chunks, or ``CHARACTERS`` in all, starts
@@ -32,7 +33,14 @@ from pyspark.sql import functions as F
 from tremora.llm.common import byte_slices
 
 MARK = "▁"
+# Letters and stops that a model may or may not join in a piece.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+STOPS = r""".,;:!?()\[\]{}\""""
+JOINED = re.compile(f"[{LETTERS}][{STOPS}]|[{STOPS}][{LETTERS}]")
 CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+SHORT_CHUNK = re.compile(
+    f"{MARK}*[{LETTERS}]+(?![^{STOPS}{MARK}\n])|{MARK}*[{STOPS}]+(?![^{LETTERS}{MARK}\n])|{CHUNK.pattern}"
+)
 KNOWN = 400_000  # chunks of a table
 CHARACTERS = 12_000_000  # of the chunks of a table
 BLOCK = 1 << 22  # bytes of text at a time
@@ -63,6 +71,7 @@ class ChunkTable:
             and self.model.encode("") == []
             and self.model.decode(self.model.encode(UNTOUCHED)) == UNTOUCHED
         )
+        self.chunk = CHUNK if any(map(JOINED.search, pieces)) else SHORT_CHUNK
         self.line_end = self.model.encode("\n")  # a marker and the line end
         self.clear()
 
@@ -75,7 +84,7 @@ class ChunkTable:
     def cut(self, text: str) -> list[str]:
         if not self.in_chunks:
             return [text]
-        return CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
+        return self.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def segment(self, chunks: list[str]) -> list[list[int]]:
         """Ids of chunks; the library puts a marker in front of whatever it encodes."""
