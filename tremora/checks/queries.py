@@ -28,6 +28,7 @@ MIN_MAGNITUDE = 5.5
 MAP_MAGNITUDE = 4.0
 MAP_EVENTS = 100  # fewer than there are from MAP_MAGNITUDE on, so that the cut decides
 MAP_DAYS = (dt.date(2021, 3, 1), dt.date(2022, 8, 31))
+WINTER = (dt.date(2021, 12, 1), dt.date(2022, 2, 28))
 REGIONS = ["NATION_3", "NATION_8", "NATION_11", "NATION_20", "NATION_1 region", "NATION_16 region"]
 CELL_DEGREES = 5.0
 ZOOM = 3
@@ -491,8 +492,9 @@ def season_table(w: Workspace) -> DataFrame:
 
 @query
 def seasons_shown(w: Workspace) -> DataFrame:
-    """J9 on strong winters: the other seasons are filled in."""
-    seasonal = reports.seasonal_patterns(w.cube("time_magnitude").where("month < 3"))
+    """The seasons that a range of days doesn't reach are filled in."""
+    cube = cubes.time_magnitude(filters.within_days(w.view(), *WINTER, "datetime"))
+    seasonal = reports.seasonal_patterns(cube)
     return rounded(figures.seasons_shown(seasonal))
 
 
@@ -551,7 +553,7 @@ def magnitude_group_share(w: Workspace) -> DataFrame:
 
 @query
 def full_load(w: Workspace) -> DataFrame:
-    """L2.  Revisions differ in time and status only, so those columns are left out."""
+    """L2.  The columns in which revisions differ have a query of their own, over ordered files."""
     lake = w.fully_loaded()
     return lake.read(lake.names.silver).select(
         "event_id", "magnitude", "depth", "place", "region", "magnitude_category"
@@ -604,6 +606,57 @@ def loaded_fact(w: Workspace) -> DataFrame:
     return rounded(lake.read(lake.names.fact))
 
 
+@query
+def reloaded_year(w: Workspace) -> DataFrame:
+    """The merged table after a reload with as many rows that stopped before its merge."""
+    lake = w.reloaded()
+    return rounded(plain_stations(lake.read(lake.names.silver)))
+
+
+@query
+def silver_loaded_in_parts(w: Workspace) -> DataFrame:
+    """L3, D3: the merged table of which each load has written the touched years only."""
+    lake = w.loaded_in_parts()
+    return rounded(plain_stations(lake.read(lake.names.silver)))
+
+
+def _loaded_cube(w: Workspace, name: str) -> DataFrame:
+    """A cube merged from states, of which each load has renewed the touched years."""
+    return rounded(cubes.read_cube(w.loaded_in_parts(), f"cube_{name}"))
+
+
+@query
+def loaded_cube_time_magnitude(w: Workspace) -> DataFrame:
+    return _loaded_cube(w, "time_magnitude")
+
+
+@query
+def loaded_cube_location_magnitude(w: Workspace) -> DataFrame:
+    return _loaded_cube(w, "location_magnitude")
+
+
+@query
+def loaded_cube_depth_analysis(w: Workspace) -> DataFrame:
+    return _loaded_cube(w, "depth_analysis")
+
+
+@query
+def loaded_cube_temporal_trends(w: Workspace) -> DataFrame:
+    return _loaded_cube(w, "temporal_trends")
+
+
+@query
+def loaded_cube_moon_phase(w: Workspace) -> DataFrame:
+    return _loaded_cube(w, "moon_phase")
+
+
+@query
+def full_load_first_rows(w: Workspace) -> DataFrame:
+    """Of an event's rows, the first by file, in the columns that revisions change."""
+    lake = w.fully_loaded_in_order()
+    return lake.read(lake.names.silver).select("event_id", "time", "updated", "status")
+
+
 @query
 def ledger_years(w: Workspace) -> DataFrame:
     """S9."""
@@ -630,24 +683,18 @@ def year_gaps(w: Workspace) -> DataFrame:
     return ledger.year_gaps(ledger.missing_from(loaded, [2021, 2022]))
 
 
-def _years_with_great_events(w: Workspace) -> DataFrame:
-    great = w.silver().where("magnitude >= 9")
-    return great.select(F.col("year").alias("load_year")).distinct()
-
-
 @query
 def ledger_validate(w: Workspace) -> DataFrame:
-    """J8 against years that hold an event of magnitude 9 or more."""
-    loaded = ledger.read_ledger(w.incrementally_loaded())
-    kept = ledger.backed_by_data(loaded, _years_with_great_events(w))
-    return kept.select("load_year", "row_count")
+    """What is left of the ledger after two years have been taken out of bronze."""
+    lake, held = w.with_lost_years()
+    return ledger.backed_by_data(ledger.read_ledger(lake), held).select("load_year", "row_count")
 
 
 @query
 def ledger_lost_years(w: Workspace) -> DataFrame:
-    loaded = ledger.read_ledger(w.incrementally_loaded())
-    lost = ledger.lost_years(loaded, _years_with_great_events(w))
-    return lost.select("load_year", "row_count")
+    """The years that the ledger claims and bronze doesn't hold."""
+    lake, held = w.with_lost_years()
+    return ledger.lost_years(ledger.read_ledger(lake), held).select("load_year", "row_count")
 
 
 @query

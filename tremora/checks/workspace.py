@@ -100,6 +100,32 @@ class Workspace:
         self._once("full", lambda: loads.full_load(lake, f"{self.raw_files()}/*"))
         return lake
 
+    def fully_loaded_in_order(self) -> Lake:
+        """L2, D2 over files of which those with automatic rows come first."""
+        lake, path = self.lake("ordered"), f"{self.root}/ordered_files"
+
+        def load() -> None:
+            for at, status in enumerate(("automatic", "reviewed")):
+                rows = self.raw().where(F.col("status") == status)
+                rows.write.option("header", True).option("escape", '"').csv(f"{path}/{at}")
+            loads.full_load(lake, f"{path}/*", export=False)
+
+        self._once("ordered", load)
+        return lake
+
+    def with_lost_years(self) -> tuple[Lake, DataFrame]:
+        """A lake of which two loaded years are gone, and the years that it still holds."""
+        lake = self.lake("lost")
+
+        def load() -> None:
+            wanted = ledger.requested_years(self.spark, start=2018, end=2026)
+            years = [row.load_year for row in wanted.collect()]
+            loads.load_years(lake, self.raw_files(), years)
+            lake.drop_partitions(lake.names.bronze, [2020, 2022])
+
+        self._once("lost", load)
+        return lake, loads.held_years(lake)
+
     def mixed_files(self) -> str:
         """The raw catalogue as files with three headers: the schema's, its reverse with a column
         more, and one with counts as 12.0 and the quality columns last."""
@@ -134,6 +160,43 @@ class Workspace:
         self._once("resumed", load)
         return lake
 
+    def reloaded(self) -> Lake:
+        """A year with other places is forgotten and loaded again from files with as many
+        rows, and the load stops before anything is merged; then it is run again."""
+        lake = self.lake("reloaded")
+
+        def load() -> None:
+            raw, altered = self.raw(), f"{self.root}/altered_files"
+            other = F.when(F.substring("time", 1, 4) == "2021", F.lit("1 km N of Elsewhere")).otherwise(F.col("place"))
+            loads.yearly_files(raw.withColumn("place", other), altered)
+            wanted = ledger.requested_years(self.spark, start=2018, end=2026)
+            loads.incremental_load(lake, altered, wanted, phase_digits=PHASE_DIGITS)
+            ledger.clear_years(lake, [2021])
+            loads.load_years(lake, self.raw_files(), [2021])  # and here it stopped
+            loads.incremental_load(lake, self.raw_files(), wanted, phase_digits=PHASE_DIGITS)
+
+        self._once("reloaded", load)
+        return lake
+
+    def loaded_in_parts(self) -> Lake:
+        """L3: silver by touched years and cubes by their states, over three loads.  A third of the
+        events come late, among them revisions of events that have been loaded for other years."""
+        lake = self.lake("parts")
+
+        def load() -> None:
+            raw, root = self.raw(), f"{self.root}/parts_files"
+            late = (F.pmod(F.xxhash64("id"), F.lit(3)) == 0) | (F.col("status") == "reviewed")
+            year = F.substring("time", 1, 4).cast("int")
+            # Folders of years that only hold what comes late; their events fall in other years.
+            folder = F.when(late, F.pmod(F.xxhash64("time"), F.lit(2)) + 2100).otherwise(year)
+            loads.yearly_files(raw, root, folder)
+            for start, end in ((2018, 2026), (2100, 2100), (2101, 2101)):
+                wanted = ledger.requested_years(self.spark, start=start, end=end)
+                loads.incremental_load(lake, root, wanted, phase_digits=PHASE_DIGITS)
+
+        self._once("parts", load)
+        return lake
+
     def star_of_repeated(self) -> Star:
         """The star built from events of which some are there twice."""
         lake = self.lake("repeated")

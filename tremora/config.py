@@ -28,7 +28,8 @@ class TableNames:
     bronze: str = "bronze"
     silver: str = "raw_earthquakes"
     ledger: str = "ledger"
-    merges: str = "merges"
+    contents: str = "ledger_contents"
+    silver_ids: str = "silver_ids"
     refused: str = "refused_rows"
     dim_time: str = "dim_time"
     dim_location: str = "dim_location"

@@ -6,13 +6,17 @@ the merged events, which needs no join, or ``star_view`` of the stored star.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremora.functions import bands
 from tremora.operators.together import together
 from tremora.plans.star import event_view
-from tremora.sources.lake import Lake, clustered
+from tremora.sources.lake import Lake, Written, clustered, column_names
+
 # In the order of TableNames.cubes.
 CUBE_SCHEMAS = (
     """year INT, month INT, day_name STRING, hour INT, season STRING, is_weekend BOOLEAN,
@@ -37,79 +41,151 @@ def read_cube(lake: Lake, table: str) -> DataFrame:
     return lake.read(table, CUBE_SCHEMAS[lake.names.cubes.index(table)])
 
 
-def _mean(name: str, alias: str | None = None) -> Column:
-    return F.avg(name).alias(alias or f"avg_{name}")
+def mean(name: str) -> tuple[str, str]:
+    return ("mean", name)
+
+
+def least(name: str) -> tuple[str, str]:
+    return ("min", name)
+
+
+def most(name: str) -> tuple[str, str]:
+    return ("max", name)
+
+
+def total(name: str) -> tuple[str, str]:
+    return ("sum", name)
+
+
+def different(name: str) -> tuple[str, str]:
+    return ("distinct", name)
+
+
+@dataclass(frozen=True)
+class Cube:
+    """Keys and measures of an aggregate; every row counts under the name ``count``.
+
+    ``parts`` gives states that can be merged: a mean is kept as its sum and the
+    number of values.  Distinct values can't be merged from counts of them, so the
+    states of a cube that has any must not share cells.
+    """
+
+    keys: tuple[str, ...]
+    count: str
+    measures: Mapping[str, tuple[str, str]]
+
+    def of(self, events: DataFrame) -> DataFrame:
+        """The cube, straight from the events."""
+        kinds = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "distinct": F.count_distinct}
+        return events.groupBy(*self.keys).agg(
+            F.count("*").alias(self.count),
+            *[kinds[kind](column).alias(name) for name, (kind, column) in self.measures.items()],
+        )
+
+    def parts(self, events: DataFrame, *by: str) -> DataFrame:
+        """Mergeable states per cell and ``by``."""
+        states = [F.count("*").alias(self.count)]
+        for name, (kind, column) in self.measures.items():
+            if kind == "mean":
+                states += [F.sum(column).alias(f"{name}__sum"), F.count(column).alias(f"{name}__n")]
+            else:
+                kinds = {"min": F.min, "max": F.max, "sum": F.sum, "distinct": F.count_distinct}
+                states.append(kinds[kind](column).alias(name))
+        return events.groupBy(*self.keys, *by).agg(*states)
+
+    def merged(self, parts: DataFrame) -> DataFrame:
+        """The cube from states of disjoint sets of events."""
+        found = [F.sum(self.count).alias(self.count)]
+        for name, (kind, _) in self.measures.items():
+            if kind == "mean":
+                value = F.sum(f"{name}__sum") / F.sum(f"{name}__n")
+            else:
+                value = {"min": F.min, "max": F.max, "sum": F.sum, "distinct": F.max}[kind](name)
+            found.append(value.alias(name))
+        return parts.groupBy(*self.keys).agg(*found)
+
+
+TIME_MAGNITUDE = Cube(
+    ("year", "month", "day_name", "hour", "season", "is_weekend", "magnitude_category"),
+    "event_count",
+    {
+        "avg_magnitude": mean("magnitude"),
+        "min_magnitude": least("magnitude"),
+        "max_magnitude": most("magnitude"),
+        "avg_depth": mean("depth"),
+        "total_energy": total("energy_joules"),
+    },
+)
+LOCATION_MAGNITUDE = Cube(
+    ("region", "hemisphere_ns", "hemisphere_ew", "climate_zone", "magnitude_category"),
+    "event_count",
+    {
+        "avg_magnitude": mean("magnitude"),
+        "max_magnitude": most("magnitude"),
+        "avg_depth": mean("depth"),
+        "center_latitude": mean("latitude"),
+        "center_longitude": mean("longitude"),
+    },
+)
+DEPTH_ANALYSIS = Cube(
+    ("depth_category", "magnitude_category", "season"),
+    "event_count",
+    {
+        "avg_depth": mean("depth"),
+        "avg_magnitude": mean("magnitude"),
+        "avg_stations": mean("num_stations"),
+        "avg_gap": mean("azimuthal_gap"),
+        "avg_horizontal_error": mean("horizontal_error"),
+        "avg_depth_error": mean("depth_error"),
+    },
+)
+TEMPORAL_TRENDS = Cube(
+    ("date", "year", "month", "day_of_week"),
+    "daily_event_count",
+    {
+        "daily_avg_magnitude": mean("magnitude"),
+        "daily_max_magnitude": most("magnitude"),
+        "daily_total_energy": total("energy_joules"),
+        "affected_regions": different("region"),
+    },
+)
+MOON_PHASE = Cube(
+    ("moon_phase_name", "moon_phase", "magnitude_group"),
+    "event_count",
+    {"avg_magnitude": mean("magnitude"), "max_magnitude": most("magnitude"), "avg_depth": mean("depth")},
+)
 
 
 def time_magnitude(events: DataFrame) -> DataFrame:
     """A1."""
-    return events.groupBy(
-        "year", "month", "day_name", "hour", "season", "is_weekend", "magnitude_category"
-    ).agg(
-        F.count("*").alias("event_count"),
-        _mean("magnitude"),
-        F.min("magnitude").alias("min_magnitude"),
-        F.max("magnitude").alias("max_magnitude"),
-        _mean("depth"),
-        F.sum("energy_joules").alias("total_energy"),
-    )
+    return TIME_MAGNITUDE.of(events)
 
 
 def location_magnitude(events: DataFrame) -> DataFrame:
     """A2."""
-    return events.groupBy(
-        "region", "hemisphere_ns", "hemisphere_ew", "climate_zone", "magnitude_category"
-    ).agg(
-        F.count("*").alias("event_count"),
-        _mean("magnitude"),
-        F.max("magnitude").alias("max_magnitude"),
-        _mean("depth"),
-        _mean("latitude", "center_latitude"),
-        _mean("longitude", "center_longitude"),
-    )
+    return LOCATION_MAGNITUDE.of(events)
 
 
 def depth_analysis(events: DataFrame) -> DataFrame:
     """A3."""
-    return events.groupBy("depth_category", "magnitude_category", "season").agg(
-        F.count("*").alias("event_count"),
-        _mean("depth"),
-        _mean("magnitude"),
-        _mean("num_stations", "avg_stations"),
-        _mean("azimuthal_gap", "avg_gap"),
-        _mean("horizontal_error"),
-        _mean("depth_error"),
-    )
+    return DEPTH_ANALYSIS.of(events)
 
 
 def temporal_trends(events: DataFrame) -> DataFrame:
     """A4, and A14 on filtered events."""
-    return events.groupBy("date", "year", "month", "day_of_week").agg(
-        F.count("*").alias("daily_event_count"),
-        _mean("magnitude", "daily_avg_magnitude"),
-        F.max("magnitude").alias("daily_max_magnitude"),
-        F.sum("energy_joules").alias("daily_total_energy"),
-        F.count_distinct("region").alias("affected_regions"),
-    )
+    return TEMPORAL_TRENDS.of(events)
 
 
-def moon_phase(events: DataFrame, phase_digits: int | None = None) -> DataFrame:
-    """A5, and A13 on filtered events.
+def with_phase_group(events: DataFrame, phase_digits: int | None = None) -> DataFrame:
+    """The keys of A5.  The phase is almost continuous; ``phase_digits`` rounds it."""
+    if phase_digits is not None:
+        events = events.withColumn("moon_phase", F.round("moon_phase", phase_digits))
+    return events.withColumn("magnitude_group", bands.magnitude_group(F.col("magnitude")))
 
-    The phase is almost continuous, so this hardly reduces the events;
-    ``phase_digits`` rounds it before grouping.
-    """
-    phase = F.col("moon_phase") if phase_digits is None else F.round("moon_phase", phase_digits)
-    return events.groupBy(
-        "moon_phase_name",
-        phase.alias("moon_phase"),
-        bands.magnitude_group(F.col("magnitude")).alias("magnitude_group"),
-    ).agg(
-        F.count("*").alias("event_count"),
-        _mean("magnitude"),
-        F.max("magnitude").alias("max_magnitude"),
-        _mean("depth"),
-    )
+
+def moon_phase(events: DataFrame, phase_digits: int | None = None) -> DataFrame:
+    """A5, and A13 on filtered events.  Hardly reduces them, unless phases are rounded."""
+    return MOON_PHASE.of(with_phase_group(events, phase_digits))
 
 
 def build_cubes(
@@ -117,18 +193,68 @@ def build_cubes(
 ) -> dict[str, int]:
     """Write all five; gives the rows of each."""
     names = lake.names
+    made_of = lake.folders(names.silver) if events is None else None
     events = event_view(lake.read(names.silver)) if events is None else events
-    frames = {
-        names.cube_time_magnitude: time_magnitude(events),
-        names.cube_location_magnitude: location_magnitude(events),
-        names.cube_depth_analysis: depth_analysis(events),
-        names.cube_temporal_trends: clustered(temporal_trends(events), "date"),
-        names.cube_moon_phase: clustered(
-            moon_phase(events, phase_digits), "moon_phase", "magnitude_group"
-        ),
-    }
-    counts = together(
+    frames = (
+        time_magnitude(events),
+        location_magnitude(events),
+        depth_analysis(events),
+        temporal_trends(events),
+        moon_phase(events, phase_digits),
+    )
+    return _replace_cubes(lake, frames, made_of)
+
+
+def _replace_cubes(
+    lake: Lake, frames: Sequence[DataFrame], made_of: Mapping[str, str] | None
+) -> dict[str, int]:
+    """Write the five cubes, in the order of their names, and switch to all of them at once."""
+    names = lake.names
+    frames = dict(zip(names.cubes, frames))
+    laid_out = {names.cube_temporal_trends: ("date",), names.cube_moon_phase: ("moon_phase", "magnitude_group")}
+    frames |= {table: clustered(frames[table], *order) for table, order in laid_out.items()}
+    tables = together(
         lake.spark,
-        *[lambda t=table, rows=rows: lake.replace(t, rows) for table, rows in frames.items()],
+        *[lambda t=table, rows=rows: lake.write(t, rows, made_of=made_of) for table, rows in frames.items()],
     )
-    return dict(zip(frames, counts))
+    lake.commit(*tables)
+    return {table.table: table.rows for table in tables}
+
+
+CUBES = (TIME_MAGNITUDE, LOCATION_MAGNITUDE, DEPTH_ANALYSIS, TEMPORAL_TRENDS, MOON_PHASE)
+STATE_YEAR = "state_year"
+
+
+def refresh_cubes(lake: Lake, phase_digits: int | None = None) -> dict[str, int]:
+    """L8 for a lake that is loaded bit by bit: the cubes as ``build_cubes`` makes them.
+
+    Each cube has a table of mergeable states per cell and year of the event.  The
+    states of a year note the folder of the merged events they were made of, so
+    only years that have been written since are read again, whatever was revised or
+    taken out there; the cubes are merged from the states of all years.  A day lies
+    in one year, so the regions of a day are counted within its states.
+    """
+    names, spark = lake.names, lake.spark
+    years, digits = lake.folders(names.silver), {"phase_digits": str(phase_digits)}
+    silver = lake.read(names.silver)
+
+    def states(table: str, cube: Cube) -> Written | None:
+        before = lake.made_of(table) or {}
+        if before.get("phase_digits") != digits["phase_digits"]:
+            before = {}
+        touched = [year for year in years.keys() | before.keys() - digits.keys() if years.get(year) != before.get(year)]
+        if not touched:
+            return None
+        read = [int(year) for year in touched if year in years]
+        events = with_phase_group(event_view(silver.where(F.col("year").isin(*read))), phase_digits)
+        parts = cube.parts(events.withColumn(STATE_YEAR, F.col("year")), STATE_YEAR)
+        return lake.write(table, parts, STATE_YEAR, touched if before else None, made_of=years | digits)
+
+    tables = [f"state_{table}" for table in names.cubes]
+    changes = together(spark, *[lambda t=table, cube=cube: states(t, cube) for table, cube in zip(tables, CUBES)])
+    lake.commit(*[change for change in changes if change])
+    frames = [
+        cube.merged(lake.read(table)).select(*column_names(schema))
+        for table, cube, schema in zip(tables, CUBES, CUBE_SCHEMAS)
+    ]
+    return _replace_cubes(lake, frames, years)

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremora.sources.lake import Lake
-from tremora.sources.shared import scratch_folder, written
 
 LEDGER_SCHEMA = T.StructType(
     [
@@ -49,7 +48,15 @@ def read_ledger(lake: Lake) -> DataFrame:
     table = lake.names.ledger
     if not lake.exists(table):
         return lake.spark.createDataFrame([], LEDGER_SCHEMA)
-    return lake.spark.read.schema(LEDGER_SCHEMA).parquet(lake.path(table))
+    return lake.read(table, LEDGER_SCHEMA)
+
+
+def year_contents(lake: Lake) -> dict[str, str]:
+    """Checksum of what was loaded, by loaded year, of the years in the ledger."""
+    listed = set(map(str, loaded_years(lake)))
+    if not lake.exists(lake.names.contents):
+        return {}
+    return {str(r.load_year): r.content for r in lake.read(lake.names.contents).collect() if str(r.load_year) in listed}
 
 
 def year_details(loaded: DataFrame) -> DataFrame:
@@ -75,9 +82,7 @@ def record_years(lake: Lake, details: DataFrame) -> int:
 
 
 def _rewrite(lake: Lake, kept: DataFrame) -> None:
-    # A table cannot be overwritten while it is read, hence the copy in between.
-    with scratch_folder(lake.spark, "ledger") as scratch:
-        lake.replace(lake.names.ledger, written(kept, f"{scratch}/kept"), ["load_year"])
+    lake.replace(lake.names.ledger, kept, ["load_year"])
 
 
 def loaded_years(lake: Lake, condition: Column | None = None) -> list[int]:

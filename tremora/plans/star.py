@@ -175,6 +175,7 @@ def build_star(
     that reports on a range of days skip the files outside it.
     """
     spark, names = lake.spark, lake.names
+    made_of = lake.folders(names.silver) if silver is None else None
     silver = lake.read(names.silver) if silver is None else silver
     events = complete_events(silver if unique_events else merge_latest(silver))
 
@@ -198,11 +199,12 @@ def build_star(
             with_magnitude_attributes(magnitude.rows).select(*column_names(MAGNITUDE_SCHEMA)),
             fact,
         )
-        counts = together(
+        tables = together(
             spark,
             *[
-                lambda table=table, rows=rows: lake.replace(table, rows)
+                lambda table=table, rows=rows: lake.write(table, rows, made_of=made_of)
                 for table, rows in zip(names.star, frames)
             ],
         )
-    return dict(zip(names.star, counts))
+        lake.commit(*tables)  # all four at once
+    return {table.table: table.rows for table in tables}

@@ -52,6 +52,45 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(location, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Give a file or folder another path, which nothing has yet."""
+    location, files = _located(spark, path)
+    target, _ = _located(spark, to)
+    files.mkdirs(target.getParent())
+    if files.exists(target) or not files.rename(location, target):
+        raise FileExistsError(to)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it isn't there."""
+    location, files = _located(spark, path)
+    return [child.getPath().getName() for child in files.listStatus(location)] if files.exists(location) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, whole."""
+    location, files = _located(spark, path)
+    stream = files.open(location)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text_once(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole or not at all; one that is there already is an error."""
+    location, files = _located(spark, path)
+    unfinished, _ = _located(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    stream = files.create(unfinished, False)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+    if files.exists(location) or not files.rename(unfinished, location):
+        files.delete(unfinished, False)
+        raise FileExistsError(f"{path}: written by someone else meanwhile")
+
+
 @contextmanager
 def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
     """A fresh path that is deleted again once what was built from it has been written."""

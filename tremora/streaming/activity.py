@@ -63,7 +63,7 @@ def run_daily_activity(lake: Lake, table: str, checkpoint: str) -> DataFrame:
 
     (
         lake.spark.readStream.schema(lake.read(table).schema)
-        .parquet(lake.path(table))
+        .parquet(lake.location(table))
         .writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -35,9 +35,7 @@ class Touched:
 
 def replace_years(lake: Lake, table: str, rows: DataFrame, years: list[int]) -> None:
     """Put rows in place of what the table holds of these years, and leave the others."""
-    there = {row[BY] for row in rows.select(BY).distinct().collect()}
-    lake.drop_partitions(table, BY, [year for year in years if year not in there])
-    lake.replace_partitions(table, rows, BY)
+    lake.replace_partitions(table, rows, BY, years)
 
 
 def upsert(lake: Lake, table: str, batch: DataFrame, staging: str) -> Touched:
