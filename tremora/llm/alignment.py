@@ -49,10 +49,10 @@ STRETCH = re.compile(r"(?:\A\s+\S*| ?\S+)(?:(?:\s{2,}|[^\S \n]|\s\Z)\S*)*|\n")
 SHORT_STRETCH = re.compile(
     rf" ?[{LETTERS}]+(?= \S|\n\S|[{STOPS}]|\Z)| ?[{STOPS}]+(?= \S|\n\S|[{LETTERS}]|\Z)|{STRETCH.pattern}"
 )
-KNOWN = 300_000  # stretches of a table
+KNOWN = 180_000  # stretches of a table
 CHARACTERS = 8_000_000  # of the stretches of a table
-PART = 1 << 14  # stretches that are aligned at a time
-BLOCK = 1 << 22  # bytes of text of a block
+PART = 1 << 12  # stretches that are aligned at a time
+BLOCK = 1 << 21  # bytes of text of a block
 LINKS = 1 << 12  # links of a group that are spread out one by one
 LISTED = 1 << 13  # pairs in one row of a block's list
 
@@ -143,11 +143,6 @@ class Side:
         # Bytes before each token, and before each stretch.
         self.before = np.concatenate([np.zeros(1, np.int64), np.cumsum(length_of[self.flat])])
 
-    def ends(self) -> list[list[int]]:
-        """Per stretch, the bytes up to the end of each of its tokens."""
-        ends = (self.before[1:] - np.repeat(self.before[self.starts], self.lengths)).tolist()
-        return [ends[s : s + n] for s, n in zip(self.starts.tolist(), self.lengths.tolist())]
-
     def spells(self, stretches: list[bytes]) -> np.ndarray:
         """For each stretch, whether its tokens' bytes are the stretch."""
         wanted = np.fromiter(map(len, stretches), np.int64, len(stretches))
@@ -159,16 +154,13 @@ class Side:
         return np.fromiter((whole[low:high] == s for (low, high), s in zip(at, stretches)), bool, len(stretches))
 
 
-def groups_text(a: list[str], b: list[str], cuts: list[tuple[int, int]]) -> str:
-    """Groups as `a1,a2|b1;a3|b2,b3`, of ids in decimal: the ranks from one cut to the next."""
-    parts, i0, j0 = [], 0, 0
-    for i, j in cuts:
-        if i == i0 and j == j0:
-            parts.append(f"{a[i]}|{b[j]}")
-        else:
-            parts.append(f"{','.join(a[i0 : i + 1])}|{','.join(b[j0 : j + 1])}")
-        i0, j0 = i + 1, j + 1
-    return ";".join(parts)
+def groups_text(a: list[str], b: list[str], first: np.ndarray, last: np.ndarray) -> list[str]:
+    """Each group as `a1,a2|b1,b2`, of ids in decimal, from the ranks of its first and last tokens."""
+    found = [f"{a[i]}|{b[j]}" for i, j in last.tolist()]
+    for g in np.flatnonzero((first < last).any(1)).tolist():
+        (i0, j0), (i, j) = first[g].tolist(), last[g].tolist()
+        found[g] = f"{','.join(a[i0 : i + 1])}|{','.join(b[j0 : j + 1])}"
+    return found
 
 
 def _summed(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,33 +238,36 @@ class Stretches:
         """Align the stretches that have got a number since the last time, in parts."""
         fresh = list(islice(self.numbers, len(self.right), None))
         self.characters += sum(map(len, fresh))
-        for at in range(0, len(fresh), PART):
-            self._align(fresh[at : at + PART])
-
-    def _align(self, stretches: list[str]) -> None:
+        parts = [self._align(fresh[at : at + PART]) for at in range(0, len(fresh), PART)]
+        if parts:
+            right, counts, lengths, codes, times = map(np.concatenate, zip(*parts))
+            self.right = np.concatenate([self.right, right])
+            self.counts = np.concatenate([self.counts, counts])
+            self.pairs.add(codes, lengths)
+            self.times.add(times, lengths)
+
+    def _align(self, stretches: list[str]) -> tuple[np.ndarray, ...]:
+        """Both tokenizers' ends in all these stretches, one behind the other, are intersected at once."""
         encoded = [x.ids for x in self.a_model.encode_batch(stretches, add_special_tokens=False)]
         encoded = encoded, self._b_ids(stretches)
         a, b = (Side(*of) for of in zip(encoded, self.bytes_of, self.length_of))
         spelt = [s.encode() for s in stretches]
         right = a.spells(spelt) & b.spells(spelt)
+        if not right.all():
+            kept = [[ids if good else [] for ids, good in zip(side, right.tolist())] for side in encoded]
+            a, b = (Side(*of) for of in zip(kept, self.bytes_of, self.length_of))
 
-        cuts = [common_ends(*ends) if good else [] for *ends, good in zip(a.ends(), b.ends(), right.tolist())]
-        decimals = [[list(map(self.decimal.__getitem__, ids)) for ids in side] for side in encoded]
-        self.groups += [groups_text(*ids, cut) for *ids, cut in zip(*decimals, cuts)]
-
-        # Ranks of the last tokens of each group; those of its first follow the cut before.
-        n_groups = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        stretch = np.repeat(np.arange(len(cuts)), n_groups)
-        last = np.array([cut for found in cuts for cut in found], np.int64).reshape(-1, 2)
+        last = np.array(common_ends(a.before[1:].tolist(), b.before[1:].tolist()), np.int64).reshape(-1, 2)
         first = np.concatenate([np.zeros((1, 2), np.int64), last + 1])[:-1]
-        first[(np.cumsum(n_groups) - n_groups)[n_groups > 0]] = 0
-        offset = np.stack([a.starts, b.starts], 1)[stretch]
-        group, codes, times = linked_pairs(a.flat, b.flat, first + offset, last + 1 - first, self.width)
+        stretch = np.searchsorted(a.starts + a.lengths, last[:, 0], side="right")
+        n_groups = np.bincount(stretch, minlength=len(stretches))
+        decimals = (list(map(self.decimal.__getitem__, side.flat.tolist())) for side in (a, b))
+        shown = groups_text(*decimals, first, last)
+        stops = np.cumsum(n_groups).tolist()
+        self.groups += [";".join(shown[low:high]) for low, high in zip([0, *stops], stops)]
+        group, codes, times = linked_pairs(a.flat, b.flat, first, last + 1 - first, self.width)
         lengths = np.bincount(stretch[group], minlength=len(stretches))
-        self.pairs.add(codes, lengths)
-        self.times.add(times, lengths)
-        self.right = np.concatenate([self.right, right])
-        self.counts = np.concatenate([self.counts, np.stack([a.lengths, b.lengths, n_groups], 1)])
+        return right, np.stack([a.lengths, b.lengths, n_groups], 1), lengths, codes, times
 
     def align(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Per text, the numbers of its stretches; none if it has no tokens."""
