@@ -668,6 +668,11 @@ SELECT year AS load_year, count(*) AS row_count FROM enriched WHERE year NOT IN
     "ledger_lost_years": """
 SELECT year AS load_year, count(*) AS row_count FROM enriched WHERE year IN (2020, 2022) GROUP BY year""",
     "incremental_ingest": SILVER_ROUNDED,
+    "ingest_mixed_headers": SILVER_ROUNDED,
+    "ingest_quarantine": """
+SELECT 'what,ever' AS header, 'no column id, time, latitude, longitude, mag' AS reason,
+  CAST(0 AS BIGINT) AS batch
+FROM (SELECT count(*) AS n FROM events) WHERE n > 0""",
     "stream_daily_activity": """
 SELECT date, daily_event_count, round(daily_avg_magnitude + 1e-9, 6) AS daily_avg_magnitude,
   round(daily_max_magnitude + 1e-9, 6) AS daily_max_magnitude,

@@ -20,7 +20,7 @@ from tremora.plans import cubes, figures, ledger, reports
 from tremora.plans.loads import BY_YEAR
 from tremora.plans.star import star_view
 from tremora.sources.catalog_csv import preview, read_by_header, read_catalog, stack
-from tremora.streaming.ingest import arrived_events
+from tremora.streaming.ingest import arrived_events, quarantined_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -702,6 +702,18 @@ def incremental_ingest(w: Workspace) -> DataFrame:
     return rounded(plain_stations(arrived_events(w.ingested())))
 
 
+@query
+def ingest_mixed_headers(w: Workspace) -> DataFrame:
+    """ST1: files with three headers are read by them; one without any known column stops nothing."""
+    return rounded(plain_stations(arrived_events(w.ingested_mixed())))
+
+
+@query
+def ingest_quarantine(w: Workspace) -> DataFrame:
+    """ST1: the file that could not be read, with its reason."""
+    return quarantined_files(w.ingested_mixed()).select("header", "reason", "batch")
+
+
 @query
 def stream_daily_activity(w: Workspace) -> DataFrame:
     return rounded(w.streamed_activity())

@@ -222,6 +222,20 @@ class Workspace:
         self._once("ingest", lambda: ingest.ingest_new_files(lake, path, checkpoint))
         return lake
 
+    def ingested_mixed(self) -> Lake:
+        """ST1 over files with three headers, and one that is no catalogue."""
+        lake = self.lake("mixed_arrivals")
+        self.mixed_files()
+        path, checkpoint = f"{self.root}/mixed_{{files,other}}/*", f"{self.root}/checkpoints/mixed"
+
+        def drain() -> None:
+            other = self.raw().select(F.col("id").alias("what"), F.col("place").alias("ever"))
+            other.coalesce(1).write.option("header", True).csv(f"{self.root}/mixed_other/0")
+            ingest.ingest_new_files(lake, path, checkpoint)
+
+        self._once("mixed_arrivals", drain)
+        return lake
+
     def streamed_activity(self) -> DataFrame:
         """ST2 over arrivals in two drains: the second holds later years and all revisions."""
         lake = self.lake("activity")

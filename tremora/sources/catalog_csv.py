@@ -6,12 +6,17 @@ column by whatever one file happens to hold.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tremora.sources.shared import first_line
+
 # --- fixed values: the header of a catalogue file and the names used from there on ---
 RAW_COLUMNS = (
     ("time", "time", T.StringType()),
@@ -51,6 +56,9 @@ RENAMES = {name: new for name, new, _ in RAW_COLUMNS if name != new}
 # the check, Spark would read the cells by position, whatever the header says.
 CSV_OPTIONS = {"escape": '"', "enforceSchema": "false"}
 
+OPENED = 16  # files at a time
+LONGEST_HEADER = 1 << 20
+
 POSITION = ("_file", "_block", "_row")
 
 
@@ -115,26 +123,52 @@ def read_catalog(
     return whole_counts(ADDED["place" if with_position else add](rows))
 
 
-def headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """One row per distinct header line, with the paths of the files that begin with it.
+def headers_of(spark: SparkSession, files: Sequence[str]) -> dict[str, list[str]]:
+    """The files that begin with each header line, by that line; files without a line are left out.
 
-    Takes a pass over the files as text, of which only first lines are kept: each
-    task sends one line per file it reads.
+    No job: the driver, which lists the files for any scan, opens ``OPENED`` of them at a
+    time and reads the first line, at most ``LONGEST_HEADER`` bytes of a file, whatever its size.
     """
-    lines = spark.read.text([paths] if isinstance(paths, str) else list(paths))
-    first = (
-        lines.where("_metadata.file_block_start = 0")
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.monotonically_increasing_id().alias("at"),
-            "value",
-        )
-        .groupBy("file")
-        .agg(F.min_by("value", "at").alias("header"))
-    )
-    # Paths are shown as URLs and taken as they are.
-    plain = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
-    return first.groupBy("header").agg(F.sort_array(F.collect_list(plain)).alias("files"))
+    found: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(OPENED) as pool:
+        for file, line in zip(files, pool.map(lambda file: first_line(spark, file, LONGEST_HEADER), files)):
+            if line is not None:
+                found.setdefault(line, []).append(file)
+    return found
+
+
+def headers(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, list[str]]:
+    """``headers_of`` all files that a reader of these paths would read."""
+    files = spark.read.text([paths] if isinstance(paths, str) else list(paths)).inputFiles()
+    return headers_of(spark, sorted(unquote(file) for file in files))
+
+
+def header_cells(line: str) -> list[str]:
+    """The names in a header line."""
+    return [cell.strip() for cell in next(csv.reader([line.removeprefix("\ufeff")]), [])]
+
+
+def places_of_known(cells: Sequence[str]) -> dict[str, int]:
+    """Where each known column stands: under its name, else under that name in other letters."""
+    exact = {cell: at for at, cell in reversed(list(enumerate(cells)))}
+    folded = {cell.lower(): at for at, cell in reversed(list(enumerate(cells)))}
+    found = {name: exact.get(name, folded.get(name.lower())) for name in SCAN_SCHEMA.names}
+    return {name: at for name, at in found.items() if at is not None}
+
+
+def names_of_others(cells: Sequence[str], known: dict[str, int], taken: Sequence[str]) -> dict[int, str]:
+    """Names for the further columns, by place.  One that is taken already, in any letters, gets a number."""
+    used = {name.lower() for name in (*SCAN_SCHEMA.names, *RENAMES.values(), *taken, *POSITION, "source_file", "source_bytes")}
+    found = {}
+    for at, cell in enumerate(cells):
+        if at in known.values():
+            continue
+        name, n = cell or "column", 1
+        while (name if n == 1 else f"{name}_{n}").lower() in used:
+            n += 1
+        found[at] = name if n == 1 else f"{name}_{n}"
+        used.add(found[at].lower())
+    return found
 
 
 def read_by_header(
@@ -144,30 +178,35 @@ def read_by_header(
     partitions: T.StructType | None = None,
     add: str | None = None,
     root: str | None = None,
+    found: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """As ``read_catalog``, but columns go by each file's own header.
 
-    Known columns may stand in any order; those a file lacks are null.  Further
-    columns follow as text, null in files without them.  One scan per distinct
-    header; what reaches the driver is these headers and the list of files, which
-    the driver of any scan holds.  Partition folders are those below ``root``, or
-    the one path.
+    Known columns may stand in any order, in any letters; those a file lacks are null.
+    Further columns follow as text, null in files without them, and get a number if
+    their name is taken.  One scan per distinct header, whose cells are read by their
+    place.  Partition folders are those below ``root``, or the one path.  ``found``
+    has what ``headers`` gives, if that is known already.
     """
     kept = [f.name for f in partitions.fields] if partitions else []
     parts = []
-    for found in headers(spark, paths).orderBy("header").collect():
-        reader = spark.read.option("header", True).option("mode", "PERMISSIVE").options(escape='"')
+    for header, files in sorted((headers(spark, paths) if found is None else found).items()):
+        cells = header_cells(header)
+        known = places_of_known(cells)
+        others = names_of_others(cells, known, kept)
+        by_place = T.StructType([T.StructField(f"__{at}", T.StringType()) for at in range(len(cells))])
+        by_place = T.StructType(by_place.fields + (partitions.fields if partitions else []))
+        reader = spark.read.schema(by_place).option("header", True).option("mode", "PERMISSIVE").options(escape='"')
         if partitions:
             reader = reader.option("basePath", root or (paths if isinstance(paths, str) else paths[0]))
-        rows = ADDED["place" if with_position else add](reader.csv(found.files))
-        there = set(rows.columns)
-        known = [
-            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in there else F.lit(None).cast(f.dataType)).alias(f.name)
+        rows = ADDED["place" if with_position else add](reader.csv(files))
+        added = [c for c in rows.columns if c not in by_place.names]
+        ours = [
+            (F.col(f"__{known[f.name]}").try_cast(f.dataType) if f.name in known else F.lit(None).cast(f.dataType)).alias(f.name)
             for f in SCAN_SCHEMA
         ]
-        others = [f"`{c}`" for c in rows.columns if c not in SCAN_SCHEMA.names and c not in kept]
-        by_folder = [F.col(f.name).cast(f.dataType).alias(f.name) for f in partitions] if partitions else []
-        parts.append(whole_counts(rows.select(*known, *others, *by_folder)))
+        further = [F.col(f"__{at}").alias(name) for at, name in others.items()]
+        parts.append(whole_counts(rows.select(*ours, *further, *added, *kept)))
     if not parts:  # files without a line
         return read_catalog(spark, paths, with_position, partitions, add)
     stacked = parts[0]

@@ -77,6 +77,27 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def first_line(spark: SparkSession, path: str, most: int) -> str | None:
+    """The first line of a file that isn't blank, unpacked if its name says that it is packed.
+
+    At most that many bytes are read; None if there is no line.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    location, files = _located(spark, path)
+    stream = files.open(location)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(location)
+        unpacked = stream if codec is None else codec.createInputStream(stream)
+        bounded = jvm.org.apache.commons.io.input.BoundedInputStream(unpacked, most)
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(bounded, "UTF-8"))
+        line = lines.readLine()
+        while line is not None and not line.strip():
+            line = lines.readLine()
+        return line
+    finally:
+        stream.close()
+
+
 def write_text_once(spark: SparkSession, path: str, text: str) -> None:
     """A small file that appears whole or not at all; one that is there already is an error."""
     location, files = _located(spark, path)
