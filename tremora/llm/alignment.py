@@ -27,6 +27,7 @@ also if it repeats an id or a text; an empty table has no rows.
 
 from __future__ import annotations
 
+import os
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -49,7 +50,7 @@ STRETCH = re.compile(r"(?:\A\s+\S*| ?\S+)(?:(?:\s{2,}|[^\S \n]|\s\Z)\S*)*|\n")
 SHORT_STRETCH = re.compile(
     rf" ?[{LETTERS}]+(?= \S|\n\S|[{STOPS}]|\Z)| ?[{STOPS}]+(?= \S|\n\S|[{LETTERS}]|\Z)|{STRETCH.pattern}"
 )
-KNOWN = 180_000  # stretches of a table
+KNOWN = 120_000  # stretches of a table
 CHARACTERS = 8_000_000  # of the stretches of a table
 PART = 1 << 12  # stretches that are aligned at a time
 BLOCK = 1 << 21  # bytes of text of a block
@@ -201,6 +202,7 @@ class Stretches:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and threads hold on to memory
         self.a_model = Tokenizer.from_file(a_path)
         self.a_model.encode_special_tokens = True  # their strings are ordinary text
         self.b_model = SentencePieceProcessor(model_file=b_path)
@@ -326,6 +328,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             for rows in byte_slices(batch, "text", BLOCK):
                 yield pa.RecordBatch.from_pylist(list(rows_of_block(table, block, rows)), schema)
                 block += 1
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(align, ALIGNED)
