@@ -88,3 +88,56 @@ def test_ST1_a_batch_of_bad_files_only(spark, lake, tmp_path):
     put(tmp_path / "in/a.csv", "x", "1")
     assert ingest_new_files(lake, str(tmp_path / "in"), str(tmp_path / "checkpoint")) == 1
     assert arrived_events(lake).count() == 0 and quarantined_files(lake).count() == 1
+
+
+def test_ST2_D3_a_batch_opens_the_years_of_its_events_and_changes_their_days(spark, lake, tmp_path, monkeypatch):
+    from tremora.streaming import activity, upsert
+    from tremora.streaming.activity import run_daily_activity
+
+    raw, checkpoint = tmp_path / "in", str(tmp_path / "checkpoint")
+    opened = []
+    read = type(lake).read
+
+    def drain():
+        ingest_new_files(lake, str(raw), f"{checkpoint}/files")
+        days = run_daily_activity(lake, "bronze_arrivals", f"{checkpoint}/days")
+        return {str(r.date)[:10]: (r.daily_event_count, r.daily_max_magnitude, r.affected_regions) for r in days.collect()}
+
+    def line(event, day, magnitude, place):
+        return f"{event},{day}T00:00:00.000Z,1,2,{magnitude},5 km N of {place}"
+
+    put(
+        raw / "a.csv", GOOD, line("e1", "2019-01-01", 4, "Fiji"), line("e2", "2020-01-01", 5, "Fiji"), line("e3", "2020-01-01", 3, "Chile"),
+        line("e4", "2020-06-01", 3, "Chile"), line("e5", "2021-01-01", 6, "Peru"),
+    )
+    want = {"2019-01-01": (1, 4, 1), "2020-01-01": (2, 5, 2), "2020-06-01": (1, 3, 1), "2021-01-01": (1, 6, 1)}
+    assert drain() == want
+    before = {table: lake.folders(table) for table in ("arrived_events", activity.COUNTED, activity.CELLS)}
+
+    # The largest event of a day leaves it for another year, its region with it.
+    put(raw / "b.csv", GOOD, line("e2", "2021-02-02", 5.5, "Tonga"), line("e6", "2020-06-01", 4, "Fiji"))
+    counted = []
+    cells_of = activity.cells_of
+
+    def cells_seen(events):
+        counted.append(sorted({str(r.datetime)[:10] for r in events.collect()}))
+        return cells_of(events)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(activity, "cells_of", cells_seen)
+        found = drain()
+    assert found == want | {"2020-01-01": (1, 3, 1), "2020-06-01": (2, 4, 2), "2021-02-02": (1, 5.5, 1)}
+    assert counted == [["2020-06-01", "2021-02-02"], ["2020-01-01"]]  # added, and counted again
+    for table, folders in before.items():
+        after = lake.folders(table)
+        assert after["2019"] == folders["2019"] and after["2020"] != folders["2020"] and after["2021"] != folders["2021"]
+
+    # Rows that are there already change nothing; of an event of 2019, no other year is opened.
+    kept = {table: lake.folders(table) for table in before}
+    put(raw / "c.csv", GOOD, line("e1", "2019-01-01", 4, "Fiji"))
+    monkeypatch.setattr(upsert, "_values", lambda rows, column: opened.append((column, values(rows, column))) or opened[-1][1])
+    values = lambda rows, column: [r[0] for r in rows.select(column).distinct().collect()]
+    assert drain() == found and {table: lake.folders(table) for table in before} == kept
+    assert [found for column, found in opened if column == "year"][0] == [2019]
+    assert all(len(found) <= 1 for _, found in opened)
+    assert read is type(lake).read

@@ -37,7 +37,11 @@ def keep_first(rows: DataFrame, key: str = "id") -> DataFrame:
     return keep_one(rows, key, order)
 
 
+def latest_first(events: DataFrame) -> list[Column]:
+    """D3: the order of an event's rows: latest origin time, latest update, then content."""
+    return [F.desc_nulls_last("datetime"), F.desc_nulls_last("updated"), _content(events)]
+
+
 def merge_latest(events: DataFrame, key: str = "event_id") -> DataFrame:
     """D3: the row with the latest origin time per event, then the latest update."""
-    order = [F.desc_nulls_last("datetime"), F.desc_nulls_last("updated"), _content(events)]
-    return keep_one(events, key, order)
+    return keep_one(events, key, latest_first(events))

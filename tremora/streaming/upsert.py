@@ -1,36 +1,50 @@
 """Keeping a table of the latest row per event up to date, batch by batch (D3).
 
-The table is partitioned by the year of the event.  A batch touches the years of
-its own rows and of the rows these revise; only those years are merged and
-written again.  To find them, one scan reads ids and years of the whole table.
+The table is partitioned by the year of the event.  An index of all ids, in buckets
+by their hash, says in which year each event lies: a batch opens the buckets of its
+own ids, then the years in which these events lie, and no others.  What it changes,
+rows gained and rows lost, is its change log, from which tables of counts are kept
+up.  Only years in the change log are written again.
 
-The merged rows are written aside first, under the number of the batch.  From
-there on, a batch that stops is made good by writing the same rows again.
+The change log and the merged rows are written aside first, under the number of the
+batch.  From there on, a batch that stops is made good by writing the same rows again.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremora.operators.conform import derive
-from tremora.operators.dedup import merge_latest
+from tremora.operators.dedup import keep_one, latest_first, merge_latest
 from tremora.sources.catalog_csv import RAW_COLUMNS
 from tremora.sources.lake import Lake
 from tremora.sources.shared import path_exists, remove, written
 
 SOURCE = (*(name for _, name, _ in RAW_COLUMNS), "datetime")
 BY = "year"
+BUCKET = "bucket"
+BUCKETS = 256  # parts of the index; a batch of few ids opens few
 
 
 @dataclass(frozen=True)
 class Touched:
-    """The years a batch touched, and all events of these years after it."""
+    """The years a batch touched, all events of these years after it, and its change log:
+    source columns and ``sign``, 1 for rows that came and -1 for rows that went."""
 
     years: list[int]
     events: DataFrame
+    changes: DataFrame
+
+
+def bucket_of(event_id: Column) -> Column:
+    return F.pmod(F.xxhash64(event_id), F.lit(BUCKETS)).cast("int")
+
+
+def index_of(table: str) -> str:
+    return f"{table}_ids"
 
 
 def replace_years(lake: Lake, table: str, rows: DataFrame, years: list[int]) -> None:
@@ -38,30 +52,66 @@ def replace_years(lake: Lake, table: str, rows: DataFrame, years: list[int]) ->
     lake.replace_partitions(table, rows, BY, years)
 
 
+def _same(ids: DataFrame) -> Column:
+    return F.col("event_id").eqNullSafe(ids["__id"])
+
+
+def _ids(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("event_id").alias("__id")).distinct()
+
+
+def _values(rows: DataFrame, column: str) -> list[int]:
+    """Distinct values of a column that has few: years, or buckets."""
+    return [row[0] for row in rows.select(column).distinct().collect()]
+
+
+def _stage(lake: Lake, table: str, batch: DataFrame, staging: str) -> None:
+    """Write the batch's change log, and all events of the years in it as they are after it."""
+    spark, there = lake.spark, lake.exists(table)
+    new = written(merge_latest(batch.select(*SOURCE)), f"{staging}/new")
+    both = new.withColumn("sign", F.lit(1))
+    if there:
+        ids = _ids(new)
+        buckets = _values(new.withColumn(BUCKET, bucket_of(F.col("event_id"))), BUCKET)
+        known = lake.read(index_of(table)).where(F.col(BUCKET).isin(*buckets)).join(ids, _same(ids), "left_semi")
+        old = lake.read(table).where(F.col(BY).isin(*_values(known, BY))).join(ids, _same(ids), "left_semi")
+        old = written(old.select(*SOURCE), f"{staging}/old").withColumn("sign", F.lit(-1))
+        both = old.unionByName(both)
+    # Of a row that is there already and comes again, the old one is taken: nothing has changed.
+    latest = keep_one(both, "event_id", [*latest_first(both), F.asc("sign")])
+    gained = written(latest.where("sign = 1"), f"{staging}/gained")
+    changes = gained
+    if there:
+        ids = _ids(gained)
+        changes = gained.unionByName(old.join(ids, _same(ids), "left_semi"))
+    changes = written(changes.withColumn(BY, F.year("datetime")), f"{staging}/changes")
+    merged = derive(gained.drop("sign"))
+    if there:
+        ids = _ids(changes)
+        kept = lake.read(table).where(F.col(BY).isin(*_values(changes, BY))).join(ids, _same(ids), "left_anti")
+        merged = kept.unionByName(merged.select(*kept.columns))
+    merged.write.parquet(f"{staging}/rows")
+
+
 def upsert(lake: Lake, table: str, batch: DataFrame, staging: str) -> Touched:
     """Merge a batch of events into the table.
 
     ``staging`` is a path that belongs to this batch, the same when it is retried.
     """
-    spark, rows_at, years_at = lake.spark, f"{staging}/rows", f"{staging}/years"
-    if not path_exists(spark, f"{rows_at}/_SUCCESS"):
+    spark = lake.spark
+    if not path_exists(spark, f"{staging}/rows/_SUCCESS"):
         remove(spark, staging)  # what a batch that stopped half way has left
-        new = written(merge_latest(batch.select(*SOURCE)), f"{staging}/new")
-        years = new.select(F.year("datetime").alias(BY))
-        merged = new
-        if lake.exists(table):
-            old = lake.read(table)
-            ids = new.select(F.col("event_id").alias("_id"))
-            revised = old.join(ids, F.col("event_id").eqNullSafe(F.col("_id")), "left_semi")
-            years = years.union(revised.select(BY))
-        touched = written(years.distinct(), years_at)
-        if lake.exists(table):
-            listed = [row[BY] for row in touched.collect()]  # years only
-            same = old.where(F.col(BY).isin(*listed))
-            merged = merge_latest(same.select(*SOURCE).unionByName(new))
-        derive(merged).write.parquet(rows_at)
-    years = [row[BY] for row in spark.read.parquet(years_at).collect()]
-    events = spark.read.parquet(rows_at)
-    if years:
+        _stage(lake, table, batch, staging)
+    events, changes = spark.read.parquet(f"{staging}/rows"), spark.read.parquet(f"{staging}/changes")
+    years = _values(changes, BY)
+    if years or not lake.exists(table):
         replace_years(lake, table, events, years)
-    return Touched(years, events)
+        ids = changes.where("sign = 1").select("event_id", BY).withColumn(BUCKET, bucket_of(F.col("event_id")))
+        buckets, index = _values(ids, BUCKET), index_of(table)
+        if lake.exists(index):
+            gone = _ids(changes)
+            ids = ids.unionByName(
+                lake.read(index).where(F.col(BUCKET).isin(*buckets)).join(gone, _same(gone), "left_anti")
+            )
+        lake.replace_partitions(index, ids, BUCKET, buckets)
+    return Touched(years, events, changes)
