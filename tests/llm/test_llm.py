@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from corpus_rows import awkward, docs, documents, empty  # noqa: F401
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver

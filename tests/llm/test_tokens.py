@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from corpus_rows import awkward, documents, empty  # noqa: F401
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 

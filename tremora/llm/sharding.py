@@ -62,9 +62,15 @@ def _directory(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
 def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """One row per document: doc_id, n_bytes, shard (its bits, and after a dash its overflow page),
     depth, shard_bytes, oversize."""
+    return _placed(docs.select("doc_id", "text", F.lit(None).cast("long").alias("__row")), limit).drop("__row")
+
+
+def _placed(docs: DataFrame, limit: int) -> DataFrame:
+    """``shards`` of rows that have a number, with that number."""
     rows = settled(
         docs.select(
             "doc_id",
+            "__row",
             F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
             F.xxhash64("doc_id", "text").alias("__hash"),
         ),
@@ -99,6 +105,7 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     page = F.when(F.col("__page").isNull(), "").otherwise(F.concat(F.lit("-"), F.col("__page")))
     return done.select(
         "doc_id",
+        "__row",
         "n_bytes",
         F.concat(shard, page).alias("shard"),
         F.col("__depth").cast("int").alias("depth"),
@@ -118,15 +125,23 @@ def _overflow(rows: DataFrame, limit: int) -> DataFrame:
     return (
         paged.join(sums, ["__hash", "__page"])
         .withColumn("__depth", F.lit(HASH_BITS))
-        .select("doc_id", "n_bytes", "__hash", "__depth", "__shard_bytes", "__page")
+        .select("doc_id", "__row", "n_bytes", "__hash", "__depth", "__shard_bytes", "__page")
     )
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """The documents as Parquet, one folder per shard; ids that repeat share a shard's fate by text."""
-    placed = shards(docs, limit).select(
-        F.col("doc_id").alias("__id"), F.col("n_bytes").alias("__n"), "shard"
-    ).distinct()
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    joined = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("__id")) & (size == F.col("__n")))
-    joined.drop("__id", "__n").write.partitionBy("shard").parquet(path)
+    """The documents as Parquet, one folder and one file per shard, every row once.
+
+    Rows get a number before they are placed, and shard and row meet by it, so rows that
+    repeat an id or a text, also ones dealt over overflow pages, are written as often as they
+    are given.  A shard is at most ``limit`` bytes of text, or one longer document, for one task.
+    """
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    rows = settled(docs.toDF(*names).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    at = {name.lower(): own for name, own in zip(docs.columns, names)}
+    placed = _placed(rows.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"), "__row"), limit)
+    shown = rows.join(placed.select("__row", "shard"), "__row").drop("__row")
+    # A column of the documents by this name would stand for the folder; it is written as ``shard_``.
+    renamed = [f"{name}_" if name.lower() == "shard" else name for name in docs.columns]
+    shown = shown.select(*[F.col(own).alias(name) for own, name in zip(names, renamed)], "shard")
+    shown.repartition("shard").write.partitionBy("shard").parquet(path)
