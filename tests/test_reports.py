@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import datetime as dt
 
 import pytest
@@ -230,3 +232,22 @@ def test_A14_equals_A15_without_a_filter(workspace):
     days = reports.daily_trend(rows).select("date", "daily_event_count", "affected_regions")
     cube = reports.temporal_trends(workspace.cube("temporal_trends"))
     assert rows_of(days) == rows_of(cube.select("date", "daily_event_count", "affected_regions"))
+
+
+def test_G2_heat_is_spread_by_the_kernel(spark):
+    from tremora.operators import grids
+
+    kernel = {(i, j): weight for i, j, weight in grids.heat_kernel()}
+    assert len(kernel) == 9 and kernel[0, 0] == 1.0 and abs(kernel[0, 1] - 0.9) < 1e-12 and kernel[1, 1] < 0.53
+    assert {key: w for key, w in kernel.items()} == {(-i, j): w for (i, j), w in kernel.items()}
+    events = [(10.0, 20.0, 5.0), (10.0, 20.0, 3.0), (89.9, 0.0, 4.0), (-90.0, 179.99, 2.0), (12.0, 40.0, 1.0)]
+    found = grids.heat_grid(spark.createDataFrame(events, "latitude double, longitude double, magnitude double"), 3).collect()
+    heat, world = {}, 2048
+    for lat, lon, weight in events:
+        lat = math.radians(max(-grids.HIGHEST, min(grids.HIGHEST, lat)))
+        x = math.floor((lon + 180) / 360 * world / 22.5)
+        y = math.floor((0.5 - math.log(math.tan(lat / 2 + math.pi / 4)) / (2 * math.pi)) * world / 22.5)
+        for (i, j), share in kernel.items():
+            heat[x + i, y + j] = heat.get((x + i, y + j), 0) + weight * share
+    assert {(r.x_cell, r.y_cell): round(r.heat, 9) for r in found} == {key: round(v, 9) for key, v in heat.items()}
+    assert sum(r.event_count for r in found) == len(events)

