@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tremora.llm import language, mixing, packing, secrets, simhash
+from tremora.llm import language, mixing, nearcopies, packing, secrets
 from tremora.llm.common import settled
 from tremora.llm.queries import TOKENIZER
 from tremora.sources.shared import fresh_path
@@ -21,8 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays."""
+    return nearcopies.one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
