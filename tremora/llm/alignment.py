@@ -50,7 +50,7 @@ STRETCH = re.compile(r"(?:\A\s+\S*| ?\S+)(?:(?:\s{2,}|[^\S \n]|\s\Z)\S*)*|\n")
 SHORT_STRETCH = re.compile(
     rf" ?[{LETTERS}]+(?= \S|\n\S|[{STOPS}]|\Z)| ?[{STOPS}]+(?= \S|\n\S|[{LETTERS}]|\Z)|{STRETCH.pattern}"
 )
-KNOWN = 120_000  # stretches of a table
+KNOWN = 250_000  # stretches of a table
 CHARACTERS = 8_000_000  # of the stretches of a table
 PART = 1 << 12  # stretches that are aligned at a time
 BLOCK = 1 << 21  # bytes of text of a block
@@ -250,7 +250,7 @@ class Stretches:
 
     def _align(self, stretches: list[str]) -> tuple[np.ndarray, ...]:
         """Both tokenizers' ends in all these stretches, one behind the other, are intersected at once."""
-        encoded = [x.ids for x in self.a_model.encode_batch(stretches, add_special_tokens=False)]
+        encoded = [x.ids for x in self.a_model.encode_batch_fast(stretches, add_special_tokens=False)]
         encoded = encoded, self._b_ids(stretches)
         a, b = (Side(*of) for of in zip(encoded, self.bytes_of, self.length_of))
         spelt = [s.encode() for s in stretches]
@@ -275,11 +275,11 @@ class Stretches:
         """Per text, the numbers of its stretches; none if it has no tokens."""
         if len(self.numbers) > KNOWN or self.characters > CHARACTERS:
             self.clear()
-        cut = [list(map(self.numbers.__getitem__, self.stretch.findall(" " + text))) if text else [] for text in texts]
+        cut = [self.stretch.findall(" " + text) if text else [] for text in texts]
+        cut = [np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found)) for found in cut]
         self.learn()
         for places in cut:
-            found = np.array(places, np.int64)
-            yield found if self.right[found].all() else found[:0]
+            yield places if self.right[places].all() else places[:0]
 
     def document(self, places: np.ndarray) -> tuple[list[int], str, np.ndarray, np.ndarray]:
         """n_a, n_b, n_groups, n_links; the groups; the different pairs and how often each is linked."""

@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremora.llm.common import settled
+from tremora.llm.common import byte_slices, settled
 from tremora.llm.components import components
 
 SHINGLE = 5
@@ -43,8 +44,9 @@ PARTS = 12
 PER_PART = 3  # shingles of a part, and up to twice as many
 FEWEST = 3  # bits that deal shingles to parts, at least
 PIVOTS = 8
-PIECE = 1 << 14  # shingles whose bits are counted at a time
-PAIRS = 1 << 20  # pairs that are compared at a time
+PIECE = 1 << 12  # shingles whose bits are counted at a time
+BLOCK = 1 << 20  # bytes of text at a time
+PAIRS = 1 << 18  # pairs that are compared at a time
 
 
 def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
@@ -154,19 +156,28 @@ def run_forest(fps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def sketched(rows: DataFrame) -> DataFrame:
     """(__row, doc_id) of the rows with their fingerprint, its size, and the keys of its parts."""
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch["text"]:
-                hashes = shingles(text)
-                total = int(hashes.sum(dtype=np.uint64).astype(np.int64))
-                keys = [{"kind": kind, "part": part} for kind, part in part_keys(hashes)]
-                found.append((fingerprint(hashes).tobytes(), len(hashes), total, keys))
-            columns = pd.DataFrame(found, columns=["__fp", "__n", "__total", "__keys"], index=batch.index)
-            yield pd.concat([batch[["__row"]], columns], axis=1)
+            for some in byte_slices(batch, "text", BLOCK):
+                sets = [shingles(text) for text in some.column("text").to_pylist()]
+                keys = [part_keys(hashes) for hashes in sets]
+                stops = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                columns = (pa.array([key[i] for found in keys for key in found], kind) for i, kind in enumerate((pa.int32(), pa.int64())))
+                pairs = pa.StructArray.from_arrays(list(columns), ["kind", "part"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column("__row"),
+                        pa.array([fingerprint(hashes).tobytes() for hashes in sets], pa.binary()),
+                        pa.array(map(len, sets), pa.int64()),
+                        pa.array([int(hashes.sum(dtype=np.uint64).astype(np.int64)) for hashes in sets], pa.int64()),
+                        pa.ListArray.from_arrays(stops, pairs),
+                    ],
+                    names=["__row", "__fp", "__n", "__total", "__keys"],
+                )
+            pa.default_memory_pool().release_unused()
 
     schema = "__row long, __fp binary, __n long, __total long, __keys array<struct<kind: int, part: long>>"
-    return rows.select("__row", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(sketch, schema)
+    return rows.select("__row", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sketch, schema)
 
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,14 +1,17 @@
 """Quotation linking: conversations in reply order, without the passages they quote.
 
-A line's quote level is the number of ``>`` before it.  Quoted lines are
-normalised (case, white space) and hashed; in the same conversation, the latest
-earlier message that has the line as its own is what was quoted.  The lookup is
+A line's quote level is the number of ``>`` before it.  Quoted passages are
+normalised (case, white space) and hashed, in two forms: whole lines, and all runs of
+``WINDOW`` words of a level, over the line breaks, so that a quote that has been wrapped
+anew, or is a part of a line, is found as well.  In the same conversation, the latest
+earlier message that has the passage as its own is what was quoted.  The lookup is
 a running window over (conversation, hash), not a join of all pairs, so a line
 that everybody writes costs one row per message.  It runs inside stretches of
 ``STRETCH`` turns first and then over the stretches, so that no task sees all
-messages of a long conversation.  A message answers the message
-that most of its first-level quotes come from (the later one on a tie; of deeper
-levels if no first-level line was found).
+messages of a long conversation.  A message answers the message that most of its
+first-level quoted lines come from (of deeper levels if no first-level line was found),
+by runs of words on a tie or where no line was found, and the later one after that.
+A quotation of fewer words than a run is found if it is whole lines.
 
 Defined results: a null text has an empty body; rows with a null conversation or
 turn keep their body and are linked to nothing; repeated rows stay, each with
@@ -25,6 +28,7 @@ from tremora.llm.common import settled
 QUOTED = r"^(?:[ \t]*>)+[ \t]?"
 ATTRIBUTION = r"^[ \t]*On\b.*\bwrote:[ \t\r]*$"
 KEY = ("conv_id", "turn")
+WINDOW = 5  # words
 STRETCH = 1024  # turns of a conversation that one window runs over
 
 
@@ -83,27 +87,81 @@ def _with_origin(seen: DataFrame, stretch: int) -> DataFrame:
     )
 
 
-def reply_links(messages: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """(conv_id, turn, reply_to, n_linked) of the messages whose quotations were found."""
+def _seen_lines(messages: DataFrame) -> DataFrame:
+    """One row per message and line: whether it is the message's own, and the lowest level it is quoted at."""
     lines = (
         messages.select(*KEY, F.explode(_lines(F.col("text"))).alias("line"))
         .select(*KEY, "line.level", "line.hash")
         .dropna(subset=[*KEY, "hash"])
     )
-    # One row per message, line and kind; only hashes that are quoted somewhere matter.
-    seen = lines.groupBy(*KEY, "hash").agg(
+    return lines.groupBy(*KEY, "hash").agg(
         F.max(F.col("level") == 0).alias("own"), F.min(F.when(F.col("level") > 0, F.col("level"))).alias("level")
     )
-    found = (
-        _with_origin(seen, stretch)
-        .where(F.col("level").isNotNull() & F.col("origin").isNotNull())
+
+
+def _windows(lines: Column, length: int) -> Column:
+    """array<struct<level, hash>>: the runs of words at each quote level, over the line breaks."""
+
+    def of_level(level: Column) -> Column:
+        same = F.filter(lines, lambda line: line["level"] == level)
+        plain = F.transform(same, lambda line: F.trim(F.regexp_replace(F.lower(line["body"]), r"\s+", " ")))
+        words = F.split(F.trim(F.array_join(F.filter(plain, lambda text: text != ""), " ")), " ")
+
+        def runs(words: Column) -> Column:
+            at = F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - length + 1))
+            return F.transform(
+                F.coalesce(at, F.array().cast("array<int>")),
+                lambda i: F.struct(
+                    level.alias("level"), F.xxhash64(F.lit("window"), *[F.get(words, i + k - 1) for k in range(length)]).alias("hash")
+                ),
+            )
+
+        # An array of one, so that the words are made once and not once a run.
+        return F.flatten(F.transform(F.array(words), runs))
+
+    levels = F.array_distinct(F.transform(lines, lambda line: line["level"]))
+    return F.flatten(F.transform(levels, of_level))
+
+
+def _seen_windows(messages: DataFrame, length: int) -> DataFrame:
+    """As ``_seen_lines``, of runs of words; own ones only where the conversation quotes them."""
+    lines = messages.select(*KEY, _lines(F.col("text")).alias("__lines")).dropna(subset=list(KEY))
+    # Conversations without a quoted line have nothing to look up.
+    quoting = lines.where(F.exists("__lines", lambda line: line["level"] > 0)).select("conv_id").distinct()
+    quoting = settled(quoting, "quoting")
+    windows = (
+        lines.join(quoting, "conv_id", "left_semi")
+        .select(*KEY, F.explode(_windows(F.col("__lines"), length)).alias("window"))
+        .groupBy(*KEY, "window.hash")
+        .agg(
+            F.max(F.col("window.level") == 0).alias("own"),
+            F.min(F.when(F.col("window.level") > 0, F.col("window.level"))).alias("level"),
+        )
     )
-    votes = found.groupBy(*KEY, "origin").agg(
-        F.count_if(F.col("level") == 1).alias("first"), F.count(F.lit(1)).alias("all")
+    windows = settled(windows, "windows")
+    quoted = settled(windows.where(F.col("level").isNotNull()).select("conv_id", "hash").distinct(), "quoted")
+    return windows.join(quoted, ["conv_id", "hash"], "left_semi")
+
+
+def _votes(found: DataFrame, first: str, every: str) -> DataFrame:
+    """Per message and origin, what was found there: at the first level, and at all."""
+    return found.where(F.col("level").isNotNull() & F.col("origin").isNotNull()).groupBy(*KEY, "origin").agg(
+        F.count_if(F.col("level") == 1).alias(first), F.count(F.lit(1)).alias(every)
     )
+
+
+def reply_links(messages: DataFrame, stretch: int = STRETCH, window: int = WINDOW) -> DataFrame:
+    """(conv_id, turn, reply_to, n_linked) of the messages whose quotations were found.
+
+    ``n_linked`` counts the lines that were found, or the runs of words where no line was.
+    """
+    lines = _votes(_with_origin(_seen_lines(messages), stretch), "first", "all")
+    windows = _votes(_with_origin(_seen_windows(messages, window), stretch), "first_windows", "windows")
+    names = ["first", "all", "first_windows", "windows"]
+    votes = lines.join(windows, [*KEY, "origin"], "full").na.fill(0, names)
     return votes.groupBy(*KEY).agg(
-        F.max(F.struct("first", "all", "origin"))["origin"].alias("reply_to"),
-        F.sum("all").alias("n_linked"),
+        F.max(F.struct(*names, "origin"))["origin"].alias("reply_to"),
+        F.when(F.sum("all") > 0, F.sum("all")).otherwise(F.sum("windows")).alias("n_linked"),
     )
 
 
