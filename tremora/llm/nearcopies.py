@@ -244,5 +244,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     by_text = ids.groupBy("__node").agg(first).join(roots, "__node", "left")
     groups = by_text.groupBy(F.coalesce("root", "__node")).agg(F.min("__first").alias("__first"))
     kept = settled(groups.select(F.col("__first.__row").alias("__row")), "kept")
-    chosen = rows.join(kept, "__row", "left_semi")
+    # One plan at every size: what is kept grows with the corpus, so no size of its is a bound.
+    chosen = rows.join(kept.hint("merge"), "__row", "left_semi")
     return chosen.select(*[F.col(ours).alias(name) for ours, name in zip(names, docs.columns)])
