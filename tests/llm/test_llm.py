@@ -475,7 +475,7 @@ def test_pipeline(spark, documents):
 
 def test_registered():
     names = [n for n in driver.queries() if n.startswith("op")]
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11)) and "pipeline" in driver.queries()
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14)) and "pipeline" in driver.queries()
 
 
 @pytest.mark.parametrize("name", ["op2_vector_search", "op7_secret_scans"])
