@@ -451,6 +451,14 @@ def test_op10_score_is_the_log_ratio(spark, documents):
     assert quality.scored(some, table).first().score == sum(weight[hashed(*g)] for g in grams) // 5
 
 
+def test_op10_trusts_every_agreed_label(spark):
+    """All of 60,000 agreed ids; none that labels contradict, call toxic or leave open."""
+    labels = spark.range(60_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    others = "VALUES (7, 0, 0), (8, 1, 1), (60001, NULL, 0), (60002, 1, 1), (NULL, 1, 0) AS l(doc_id, quality, toxic)"
+    found = quality.trusted_ids(labels.union(spark.sql(f"SELECT * FROM {others}")))
+    assert found.agg(F.count("*"), F.count_distinct("doc_id"), F.max("doc_id")).first()[:] == (59_998, 59_998, 59_999)
+
+
 def test_op10_keeps_trusted_and_drops_junk(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet")

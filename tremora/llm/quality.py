@@ -1,8 +1,7 @@
 """Quality rules by a log-likelihood ratio between trusted texts and the raw corpus.
 
-Hashed word n-grams are counted over all documents, and over those that a sample
-of at most ``TARGET_ROWS`` labels calls trusted; both counts make a multinomial
-over ``BUCKETS`` buckets.  A document's score is the sum of its n-grams' log
+Hashed word n-grams are counted over all documents, and over all those that the
+labels call trusted; both counts make a multinomial over ``BUCKETS`` buckets.  A document's score is the sum of its n-grams' log
 ratios divided by their number.  Every document at or above the threshold is
 kept, a quantile of the trusted documents' scores, so junk goes and what reads
 like trusted text stays.  Weights and scores are whole numbers (millionths), so
@@ -22,7 +21,6 @@ from pyspark.sql import functions as F
 from tremora.llm.common import SPACE, settled
 
 BUCKETS = 1 << 16
-TARGET_ROWS = 50_000  # labelled ids at most that the trusted model is fitted on
 QUANTILE = 0.002  # of trusted documents that may fall below the threshold
 SCALE = 1_000_000
 SCORE_BINS = 1_000  # per unit of the score, for the threshold's histogram
@@ -102,20 +100,19 @@ def _grams(rows: DataFrame) -> DataFrame:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """At most ``TARGET_ROWS`` ids of trusted documents, chosen by their hash."""
+    """The ids of all trusted documents."""
     agreed = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.min(F.coalesce("quality", F.lit(0))).alias("quality"),
         F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"),
     )
-    good = agreed.where((F.col("quality") == 1) & (F.col("toxic") == 0))
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS).select("doc_id")
+    return agreed.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id")
 
 
 def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(bucket, weight): the log ratio of every bucket, in millionths."""
     ids = trusted.select(F.col("doc_id").alias("__id"), F.lit(1).alias("__trusted"))
     rows = docs.select("doc_id", split_words(F.col("text")).alias("words")).join(
-        F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left"
+        ids, F.col("doc_id") == F.col("__id"), "left"  # broadcast if they are few, by Spark's size check
     )
     grams = _grams(rows.select("words", F.coalesce("__trusted", F.lit(0)).alias("__trusted")))
     counts = (
@@ -162,7 +159,7 @@ def threshold(scores: DataFrame, trusted: DataFrame) -> int:
     step = SCALE // SCORE_BINS
     most = 20 * SCORE_BINS
     bin_ = F.greatest(F.lit(-most), F.least(F.lit(most), F.floor(F.col("score") / step)))
-    good = scores.join(F.broadcast(trusted), "doc_id", "left_semi").where(~base_failed())
+    good = scores.join(trusted, "doc_id", "left_semi").where(~base_failed())
     bins = good.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # A window over the histogram, whose bins have a bounded number.
     so_far = F.sum("n").over(Window.orderBy("bin"))
