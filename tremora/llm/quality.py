@@ -111,10 +111,10 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(bucket, weight): the log ratio of every bucket, in millionths."""
     ids = trusted.select(F.col("doc_id").alias("__id"), F.lit(1).alias("__trusted"))
-    rows = docs.select("doc_id", split_words(F.col("text")).alias("words")).join(
-        ids, F.col("doc_id") == F.col("__id"), "left"  # broadcast if they are few, by Spark's size check
-    )
-    grams = _grams(rows.select("words", F.coalesce("__trusted", F.lit(0)).alias("__trusted")))
+    # Labels have no bound, so both sides are shuffled, texts before they are split: one plan at every size.
+    rows = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left")
+    words = split_words(F.col("text")).alias("words")
+    grams = _grams(rows.select(words, F.coalesce("__trusted", F.lit(0)).alias("__trusted")))
     counts = (
         grams.select("__trusted", F.explode(F.array("__one", "__two")).alias("bucket"))
         .where(F.col("bucket").isNotNull())
@@ -159,7 +159,7 @@ def threshold(scores: DataFrame, trusted: DataFrame) -> int:
     step = SCALE // SCORE_BINS
     most = 20 * SCORE_BINS
     bin_ = F.greatest(F.lit(-most), F.least(F.lit(most), F.floor(F.col("score") / step)))
-    good = scores.join(trusted, "doc_id", "left_semi").where(~base_failed())
+    good = scores.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi").where(~base_failed())
     bins = good.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # A window over the histogram, whose bins have a bounded number.
     so_far = F.sum("n").over(Window.orderBy("bin"))
