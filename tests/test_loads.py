@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tremora.checks.workspace import Workspace
 from tremora.operators.conform import to_merged_events
 
+from tremora.operators import conform
 from tremora.plans import ledger, loads
 from tremora.plans.star import Star
 from tremora.sources.catalog_csv import RAW_SCHEMA, read_by_header
@@ -317,3 +318,16 @@ def test_ST1_ST2_a_revision_leaves_its_old_day_and_year(spark, lake, tmp_path, m
     assert drain() == want == drain()
     assert sorted(str(p) for p in (tmp_path / "lake/arrived_events/year=2019").iterdir()) == kept
     assert arrived_events(lake).count() == 3
+
+
+def test_T9_events_are_laid_out_before_the_rest_is_derived(spark, workspace):
+    """What lies below the range partitioning is run twice and shuffled; the writer need not sort again."""
+    laid_out = loads.events_by_time(conform.to_timed(workspace.raw()))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = laid_out._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    above, below = plan.split("RepartitionByExpression", 1)
+    assert "moon_phase" in above and "moon_phase" not in below
+    assert laid_out.columns == conform.to_events(workspace.raw()).columns
+    order = laid_out._jdf.queryExecution().optimizedPlan().outputOrdering().apply(0).toString()
+    assert order.startswith("year#")
