@@ -6,10 +6,11 @@ import datetime as dt
 from itertools import permutations
 
 import pytest
-from conftest import rows_of
+from conftest import SMALL, rows_of
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tremora.checks.workspace import Workspace
 from tremora.operators import profile
 from tremora.operators.keyed_join import attach_id
 from tremora.operators.numbering import number, number_keys, place
@@ -289,3 +290,9 @@ def test_the_mean_magnitude_of_a_cell_is_exact_in_any_order(spark):
     events = spark.createDataFrame(rows, "cell int, place int, magnitude double").coalesce(1).sortWithinPartitions("cell", "place")
     for made in (cube.of(events), cube.merged(cube.parts(events, "place"))):
         assert {r.avg_magnitude for r in made.collect()} == {5.5}
+
+
+def test_cubes_are_built_without_the_star(spark, tmp_path):
+    w = Workspace(spark, SMALL, str(tmp_path / "own"))
+    lake = w.cube_lake()
+    assert all(map(lake.exists, lake.names.cubes)) and not any(map(lake.exists, lake.names.star))
