@@ -141,3 +141,44 @@ def test_ST2_D3_a_batch_opens_the_years_of_its_events_and_changes_their_days(spa
     assert [found for column, found in opened if column == "year"][0] == [2019]
     assert all(len(found) <= 1 for _, found in opened)
     assert read is type(lake).read
+
+
+def test_ST1_F10_the_index_has_a_file_per_bucket_and_a_batch_is_copied_once(spark, lake, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from tremora.streaming import ingest, upsert
+
+    for n in range(6):
+        put(tmp_path / f"in/{n}.csv", GOOD, *[f"e{n}-{at},2024-01-01T00:00:00.000Z,1,2,3,here" for at in range(600)])
+    staged = []
+    monkeypatch.setattr(ingest, "remove", lambda *_: staged.extend(p.name for p in (tmp_path / "checkpoint/staged/0").iterdir()))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a task per file
+    try:
+        ingest_new_files(lake, str(tmp_path / "in"), str(tmp_path / "checkpoint"))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert arrived_events(lake).count() == 3600
+    files = [p for p in Path(lake.path(upsert.index_of("arrived_events"))).rglob("*.parquet")]
+    assert len(files) == upsert.BUCKETS
+    assert staged == ["changes"]  # the first batch's rows are written aside once
+
+
+def test_ST1_a_batch_that_stops_before_its_index_is_made_good(spark, lake, tmp_path, monkeypatch):
+    checkpoint = str(tmp_path / "checkpoint")
+    put(tmp_path / "in/a.csv", GOOD, "e1,2020-01-01T00:00:00.000Z,1,2,3,here", "e2,2021-01-01T00:00:00.000Z,1,2,3,here")
+    ingest_new_files(lake, str(tmp_path / "in"), checkpoint)
+    put(tmp_path / "in/b.csv", GOOD, "e1,2022-01-01T00:00:00.000Z,1,2,4,there", "e2,2019-01-01T00:00:00.000Z,1,2,9,old")
+
+    def stops(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as patched:
+        patched.setattr("tremora.streaming.upsert.gathered", stops)
+        with pytest.raises(Exception, match="stopped"):
+            ingest_new_files(lake, str(tmp_path / "in"), checkpoint)
+    want = [("e1", 2022, 4.0), ("e2", 2021, 3.0)]
+    for _ in range(2):
+        ingest_new_files(lake, str(tmp_path / "in"), checkpoint)
+        found = arrived_events(lake).select("event_id", "year", "magnitude")
+        assert sorted(map(tuple, found.collect())) == want
+        assert sorted(map(tuple, lake.read("arrived_events_ids").select("event_id", "year").collect())) == [w[:2] for w in want]
