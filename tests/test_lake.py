@@ -243,3 +243,35 @@ def test_T9_silver_lies_in_the_order_of_time(lake, tmp_path):
     spans = lake.read(lake.names.silver).groupBy(F.input_file_name().alias("file")).agg(F.min("datetime"), F.max("datetime"))
     spans = sorted((low, high) for _, low, high in spans.collect())
     assert all(one[1] < other[0] for one, other in zip(spans, spans[1:]))
+
+
+def test_L3_a_load_keeps_up_what_it_is_asked_for(spark, lake, tmp_path):
+    def asked(year, **layers):
+        return loads.incremental_load(lake, str(tmp_path), ledger.requested_years(spark, [year]), **layers)
+
+    files(tmp_path, 2021, quake("a", "2021-05-01"))
+    files(tmp_path, 2022, quake("b", "2022-05-01"))
+    merged = asked(2021, star=False, cubes=False)
+    assert merged.silver_rows == 1 and not merged.star and not merged.cubes
+    assert asked(2021, star=False, cubes=False) == loads.LoadReport()
+    with_star = asked(2022, cubes=False)
+    assert with_star.star["fact_earthquakes"] == 2 and not with_star.cubes
+    assert asked(2022, cubes=False) == loads.LoadReport()
+    cubes_only = asked(2022, star=False)
+    assert not cubes_only.star and cubes_only.cubes["cube_temporal_trends"] == 2
+    assert asked(2022) == loads.LoadReport()  # all made of the same merged table
+    files(tmp_path, 2023, quake("c", "2023-05-01"))
+    asked(2023, star=False, cubes=False)
+    everything = asked(2023)
+    assert everything.silver_rows is None and everything.star["fact_earthquakes"] == 3
+    assert lake.read(lake.names.cube_time_magnitude).agg(F.sum("event_count")).first()[0] == 3
+
+
+def test_F9_F16_F20_lakes_hold_the_layers_that_are_read(workspace):
+    for lake in (workspace.incrementally_loaded(), workspace.loaded_in_parts(), workspace.reloaded()):
+        assert lake.exists(lake.names.silver)
+        assert not any(map(lake.exists, lake.names.star + lake.names.cubes))
+    lake = workspace.loaded_in_parts(cubes=True)
+    assert not any(map(lake.exists, lake.names.star)) and all(map(lake.exists, lake.names.cubes))
+    for table in ("silver_ids", *[f"state_{cube}" for cube in lake.names.cubes]):
+        assert all(len([n for n, _ in found if n.endswith(".parquet")]) == 1 for found in files_of(lake, table).values())
