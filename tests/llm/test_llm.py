@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -69,6 +70,39 @@ def test_op1_passages_of_all_lengths(spark, hot):
     same(repeats.without_repeats(rows, hot), want)
 
 
+@pytest.mark.parametrize("length", [repeats.SHORTEST, 250, 400])
+def test_op1_texts_and_spans_of_any_length(spark, length):
+    def prose(n):
+        return " ".join("".join(random.choices("aehinorst", k=random.randrange(3, 8))) for _ in range(n))
+
+    passages = [prose(n) for n in range(51, 60)]  # over 50 words in under 400 bytes
+    assert all(250 <= len(p) < 400 for p in passages)
+    texts = [f"{prose(90)} é {p} ü {prose(40)}" for p in passages for _ in range(2)]
+    texts += [prose(120) for _ in range(9)] + ["", None, "ab" * 300, prose(20) + "é" * 260]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in repeats.cut_texts(rows, length).collect()}
+    coded = [(t or "").encode() for t in texts]
+    for i, (text, want) in enumerate(zip(coded, cut_out(coded, length))):
+        kept, spans = bytes(found[i].kept), found[i].spans
+        gone = sum(s.end - s.start for s in spans)
+        assert (found[i].n_bytes, gone, len(spans), hashlib.sha256(kept).hexdigest()) == want
+        edges = [0, *(x for s in spans for x in s), len(text)]
+        assert kept == b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+    if length < 400:  # every passage is gone; texts without one are whole
+        assert not any(p.encode() in found[i].kept for p in passages for i in range(18))
+    if length > repeats.SHORTEST:
+        assert all(bytes(found[i].kept) == coded[i] for i in range(18, 27))
+
+
+def test_op1_hands_over_bounded_pieces(monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE_BYTES", 3000)
+    texts = [b"x" * n for n in (10, 5000, 2000, 900, 200, 0)]
+    rows = pd.DataFrame({"row": range(6), "doc_id": range(6), "text": texts})
+    pieces = list(repeats._prepare(400)(iter([rows, rows.iloc[:0]])))
+    assert [p["n_bytes"].tolist() for p in pieces] == [[10], [5000], [2000, 900], [200, 0]]
+    assert [i for p in pieces for i in p["row"]] == list(range(6))
+
+
 def test_op1_loser_tree():
     entries = [(bytes(random.choices(b"ab", k=random.randrange(30))), b"x" * (i % 3), i) for i in range(900)]
     found = list(merge.merged([merge.front_coded(entries[i::7]) for i in range(7)]))
