@@ -215,6 +215,19 @@ def test_op3_sparse_model_is_the_dense_one(spark, documents):
         assert np.isclose(alone, np.log(single)[pairs & 255].sum())
 
 
+def test_op3_texts_are_judged_by_one_evaluation_a_stage(spark, documents, monkeypatch):
+    plans = {}
+
+    def told(rows, name):
+        plans[name] = rows._jdf.queryExecution().optimizedPlan().toString()
+        return common.settled(rows, name)
+
+    monkeypatch.setattr(language, "settled", told)
+    kept = language.accepted_documents(documents)
+    plans["kept"] = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plans["clues"].count("ArrowEvalPython") == plans["kept"].count("ArrowEvalPython") == 1
+
+
 def test_op3_query_covers_pages(spark, documents):
     found = queries.op3_language_id(spark, SMALL)
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")

@@ -242,9 +242,10 @@ def fused(rows: DataFrame, clues: DataFrame, model: TextModel) -> DataFrame:
             {"language": F.lit(NONE), "probability": F.lit(0.0), "accepted": F.lit(False)}
         )
     keys = ["__host", "__domain", "__suffix", "__declared"]
-    counts = settled(
-        clues.where("__best is not null").groupBy(*keys, "__best").agg(F.count(F.lit(1)).alias("n")), "clues"
-    )
+    # Rows without a best one are left out after writing: a filter before it runs the model a second time, in
+    # Python workers of its own.
+    counts = settled(clues.groupBy(*keys, "__best").agg(F.count(F.lit(1)).alias("n")), "clues")
+    counts = counts.where("__best is not null")
     sizes = np.ones(n)
     for r in counts.groupBy("__best").agg(F.sum("n").alias("n")).collect():
         sizes[r["__best"]] += r["n"]
